@@ -127,40 +127,47 @@ def replicas_by_node(replicas: DataFrame, keys: list[str] | None = None, weight:
 # --- apportioning -------------------------------------------------------------------------------------------------
 
 
-def estimate_replicas(nodes: DataFrame, tables: DataFrame) -> DataFrame:
+def node_profile(nodes: DataFrame) -> DataFrame:
+    """Non-offline nodes with weighted score, 1-based position in their hub (index, then id) and hub totals.
+
+    A small table that several branches of one plan read; callers may persist it.
+    """
+    index = ["node_index"] if "node_index" in nodes.columns else []
+    active = nodes.filter(F.col("op") != OFFLINE).select(*HUB_KEY, "node_id", *index, weighted_score().alias("wscore"))
+    coarse = index or ["_b"]
+    placed = numbered(active.withColumn("_b", id_bucket(active)), HUB_KEY, coarse, ["node_id"])
+    hubs = active.groupBy(*HUB_KEY).agg(F.sum("wscore").alias("hub_score"), F.count(F.lit(1)).alias("hub_nodes"))
+    return placed.join(hubs, HUB_KEY).select(*HUB_KEY, "node_id", "wscore", "rn", "hub_score", "hub_nodes")
+
+
+def estimate_replicas(nodes: DataFrame, tables: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """Share every table's partitions out to the nodes of each hub by weighted score.
 
     Offline nodes take nothing.  Per hub a node gets floor(score * parts / total), and the partitions left over go
     one each to the nodes whose position, turned by the table id (a shade uses its base's), comes first.  Only
     nodes with a positive estimate are returned.  A hub whose scores are all 0 voids every table of its scope.
 
-    Tables of equal size share one profile per hub, and left-over partitions are looked up by position, so no
+    Tables of equal size share one set of floors per hub, and left-over partitions are looked up by position, so no
     table is ever crossed with the nodes that end up with nothing.
     """
-    active = nodes.filter(F.col("op") != OFFLINE).select(*HUB_KEY, "node_id", *(
-        ["node_index"] if "node_index" in nodes.columns else []), weighted_score().alias("wscore"))
-    if "node_index" in active.columns:
-        placed = numbered(active, HUB_KEY, ["node_index"], ["node_id"])
-    else:
-        placed = numbered(active.withColumn("_b", id_bucket(active)), HUB_KEY, ["_b"], ["node_id"])
-    placed = placed.select(*HUB_KEY, "node_id", "wscore", "rn")
-    same_score = active.groupBy(*HUB_KEY, "wscore").agg(F.count(F.lit(1)).alias("c"))
-    hubs = same_score.groupBy(*HUB_KEY).agg(
-        F.sum(F.col("wscore") * F.col("c")).alias("hub_score"), F.sum("c").alias("hub_nodes")
-    )
-    void = hubs.filter("hub_score <= 0").select(*SCOPE).distinct()
+    placed = node_profile(nodes) if profile is None else profile
+    same_score = placed.groupBy(*HUB_KEY, "hub_score", "hub_nodes", "wscore").agg(F.count(F.lit(1)).alias("c"))
+    void = placed.filter("hub_score <= 0").select(*SCOPE).distinct()
     wanted = tables.select(
         *TABLE_KEY, "parts_count", F.coalesce("base_table", "table_id").alias("seed")
     ).join(void, SCOPE, "left_anti")
-    sizes = wanted.select(*SCOPE, "parts_count").distinct()
+    sizes = tables.select(*SCOPE, "parts_count").distinct()
     floor_est = int_div(F.col("wscore") * F.col("parts_count"), "hub_score")
-    profile = (
-        same_score.join(hubs.filter("hub_score > 0"), HUB_KEY)
+    scored = F.col("hub_score") > 0
+    spare = (
+        same_score.filter(scored)
         .join(sizes, SCOPE)
-        .groupBy(*HUB_KEY, "parts_count", "hub_score", "hub_nodes")
+        .groupBy(*HUB_KEY, "parts_count", "hub_nodes")
         .agg((F.col("parts_count") - F.sum(floor_est * F.col("c"))).alias("spare"))
     )
-    shares = placed.join(profile, HUB_KEY).withColumn("floor_est", floor_est)
+    shares = (
+        placed.filter(scored).drop("hub_nodes").join(spare, HUB_KEY).withColumn("floor_est", floor_est)
+    )
     turned = F.pmod(F.col("rn") - 1 + F.col("seed"), F.col("hub_nodes"))
     regular = (
         shares.filter("floor_est > 0")
@@ -170,7 +177,7 @@ def estimate_replicas(nodes: DataFrame, tables: DataFrame) -> DataFrame:
     # Nodes with a floor of 0 appear only where a left-over partition lands on them.
     landing = F.explode(F.sequence(F.lit(0).cast("long"), F.col("spare") - 1)).alias("k")
     spares = (
-        wanted.join(profile.filter("spare > 0"), [*SCOPE, "parts_count"])
+        wanted.join(spare.filter("spare > 0"), [*SCOPE, "parts_count"])
         .select(*TABLE_HUB, "parts_count", "seed", "hub_nodes", landing)
         .withColumn("rn", F.pmod(F.col("k") - F.col("seed"), F.col("hub_nodes")) + 1)
     )
@@ -535,7 +542,8 @@ def load_extremes(
 
 
 def add_candidates(
-    tables: DataFrame, hubs: DataFrame, members: DataFrame, nodes: DataFrame, estimates: DataFrame
+    tables: DataFrame, hubs: DataFrame, members: DataFrame, nodes: DataFrame, estimates: DataFrame,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Best node for the partitions a hub misses: largest estimate - load, fewest learners, lowest id.
 
@@ -545,8 +553,7 @@ def add_candidates(
     them is found by position instead of listing them all.
     """
     need = hub_constraint_audit(tables, hubs, members, nodes).filter("missing > 0").select(*TABLE_HUB, "missing")
-    live = nodes.filter(F.col("op") != OFFLINE).select(*HUB_KEY, "node_id")
-    placed = numbered(live.withColumn("_b", id_bucket(live)), HUB_KEY, ["_b"], ["node_id"]).drop("_b")
+    placed = (node_profile(nodes) if profile is None else profile).select(*HUB_KEY, "node_id", "rn")
     load = replicas_by_node(members, TABLE_NODE).select(*TABLE_NODE, "total", "learners")
     known = (
         estimates.select(*TABLE_NODE, "est").join(load, TABLE_NODE, "full_outer")

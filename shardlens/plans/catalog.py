@@ -1,4 +1,4 @@
 """Loads every query module, so that the registry is complete."""
 
-from shardlens.plans import queries_placement  # noqa: F401
+from shardlens.plans import queries_nodes, queries_placement, queries_reconcile  # noqa: F401
 from shardlens.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -311,7 +311,7 @@ def _(v):
 SELECT table_id, hub_name, missing, node_id, gap, learners FROM cand
 QUALIFY row_number() OVER (PARTITION BY table_id, hub_name ORDER BY gap DESC, learners, node_id) = 1""")
 def _(v):
-    return P.add_candidates(v.tables, v.hubs, v.members, v.nodes, v.estimates)
+    return P.add_candidates(v.tables, v.hubs, v.members, v.nodes, v.estimates, v.profile)
 
 
 @query("remove_candidates", """

@@ -11,10 +11,11 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shardlens.functions.exprs import int_div
 from shardlens.functions.scoring import node_score
-from shardlens.operators.placement import estimate_replicas
+from shardlens.operators.placement import estimate_replicas, node_profile
 from shardlens.schema import GIB, SCOPE
 from shardlens.session import tune
 
@@ -25,6 +26,10 @@ def scoped(df: DataFrame) -> DataFrame:
     return df.withColumn("service", F.lit(SERVICE)).withColumn("snapshot_ts", F.lit(SNAPSHOT).cast("long"))
 
 
+# Table schemas by path: one footer read per table and process, not one per use.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 class FleetViews:
     """Lazily built inputs for one data folder."""
 
@@ -34,7 +39,10 @@ class FleetViews:
     scoped = staticmethod(scoped)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     @cached_property
     def hubs(self) -> DataFrame:
@@ -74,7 +82,8 @@ class FleetViews:
             disk.alias("disk_cap"),
             resource.alias("resource"),
         )
-        return scoped(df.withColumn("score", node_score("resource", "disk_cap")))
+        # The fleet dimension is read by many branches of one plan; keep it rather than joining it up each time.
+        return scoped(df.withColumn("score", node_score("resource", "disk_cap"))).persist()
 
     @cached_property
     def tables(self) -> DataFrame:
@@ -125,9 +134,13 @@ class FleetViews:
             )
         )
 
+    @cached_property
+    def profile(self) -> DataFrame:
+        return node_profile(self.nodes).persist()
+
     @cached_property
     def estimates(self) -> DataFrame:
-        return estimate_replicas(self.nodes, self.tables)
+        return estimate_replicas(self.nodes, self.tables, self.profile)
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -147,6 +160,38 @@ class FleetViews:
             stats.alias("statistics"),
         )
 
+    @cached_property
+    def reports(self) -> DataFrame:
+        """Reported items, some of them off the mark: unknown nodes and tables, wrong partitions, bad status."""
+        qty, ln, far = F.col("qty"), F.col("ln"), 1000000
+        return self.members.select(
+            *SCOPE,
+            (F.col("table_id") + F.when(qty % 13 == 0, far).otherwise(0)).alias("table_id"),
+            (F.col("partition_id") + F.when(qty % 23 == 0, 1000).otherwise(0)).alias("partition_id"),
+            (F.col("node_id") + F.when(qty % 17 == 0, far).otherwise(0)).alias("node_id"),
+            F.when((ln == 4) & (qty % 5 == 0), 1).otherwise(0).alias("code"),
+            (~((ln == 5) & (qty % 7 == 0))).alias("has_own_peer"),
+            F.when(qty % 19 == 0, 8).otherwise(7).cast("long").alias("membership_version"),
+            (qty % 4).alias("restore_version"),
+        )
+
+    @cached_property
+    def recycle(self) -> DataFrame:
+        """Ids of dropped tables: the even ones of those nobody knows."""
+        return self.tables.filter("table_id % 2 = 0").select("service", (F.col("table_id") + 1000000).alias("table_id"))
+
+    @cached_property
+    def dead(self) -> DataFrame:
+        return self.nodes.filter("not is_alive").select(*SCOPE, "node_id")
+
+    @cached_property
+    def later_members(self) -> DataFrame:
+        """The same partitions one plan later."""
+        qty = F.col("qty")
+        return self.members.filter(qty % 29 != 0).withColumn(
+            "role", F.when(qty % 31 == 0, (F.col("role") + 1) % 3).otherwise(F.col("role"))
+        ).withColumn("membership_version", F.when(qty % 37 == 0, 8).otherwise(7).cast("long"))
+
     @cached_property
     def runs(self) -> DataFrame:
         """Orders as task runs: status 0 finished, 1 cancelled, null while running (finish 0)."""
@@ -260,6 +305,17 @@ FROM (SELECT table_id, coalesce(base_table, table_id) AS seed, parts_count, node
 SELECT table_id, node_id, count(*) AS load, count(*) FILTER (WHERE role = 0) AS primaries,
        count(*) FILTER (WHERE role = 1) AS secondaries, count(*) FILTER (WHERE role = 2) AS learners
 FROM f_members GROUP BY table_id, node_id""",
+    "f_reports": """
+SELECT table_id + CASE WHEN qty % 13 = 0 THEN 1000000 ELSE 0 END AS table_id,
+       partition_id + CASE WHEN qty % 23 = 0 THEN 1000 ELSE 0 END AS partition_id,
+       node_id + CASE WHEN qty % 17 = 0 THEN 1000000 ELSE 0 END AS node_id,
+       CASE WHEN ln = 4 AND qty % 5 = 0 THEN 1 ELSE 0 END AS code, NOT (ln = 5 AND qty % 7 = 0) AS has_own_peer,
+       CASE WHEN qty % 19 = 0 THEN 8 ELSE 7 END AS membership_version, qty % 4 AS restore_version
+FROM f_members""",
+    "f_later": """
+SELECT table_id, partition_id, node_id, CASE WHEN qty % 31 = 0 THEN (role + 1) % 3 ELSE role END AS role,
+       CASE WHEN qty % 37 = 0 THEN 8 ELSE 7 END AS membership_version, qty
+FROM f_members WHERE qty % 29 <> 0""",
     "f_runs": """
 SELECT o_custkey AS task_id, o_orderkey AS session_id, CAST(epoch(o_orderdate) AS BIGINT) AS start_sec,
        CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 END AS finish_status,
