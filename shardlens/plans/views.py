@@ -192,6 +192,21 @@ class FleetViews:
             "role", F.when(qty % 31 == 0, (F.col("role") + 1) % 3).otherwise(F.col("role"))
         ).withColumn("membership_version", F.when(qty % 37 == 0, 8).otherwise(7).cast("long"))
 
+    # Hubs and nodes with real zone names, by hub number.
+    GEO = ("ZW", "YZ", "GZ1", "TXSGP1", "HB2AZ1", "TXVA2")
+
+    def geo(self, df: DataFrame) -> DataFrame:
+        names = F.element_at(F.array(*[F.lit(z) for z in self.GEO]), (F.col("hub_no") % 6 + 1).cast("int"))
+        return df.withColumn("az", names)
+
+    @cached_property
+    def geo_hubs(self) -> DataFrame:
+        return self.geo(self.hubs)
+
+    @cached_property
+    def geo_nodes(self) -> DataFrame:
+        return self.geo(self.nodes.join(self.hubs.select("hub_name", "hub_no"), "hub_name"))
+
     @cached_property
     def runs(self) -> DataFrame:
         """Orders as task runs: status 0 finished, 1 cancelled, null while running (finish 0)."""
@@ -316,6 +331,11 @@ FROM f_members""",
 SELECT table_id, partition_id, node_id, CASE WHEN qty % 31 = 0 THEN (role + 1) % 3 ELSE role END AS role,
        CASE WHEN qty % 37 = 0 THEN 8 ELSE 7 END AS membership_version, qty
 FROM f_members WHERE qty % 29 <> 0""",
+    "f_geo": """
+SELECT hub_name, hub_no, CASE hub_no % 6 WHEN 0 THEN 'ZW' WHEN 1 THEN 'YZ' WHEN 2 THEN 'GZ1' WHEN 3 THEN 'TXSGP1' WHEN 4 THEN 'HB2AZ1'
+       ELSE 'TXVA2' END AS az, CASE hub_no % 6 WHEN 0 THEN 'HB1' WHEN 1 THEN 'HB1' WHEN 2 THEN 'HN1' WHEN 3 THEN 'SGP' WHEN 4 THEN 'HB2'
+       ELSE 'VA' END AS region
+FROM f_hubs""",
     "f_runs": """
 SELECT o_custkey AS task_id, o_orderkey AS session_id, CAST(epoch(o_orderdate) AS BIGINT) AS start_sec,
        CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 END AS finish_status,
