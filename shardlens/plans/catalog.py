@@ -1,4 +1,10 @@
 """Loads every query module, so that the registry is complete."""
 
-from shardlens.plans import queries_nodes, queries_placement, queries_reconcile, queries_tasks  # noqa: F401
+from shardlens.plans import (  # noqa: F401
+    queries_nodes,
+    queries_placement,
+    queries_reconcile,
+    queries_sources,
+    queries_tasks,
+)
 from shardlens.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -371,6 +371,7 @@ def with_views(sql: str) -> str:
         return sql
     parts = [f"{name} AS ({SQL_VIEWS[name]})" for name in SQL_VIEWS if name in wanted]
     body = sql.strip()
-    if body[:4].upper() == "WITH":
-        return "WITH " + ",\n".join(parts) + ",\n" + body[4:]
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(head):
+            return head + ",\n".join(parts) + ",\n" + body[len(head):]
     return "WITH " + ",\n".join(parts) + "\n" + body
