@@ -5,6 +5,7 @@ from shardlens.plans import (  # noqa: F401
     queries_placement,
     queries_reconcile,
     queries_sources,
+    queries_streams,
     queries_tasks,
 )
 from shardlens.plans.registry import ORACLES, QUERIES  # noqa: F401
