@@ -140,6 +140,34 @@ def node_profile(nodes: DataFrame) -> DataFrame:
     return placed.join(hubs, HUB_KEY).select(*HUB_KEY, "node_id", "wscore", "rn", "hub_score", "hub_nodes")
 
 
+def _wanted_tables(tables: DataFrame, placed: DataFrame) -> DataFrame:
+    """Tables of scopes that can be shared out, with the id that turns their left-overs."""
+    void = placed.filter("hub_score <= 0").select(*SCOPE).distinct()
+    return tables.select(
+        *TABLE_KEY, "parts_count", F.coalesce("base_table", "table_id").alias("seed")
+    ).join(void, SCOPE, "left_anti")
+
+
+def _floor_est() -> Column:
+    return int_div(F.col("wscore") * F.col("parts_count"), "hub_score")
+
+
+def _turned() -> Column:
+    return F.pmod(F.col("rn") - 1 + F.col("seed"), F.col("hub_nodes"))
+
+
+def _spare_parts(placed: DataFrame, tables: DataFrame) -> DataFrame:
+    """Partitions left over after the floors, per (hub, table size): tables of equal size share one row."""
+    same_score = placed.filter("hub_score > 0").groupBy(*HUB_KEY, "hub_score", "hub_nodes", "wscore").agg(
+        F.count(F.lit(1)).alias("c"))
+    sizes = tables.select(*SCOPE, "parts_count").distinct()
+    return (
+        same_score.join(sizes, SCOPE)
+        .groupBy(*HUB_KEY, "parts_count", "hub_nodes")
+        .agg((F.col("parts_count") - F.sum(_floor_est() * F.col("c"))).alias("spare"))
+    )
+
+
 def estimate_replicas(nodes: DataFrame, tables: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """Share every table's partitions out to the nodes of each hub by weighted score.
 
@@ -151,28 +179,15 @@ def estimate_replicas(nodes: DataFrame, tables: DataFrame, profile: DataFrame |
     table is ever crossed with the nodes that end up with nothing.
     """
     placed = node_profile(nodes) if profile is None else profile
-    same_score = placed.groupBy(*HUB_KEY, "hub_score", "hub_nodes", "wscore").agg(F.count(F.lit(1)).alias("c"))
-    void = placed.filter("hub_score <= 0").select(*SCOPE).distinct()
-    wanted = tables.select(
-        *TABLE_KEY, "parts_count", F.coalesce("base_table", "table_id").alias("seed")
-    ).join(void, SCOPE, "left_anti")
-    sizes = tables.select(*SCOPE, "parts_count").distinct()
-    floor_est = int_div(F.col("wscore") * F.col("parts_count"), "hub_score")
-    scored = F.col("hub_score") > 0
-    spare = (
-        same_score.filter(scored)
-        .join(sizes, SCOPE)
-        .groupBy(*HUB_KEY, "parts_count", "hub_nodes")
-        .agg((F.col("parts_count") - F.sum(floor_est * F.col("c"))).alias("spare"))
-    )
+    wanted, spare = _wanted_tables(tables, placed), _spare_parts(placed, tables)
     shares = (
-        placed.filter(scored).drop("hub_nodes").join(spare, HUB_KEY).withColumn("floor_est", floor_est)
+        placed.filter("hub_score > 0").drop("hub_nodes").join(spare, HUB_KEY).withColumn("floor_est", _floor_est())
     )
-    turned = F.pmod(F.col("rn") - 1 + F.col("seed"), F.col("hub_nodes"))
+    bonus = F.when(_turned() < F.col("spare"), 1).otherwise(0)
     regular = (
         shares.filter("floor_est > 0")
         .join(wanted, [*SCOPE, "parts_count"])
-        .select(*TABLE_HUB, "node_id", (F.col("floor_est") + F.when(turned < F.col("spare"), 1).otherwise(0)).alias("est"))
+        .select(*TABLE_HUB, "node_id", (F.col("floor_est") + bonus).alias("est"))
     )
     # Nodes with a floor of 0 appear only where a left-over partition lands on them.
     landing = F.explode(F.sequence(F.lit(0).cast("long"), F.col("spare") - 1)).alias("k")
@@ -187,6 +202,28 @@ def estimate_replicas(nodes: DataFrame, tables: DataFrame, profile: DataFrame |
     return regular.unionByName(leftover)
 
 
+def with_estimates(pairs: DataFrame, tables: DataFrame, profile: DataFrame) -> DataFrame:
+    """Add ``est`` to (table, node) rows: the same numbers as ``estimate_replicas``, looked up instead of listed.
+
+    What a node gets depends on its profile, the table's size and the table's id only, so rows pick up three small
+    tables and the full list of estimates is never made or shuffled.
+    """
+    spare = _spare_parts(profile, tables).drop("hub_nodes")
+    found = (
+        pairs.join(_wanted_tables(tables, profile), TABLE_KEY, "left")
+        .join(profile.filter("hub_score > 0").withColumnRenamed("hub_name", "_hub"), NODE_KEY, "left")
+        .join(spare.withColumnRenamed("hub_name", "_hub"), [*SCOPE, "_hub", "parts_count"], "left")
+    )
+    est = _floor_est() + F.when(_turned() < F.col("spare"), 1).otherwise(0)
+    return found.withColumn("est", F.coalesce(est, F.lit(0)).cast("long")).select(*pairs.columns, "est")
+
+
+def held_load(members: DataFrame, tables: DataFrame, profile: DataFrame) -> DataFrame:
+    """Per (table, node) that holds anything: primaries, learners, total and the estimate."""
+    load = replicas_by_node(members, TABLE_NODE).select(*TABLE_NODE, "primaries", "learners", "total")
+    return with_estimates(load, tables, profile)
+
+
 def estimated_by_node(estimates: DataFrame) -> DataFrame:
     """Total estimate per node over all tables; a node no table counts on any more has no row."""
     return estimates.groupBy(*NODE_KEY).agg(F.sum("est").cast("long").alias("estimated"))
@@ -466,16 +503,25 @@ def direct_switches(edges: DataFrame, imbalance: DataFrame) -> DataFrame:
 # --- balance of replicas ------------------------------------------------------------------------------------------
 
 
+def _side_by_side(load: DataFrame, estimates: DataFrame, nodes: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Loads and estimates per (table, hub, node), laid out by (table, hub).
+
+    Both sides are stacked and summed instead of joined: one exchange, which the per-hub aggregations and windows
+    that follow reuse.
+    """
+    where = nodes.select(*NODE_KEY, "hub_name")
+    zero = F.lit(0).cast("long")
+    loads = load.join(where, NODE_KEY).select(*TABLE_HUB, "node_id", zero.alias("est"), *fields)
+    wanted = estimates.select(*TABLE_HUB, "node_id", "est", *[zero.alias(f) for f in fields])
+    stacked = loads.unionByName(wanted).repartition(*[F.col(c) for c in TABLE_HUB])
+    return stacked.groupBy(*TABLE_HUB, "node_id").agg(*[F.sum(c).alias(c) for c in ("est", *fields)])
+
+
 def node_gaps(members: DataFrame, estimates: DataFrame, tables: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Per (table, node) with an estimate or a replica: estimate minus load, plain and weighted by split weight."""
+    """Per (table, node) with an estimate or a replica: estimate minus load, weighted by split weight."""
     load = replicas_by_node(partition_weight(members, tables), TABLE_NODE, weight="part_weight")
-    where = nodes.select(*NODE_KEY, "hub_name")
-    both = estimates.select(*TABLE_NODE, "est").join(load, TABLE_NODE, "full_outer").join(where, NODE_KEY)
-    fields = ("est", "primaries", "secondaries", "learners", "total", "weighted_primaries", "weighted_learners",
-              "weighted_total")
-    return both.select(*TABLE_NODE, "hub_name", *[_zero(c) for c in fields]).withColumn(
-        "gap", F.col("est") - F.col("total")
-    ).withColumn("weighted_gap", F.col("est") - F.col("weighted_total"))
+    fields = ("weighted_primaries", "weighted_learners", "weighted_total")
+    return _side_by_side(load, estimates, nodes, fields).withColumn("weighted_gap", F.col("est") - F.col("weighted_total"))
 
 
 def ready_hubs(nodes: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -517,17 +563,22 @@ def load_extremes(
             (F.col("heavy.p") >= F.col("heavy.s")).alias("primaries_first"),
         )
     )
-    weighed = partition_weight(members, tables).select(*PART_KEY, "node_id", "role", "part_weight")
-    movable = schedulable_partitions(members, tables).filter("schedulable").select(*PART_KEY)
+    half = int_div("parts_count", F.lit(2).cast("long"))
+    weighed = partition_weight(members, tables)
+    # A parent stays where it is once its child exists; other partitions carry no key and so match nothing.
+    children = weighed.filter((F.col("partition_id") >= half) & (F.col("membership_version") > 0)).select(
+        *TABLE_KEY, (F.col("partition_id") - half).alias("splitting"))
     role_rank = (
         F.when(F.col("role") == LEARNER, 0)
         .when((F.col("role") == PRIMARY) == F.col("primaries_first"), 1)
         .otherwise(2)
     )
     picked = (
-        weighed.join(ends, TABLE_NODE)
+        weighed.select(*PART_KEY, "node_id", "role", "part_weight")
+        .join(ends, TABLE_NODE)
         .filter("part_weight > 0 and part_weight <= excess")
-        .join(movable, PART_KEY, "left_semi")
+        .withColumn("splitting", F.when(F.col("part_weight") == 2, F.col("partition_id")))
+        .join(children, [*TABLE_KEY, "splitting"], "left_anti")
         .groupBy(*TABLE_HUB)
         .agg(F.min(F.struct(role_rank.alias("rank"), F.col("partition_id"), F.col("role"))).alias("pick"))
     )
@@ -556,10 +607,9 @@ def add_candidates(
     placed = (node_profile(nodes) if profile is None else profile).select(*HUB_KEY, "node_id", "rn")
     load = replicas_by_node(members, TABLE_NODE).select(*TABLE_NODE, "total", "learners")
     known = (
-        estimates.select(*TABLE_NODE, "est").join(load, TABLE_NODE, "full_outer")
-        .join(placed, NODE_KEY)
-        .select(*TABLE_HUB, "node_id", "rn", _zero("learners"),
-                (F.coalesce("est", F.lit(0)) - F.coalesce("total", F.lit(0))).alias("gap"))
+        _side_by_side(load, estimates, nodes, ("total", "learners"))
+        .join(placed, [*HUB_KEY, "node_id"])
+        .select(*TABLE_HUB, "node_id", "rn", "learners", (F.col("est") - F.col("total")).alias("gap"))
     )
     seq = F.row_number().over(Window.partitionBy(*TABLE_HUB).orderBy("rn"))
     order = F.struct((-F.col("gap")).alias("neg_gap"), F.col("learners").alias("learners"), F.col("node_id").alias("node_id"))
@@ -587,17 +637,18 @@ def add_candidates(
     )
 
 
-def remove_candidates(members: DataFrame, nodes: DataFrame, hubs: DataFrame, estimates: DataFrame) -> DataFrame:
+def remove_candidates(members: DataFrame, nodes: DataFrame, hubs: DataFrame, load: DataFrame) -> DataFrame:
     """One replica to drop per (partition, hub) that holds several: learner first, then smallest gap, offline, dead.
 
-    ``blocked`` marks a pick that is the only alive serving replica of its hub.
+    ``blocked`` marks a pick that is the only alive serving replica of its hub.  ``load`` is ``held_load``.
     """
-    load = replicas_by_node(members, TABLE_NODE).select(*TABLE_NODE, "total")
+    # Only partitions with several replicas in a hub go on to meet the loads.
+    cells = _with_hub(members.select(*REPLICA_COLS), nodes, hubs)
+    crowded = cells.groupBy(*PART_KEY, "hub_name").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     rows = (
-        _with_hub(members.select(*REPLICA_COLS), nodes, hubs)
-        .join(load, TABLE_NODE)
-        .join(estimates.select(*TABLE_NODE, "est"), TABLE_NODE, "left")
-        .withColumn("gap", F.coalesce("est", F.lit(0)) - F.col("total"))
+        cells.join(crowded, [*PART_KEY, "hub_name"], "left_semi")
+        .join(load.select(*TABLE_NODE, "total", "est"), TABLE_NODE)
+        .withColumn("gap", F.col("est") - F.col("total"))
     )
     alive_serving = F.col("is_alive") & is_serving()
     order = F.struct(
@@ -609,29 +660,26 @@ def remove_candidates(members: DataFrame, nodes: DataFrame, hubs: DataFrame, est
         rows.groupBy(*PART_KEY, "hub_name")
         .agg(F.count(F.lit(1)).alias("replicas"), F.min(order).alias("pick"),
              count_where(alive_serving).alias("alive_serving"))
-        .filter("replicas > 1")
         .select(*PART_KEY, "hub_name", "replicas", F.col("pick.node_id").alias("node_id"),
                 F.col("pick.role").alias("role"), F.col("pick.gap").alias("gap"),
                 ((F.col("alive_serving") == 1) & F.col("pick.serves")).alias("blocked"))
     )
 
 
-def primary_candidates(members: DataFrame, nodes: DataFrame, hubs: DataFrame, estimates: DataFrame) -> DataFrame:
+def primary_candidates(members: DataFrame, nodes: DataFrame, hubs: DataFrame, load: DataFrame) -> DataFrame:
     """Secondary to promote where a partition has no primary: normal node, role allowed, fewer primaries, larger gap.
 
-    ``promotable`` is false when even the best one is not on a normal node.
+    ``promotable`` is false when even the best one is not on a normal node.  ``load`` is ``held_load``.
     """
-    load = replicas_by_node(members, TABLE_NODE).select(*TABLE_NODE, "primaries", "total")
     rated = _allow_primary(nodes, hubs).select(*NODE_KEY, is_normal().alias("normal"), "allow_primary")
     secs = (
         members.filter(F.col("role") != LEARNER).select(*REPLICA_COLS)
-        .join(load, TABLE_NODE)
+        .join(load.select(*TABLE_NODE, "primaries", "total", "est"), TABLE_NODE)
         .join(rated, NODE_KEY)
-        .join(estimates.select(*TABLE_NODE, "est"), TABLE_NODE, "left")
     )
     order = F.struct(
         (~F.col("normal")).alias("a"), (~F.col("allow_primary")).alias("b"), F.col("primaries").alias("c"),
-        (F.col("total") - F.coalesce("est", F.lit(0))).alias("d"), F.col("node_id").alias("node_id"),
+        (F.col("total") - F.col("est")).alias("d"), F.col("node_id").alias("node_id"),
     )
     return (
         secs.groupBy(*PART_KEY)

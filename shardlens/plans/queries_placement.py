@@ -38,6 +38,13 @@ def _(v):
     return v.estimates
 
 
+@query("held_load", """
+SELECT l.table_id, l.node_id, primaries, learners, load AS total, coalesce(est, 0) AS est FROM f_load l
+LEFT JOIN f_est e ON e.table_id = l.table_id AND e.node_id = l.node_id""")
+def _(v):
+    return P.held_load(v.members, v.tables, v.profile)
+
+
 @query("estimated_by_node", """
 SELECT node_id, CAST(sum(est) AS BIGINT) AS estimated FROM f_est GROUP BY node_id HAVING sum(est) > 0""")
 def _(v):
@@ -325,7 +332,7 @@ SELECT table_id, partition_id, hub_name, replicas, node_id, CAST(role AS BIGINT)
 QUALIFY row_number() OVER (PARTITION BY table_id, partition_id, hub_name
   ORDER BY (role <> 2), gap, (op <> 2), is_alive, node_id) = 1""")
 def _(v):
-    return P.remove_candidates(v.members, v.nodes, v.hubs, v.estimates)
+    return P.remove_candidates(v.members, v.nodes, v.hubs, P.held_load(v.members, v.tables, v.profile))
 
 
 @query("primary_candidates", """
@@ -338,7 +345,7 @@ WITH s AS (SELECT m.table_id, m.partition_id, m.node_id, count(*) OVER w AS seco
 SELECT table_id, partition_id, secondaries, node_id, promotable, role_allowed FROM s WHERE r = 1
 AND NOT EXISTS (SELECT 1 FROM f_members p WHERE p.table_id = s.table_id AND p.partition_id = s.partition_id AND p.role = 0)""")
 def _(v):
-    return P.primary_candidates(v.members, v.nodes, v.hubs, v.estimates)
+    return P.primary_candidates(v.members, v.nodes, v.hubs, P.held_load(v.members, v.tables, v.profile))
 
 
 @query("restart_impact", """
