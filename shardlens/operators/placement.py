@@ -548,44 +548,44 @@ def load_extremes(
     """Per (table, ready hub) with room on one side and excess on the other: lightest node, heaviest node, and the
     replica to move.  Order: weighted gap falling, weighted primaries, weighted learners, node id."""
     gaps = node_gaps(members, estimates, tables, nodes).join(ready_hubs(nodes, hubs), HUB_KEY, "left_semi")
-    load = F.struct(
+    order = F.struct(
         (-F.col("weighted_gap")).alias("neg_gap"), F.col("weighted_primaries").alias("p"),
         F.col("weighted_learners").alias("l"), F.col("node_id").alias("node_id"),
         (F.col("weighted_total") - F.col("weighted_primaries") - F.col("weighted_learners")).alias("s"),
     )
     ends = (
         gaps.groupBy(*TABLE_HUB)
-        .agg(F.min(load).alias("light"), F.max(load).alias("heavy"))
+        .agg(F.min(order).alias("light"), F.max(order).alias("heavy"))
         .filter("light.neg_gap < 0 and heavy.neg_gap > 0")
         .select(
             *TABLE_HUB, F.col("light.node_id").alias("light_node"), (-F.col("light.neg_gap")).alias("light_gap"),
-            F.col("heavy.node_id").alias("node_id"), F.col("heavy.neg_gap").alias("excess"),
+            F.col("heavy.node_id").alias("node_id"), (-F.col("heavy.neg_gap")).alias("heavy_gap"),
             (F.col("heavy.p") >= F.col("heavy.s")).alias("primaries_first"),
         )
     )
     half = int_div("parts_count", F.lit(2).cast("long"))
     weighed = partition_weight(members, tables)
-    # A parent stays where it is once its child exists; other partitions carry no key and so match nothing.
+    # A parent stays where it is once its child exists.  Only rows of weight 2 carry a key to look that up with.
     children = weighed.filter((F.col("partition_id") >= half) & (F.col("membership_version") > 0)).select(
-        *TABLE_KEY, (F.col("partition_id") - half).alias("splitting"))
+        *TABLE_KEY, (F.col("partition_id") - half).alias("splitting"), F.lit(True).alias("split_began"))
     role_rank = (
         F.when(F.col("role") == LEARNER, 0)
         .when((F.col("role") == PRIMARY) == F.col("primaries_first"), 1)
         .otherwise(2)
     )
-    picked = (
-        weighed.select(*PART_KEY, "node_id", "role", "part_weight")
-        .join(ends, TABLE_NODE)
-        .filter("part_weight > 0 and part_weight <= excess")
+    fits = (F.col("part_weight") > 0) & (F.col("part_weight") <= -F.col("heavy_gap")) & F.col("split_began").isNull()
+    pick = F.struct(role_rank.alias("rank"), F.col("partition_id"), F.col("role"))
+    return (
+        ends.join(weighed.select(*PART_KEY, "node_id", "role", "part_weight"), TABLE_NODE, "left")
         .withColumn("splitting", F.when(F.col("part_weight") == 2, F.col("partition_id")))
-        .join(children, [*TABLE_KEY, "splitting"], "left_anti")
-        .groupBy(*TABLE_HUB)
-        .agg(F.min(F.struct(role_rank.alias("rank"), F.col("partition_id"), F.col("role"))).alias("pick"))
-    )
-    return ends.join(picked, TABLE_HUB, "left").select(
-        *TABLE_HUB, "light_node", "light_gap", F.col("node_id").alias("heavy_node"), (-F.col("excess")).alias("heavy_gap"),
-        F.coalesce(F.col("pick.partition_id"), F.lit(-1)).cast("long").alias("move_partition"),
-        F.coalesce(F.col("pick.role"), F.lit(-1)).cast("long").alias("move_role"),
+        .join(children, [*TABLE_KEY, "splitting"], "left")
+        .groupBy(*TABLE_HUB, "light_node", "light_gap", "node_id", "heavy_gap")
+        .agg(F.min(F.when(fits, pick)).alias("pick"))
+        .select(
+            *TABLE_HUB, "light_node", "light_gap", F.col("node_id").alias("heavy_node"), "heavy_gap",
+            F.coalesce(F.col("pick.partition_id"), F.lit(-1)).cast("long").alias("move_partition"),
+            F.coalesce(F.col("pick.role"), F.lit(-1)).cast("long").alias("move_role"),
+        )
     )
 
 
@@ -611,26 +611,27 @@ def add_candidates(
         .join(placed, [*HUB_KEY, "node_id"])
         .select(*TABLE_HUB, "node_id", "rn", "learners", (F.col("est") - F.col("total")).alias("gap"))
     )
+    # One sort by position serves the window and the aggregation after it.
     seq = F.row_number().over(Window.partitionBy(*TABLE_HUB).orderBy("rn"))
-    order = F.struct((-F.col("gap")).alias("neg_gap"), F.col("learners").alias("learners"), F.col("node_id").alias("node_id"))
+    order = F.struct(
+        (-F.col("gap")).alias("neg_gap"), F.col("learners").alias("learners"), F.col("rn").alias("rn"), F.col("node_id").alias("node_id"))
     best = (
         known.withColumn("seq", seq)
         .groupBy(*TABLE_HUB)
         .agg(
             F.min(order).alias("best"),
             F.coalesce(F.min(F.when(F.col("rn") != F.col("seq"), F.col("seq"))), F.count(F.lit(1)) + 1)
-            .cast("long").alias("rn"),
+            .cast("long").alias("idle_rn"),
         )
     )
-    idle = placed.select(*HUB_KEY, "rn", F.struct(
-        F.lit(0).cast("long").alias("neg_gap"), F.lit(0).cast("long").alias("learners"), F.col("node_id").alias("node_id")
-    ).alias("idle"))
-    choice = F.least("best", "idle")
+    zero = F.lit(0).cast("long")
+    idle = placed.select(*HUB_KEY, F.col("rn").alias("idle_rn"), F.struct(
+        zero.alias("neg_gap"), zero.alias("learners"), F.col("rn").alias("rn"), F.col("node_id").alias("node_id")).alias("idle"))
     return (
         need.join(best, TABLE_HUB, "left")
-        .withColumn("rn", F.coalesce("rn", F.lit(1)).cast("long"))
-        .join(idle, [*HUB_KEY, "rn"], "left")
-        .withColumn("choice", choice)
+        .withColumn("idle_rn", F.coalesce("idle_rn", F.lit(1)).cast("long"))
+        .join(idle, [*HUB_KEY, "idle_rn"], "left")
+        .withColumn("choice", F.least("best", "idle"))
         .filter("choice is not null")
         .select(*TABLE_HUB, "missing", F.col("choice.node_id").alias("node_id"),
                 (-F.col("choice.neg_gap")).alias("gap"), F.col("choice.learners").alias("learners"))
