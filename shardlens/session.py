@@ -20,6 +20,9 @@ RUNTIME_DEFAULTS = {
 }
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply ``RUNTIME_DEFAULTS`` where the session's own configuration names nothing."""
     given = {key for key, _ in spark.sparkContext.getConf().getAll()}
@@ -55,9 +58,9 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="shardlens-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if "folder" not in _LOCAL:
+        _LOCAL["folder"] = tempfile.mkdtemp(prefix="shardlens-")
+    return _LOCAL["folder"]
 
 
 def run_folder(spark: SparkSession, label: str) -> str:

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardlens.operators.tasks import DONE_MARK
+
 
 @dataclass
 class PublishResult:
@@ -58,7 +60,8 @@ def read_checkpoint_listing(spark: SparkSession, path: str, region: str) -> Data
     """FILE and DIRECTORY entries below ``path`` from file metadata; contents are never read.
 
     Expects ``<path>/table_<id>/<session>/<part_n>/...`` and ``.../<done>`` and gives (table_id, path, region, type,
-    suffix).  A directory shows through the files below it.
+    suffix).  A directory shows through the files below it.  Done marks are empty files, which file scans leave out, so
+    they are looked up by name: one entry per checkpoint.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     found = r"^(.*/table_([0-9]+)/[^/]+)/([^/]+)(/.*)?$"
@@ -67,4 +70,14 @@ def read_checkpoint_listing(spark: SparkSession, path: str, region: str) -> Data
         part(2).try_cast("bigint").alias("table_id"), part(1).alias("path"), F.lit(region).alias("region"),
         F.when(part(4) == "", "FILE").otherwise("DIRECTORY").alias("type"), part(3).alias("suffix"),
     )
-    return rows.distinct()
+    marks = spark.createDataFrame(_glob(spark, f"{path}/table_*/*/{DONE_MARK}"), "path string").select(
+        part(2).try_cast("bigint").alias("table_id"), part(1).alias("path"), F.lit(region).alias("region"),
+        F.lit("FILE").alias("type"), part(3).alias("suffix"),
+    )
+    return rows.unionByName(marks).distinct()
+
+
+def _glob(spark: SparkSession, pattern: str) -> list[tuple[str]]:
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return [(entry.getPath().toString(),) for entry in found or []]
