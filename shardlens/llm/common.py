@@ -38,3 +38,11 @@ def words_of(text: Column) -> Column:
     """The words of ``text`` as an array; null and blank texts have none."""
     bare = F.btrim(text, F.lit(BLANKS))
     return F.when(F.length(bare) > 0, F.split(bare, f"{BLANK_CLASS}+")).otherwise(F.array().cast("array<string>"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardlens.llm.common import staged
+from shardlens.llm.common import staged, unused
 
 TOKEN = re.compile(r"\w+")
 # Text of benchmark items that one pass over the documents takes along; more items take more passes.
@@ -237,7 +237,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakP
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns: leaky texts are named by 128-bit hashes."""
-    key = F.concat_ws(":", F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(1), "text")))
-    keyed = docs.withColumn("_key", key)
-    leaky = staged(find_leaks(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, params).select("doc_id").distinct(), "leaky")
-    return keyed.join(leaky.select(F.col("doc_id").alias("_key")), "_key", "left_anti").drop("_key")
+    key = unused(docs, "_key")
+    keyed = docs.withColumn(key, F.concat_ws(":", F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(1), "text"))))
+    leaks = find_leaks(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, params)
+    leaky = staged(leaks.select(F.col("doc_id").alias(key)).distinct(), "leaky")
+    return keyed.join(leaky, key, "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardlens.llm.common import BLANK_CLASS, BLANKS, staged, words_of
+from shardlens.llm.common import BLANK_CLASS, BLANKS, staged, unused, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
@@ -95,10 +95,11 @@ def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "_lists",
         F.when(F.size("_twice") > 0, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.filter("_twice", lambda x: x.bitwiseAND(63) == b))),
     )
+    # The lists are named twice on purpose: a column named once would be worked out anew for every word.
     starts = lists.withColumn(
         "_starts",
         F.when(
-            F.size("_twice") > 0,
+            F.col("_lists").isNotNull(),
             F.filter(
                 F.sequence(F.lit(0), F.size("_tri") - 1),
                 lambda i: F.array_contains(
@@ -172,5 +173,6 @@ def quality_verdicts(docs: DataFrame, rules: LineRules = LineRules(), id_col: st
 def keep_quality(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
     judged = quality_verdicts(docs, rules)
-    rejected = staged(judged.where(~F.col("kept")).select("_key").distinct(), "quality-rejected")
-    return docs.withColumn("_key", row_key(docs)).join(rejected, "_key", "left_anti").drop("_key")
+    key = unused(docs, "_key")
+    rejected = staged(judged.where(~F.col("kept")).select(F.col("_key").alias(key)).distinct(), "quality-rejected")
+    return docs.withColumn(key, row_key(docs)).join(rejected, key, "left_anti").select(*docs.columns)

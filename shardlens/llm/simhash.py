@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardlens.llm.common import TO_LOWER, WORD, staged
+from shardlens.llm.common import TO_LOWER, WORD, staged, unused
 from shardlens.llm.components import star_components
 
 BITS = 64
@@ -182,11 +182,12 @@ def near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams()) ->
 
 def keep_representatives(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
     """One row of each component: the one with the smallest ``doc_id`` (null last; repeated rows: one of them)."""
-    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
-    rank = F.struct(F.col("doc_id").isNull().alias("gone"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
+    row = unused(docs, "_row")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
+    rank = F.struct(F.col("doc_id").isNull().alias("gone"), F.col("doc_id").alias("doc_id"), F.col(row).alias("row"))
     rows = numbered.select(rank.alias("doc_id"), "text")
-    kept = near_duplicates(rows, params).select(F.col("component_id.row").alias("_row")).distinct()
-    return numbered.join(staged(kept, "simhash-kept"), "_row").select(*docs.columns)
+    kept = near_duplicates(rows, params).select(F.col("component_id.row").alias(row)).distinct()
+    return numbered.join(staged(kept, "simhash-kept"), row).select(*docs.columns)
 
 
 def near_duplicate_report(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
