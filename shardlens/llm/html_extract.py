@@ -89,12 +89,13 @@ def blocks(page: str | None) -> list[Block]:
             if tag == "a":
                 anchor = max(0, anchor - 1)
             elif tag in BLOCK_TAGS:
-                flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-                anchor = 0
+                # An end tag without its element is ignored, but that of a paragraph, which stands for an empty one.
+                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+                if depth is not None or tag == "p":
+                    flush()
+                    anchor = 0
+                if depth is not None:
+                    del stack[depth:]
             continue
         if tag in HIDDEN_TAGS and not m[3].rstrip().endswith("/"):
             end = HIDDEN_END[tag].search(page, at)

@@ -65,8 +65,8 @@ class Trie:
 
     def halves(self, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
         """Where the nodes' ranges go over from bit 0 to bit 1 at ``depth``."""
-        bit = np.uint64(1 << (BITS - 1 - depth))
-        prefix = (self.values[lo] & ~((bit << np.uint64(1)) - np.uint64(1))) | bit
+        above = np.uint64(2**BITS - 2 ** (BITS - depth))
+        prefix = (self.values[lo] & above) | np.uint64(1 << (BITS - 1 - depth))
         return np.clip(np.searchsorted(self.values, prefix), lo, hi)
 
 

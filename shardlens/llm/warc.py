@@ -85,7 +85,7 @@ def write_archives(batches: Iterator[pa.RecordBatch], folder: str, dictionary: b
         columns = [batch[c] for c in ("page_id", "url", "html", "_first", "_revisit")]
         for page_id, url, html, first, revisit in ((v.as_py() for v in row) for row in zip(*columns)):
             if out is None:
-                out = store.open_output_stream(inner)
+                out = store.open_output_stream(inner, compression=None)
                 out.write(struct.pack("<II", DICT_FRAME, len(dictionary)) + dictionary)
             payload = (html or "").encode()
             out.write(level.compress(record(page_id, url, payload, payload_digest(payload), first, revisit)))
@@ -98,7 +98,7 @@ def write_archives(batches: Iterator[pa.RecordBatch], folder: str, dictionary: b
 def _frames(path: str) -> Iterator[bytes]:
     """The decompressed frames of an archive after its dictionary, read in chunks."""
     store, inner = _open(path)
-    with store.open_input_stream(inner) as source:
+    with store.open_input_stream(inner, compression=None) as source:
         head = source.read(8)
         magic, size = struct.unpack("<II", head) if len(head) == 8 else (0, 0)
         if magic != DICT_FRAME:
