@@ -243,7 +243,7 @@ def test_blocks_of_a_page():
     texts = [b.text for b in html_extract.blocks(PAGE)]
     assert texts[:3] == ["Home", "About us", "We use cookies on this site."] and "A & B" in texts
     assert html_extract.blocks(None) == html_extract.blocks("") == html_extract.blocks("<p> \n </p><!-- x -->") == []
-    assert [b.text for b in html_extract.blocks("<p>a<br>b &lt;i&gt; <b>c</b>d<p>e</div>f<!-- g")] == ["a b <i> cd", "e f"]
+    assert [b.text for b in html_extract.blocks("<p>a<br>b &lt;i&gt; <b>c</b>d<p>e</div>f<!-- g")] == ["a b <i> cd", "ef"]
     assert [b.text for b in html_extract.blocks('<p title="a>b">x</p <p>y < z')][:1] == ["x"]
 
 
