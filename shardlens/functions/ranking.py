@@ -49,3 +49,18 @@ def numbered(
         running = inside.rowsBetween(Window.unboundedPreceding, -1)
         here = F.coalesce(F.sum(weight).over(running), F.lit(0)).cast("long")
     return df.join(shift, group).withColumn(out, here + F.col("_shift")).drop("_shift")
+
+
+def part_grid(rows: DataFrame, out: str, count: str = "parts_count") -> DataFrame:
+    """``rows`` once for each id from 0 to ``count`` - 1, as column ``out``.
+
+    A short list in one file would emit the whole grid in one task.  Blocks of ids are made first, dealt over the
+    cluster, and opened there.
+    """
+    width = F.lit(BUCKET_WIDTH).cast("long")
+    last = F.call_function("div", F.col(count) - 1, width)
+    blocks = rows.filter(F.col(count) > 0).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    start = F.col("_block") * width
+    ids = F.sequence(start, F.least(start + width, F.col(count)) - 1)
+    dealt = blocks.repartition(*[F.col(c) for c in blocks.columns if c != count])
+    return dealt.select(*rows.columns, F.explode(ids).alias(out))

@@ -60,9 +60,12 @@ ROLE_RULES: dict[str, Callable[[], Column]] = {
 }
 
 
-def target_role(service_type: str) -> Column:
-    """Next role under the rule of ``service_type``; types without their own rule use the standard one."""
-    return ROLE_RULES.get(service_type, standard)().cast("int")
+def target_role(service_type: str, rules: dict[str, Callable[[], Column]] | None = None) -> Column:
+    """Next role under the rule of ``service_type``; types without their own rule use the standard one.
+
+    ``rules`` adds to the registry or replaces entries of it.
+    """
+    return (ROLE_RULES | (rules or {})).get(service_type, standard)().cast("int")
 
 
 def primary_may_switch(from_stats: Column, to_stats: Column, guarded: bool) -> Column:

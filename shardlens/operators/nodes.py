@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardlens.functions.exprs import count_where, host_port, node_index_parts
+from shardlens.functions.exprs import count_where, host_port, int_div, node_index_parts
 from shardlens.functions.ranking import id_bucket, numbered
 from shardlens.functions.scoring import MAX_WEIGHT, MIN_WEIGHT, node_score
 from shardlens.schema import HUB_KEY, NODE_KEY, NOOP, OFFLINE, PART_KEY, RESTART, SCOPE, TABLE_KEY
@@ -342,7 +342,7 @@ def shrink_by_index(nodes: DataFrame, hubs: DataFrame, targets: DataFrame) -> Da
     kept per hub.  Sizes that do not divide by the zone's hubs select nothing (see ``shrink_request_check``)."""
     per_az = hubs.groupBy(*SCOPE, "az").agg(F.count(F.lit(1)).alias("hub_count"))
     kept = targets.join(per_az, [*SCOPE, "az"]).filter("new_size > 0 and new_size % hub_count = 0")
-    last = (F.col("new_size") / F.col("hub_count")).cast("long") - 1
+    last = int_div(F.col("new_size").cast("long"), F.col("hub_count")) - 1
     sub = node_index_parts("node_index")["sub_no"]
     return (
         nodes.select(*NODE_KEY, "az", "hub_name", sub.alias("sub_no"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardlens.functions.exprs import count_where, host_port, int_div, is_normal, is_serving, role_name
-from shardlens.functions.ranking import id_bucket, numbered
+from shardlens.functions.ranking import BUCKET_WIDTH, id_bucket, numbered, part_grid
 from shardlens.functions.scoring import effective_weight, weighted_score
 from shardlens.schema import (
     HUB_KEY,
@@ -224,15 +224,56 @@ def held_load(members: DataFrame, tables: DataFrame, profile: DataFrame) -> Data
     return with_estimates(load, tables, profile)
 
 
-def estimated_by_node(estimates: DataFrame) -> DataFrame:
-    """Total estimate per node over all tables; a node no table counts on any more has no row."""
-    return estimates.groupBy(*NODE_KEY).agg(F.sum("est").cast("long").alias("estimated"))
+def estimated_by_node(tables: DataFrame, profile: DataFrame) -> DataFrame:
+    """Total estimate per node over all tables; a node no table counts on any more has no row.
+
+    The same sums as those of ``estimate_replicas`` without the list.  Floors depend on score and table size: they are
+    added up per (hub, score).  A table's left-over partitions fall on a stretch of the hub's circle of positions: each
+    stretch adds at its start and takes away behind its end, and a node's share is the running total at its position.
+    """
+    wanted = _wanted_tables(tables, profile)
+    scored = profile.filter("hub_score > 0")
+    sizes = wanted.groupBy(*SCOPE, "parts_count").agg(F.count(F.lit(1)).alias("n"))
+    floors = (
+        scored.select(*HUB_KEY, "hub_score", "wscore").distinct()
+        .join(sizes, SCOPE)
+        .groupBy(*HUB_KEY, "wscore")
+        .agg(F.sum(_floor_est() * F.col("n")).alias("floors"))
+    )
+    behind = F.col("start") + F.col("spare")
+    step = lambda pos, delta: F.struct(pos.alias("pos"), delta.alias("delta"))
+    wraps = behind > F.col("hub_nodes")
+    edges = (
+        wanted.join(_spare_parts(profile, tables).filter("spare > 0"), [*SCOPE, "parts_count"])
+        .groupBy(*HUB_KEY, "hub_nodes", "spare", F.pmod(-F.col("seed"), F.col("hub_nodes")).alias("start"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(*HUB_KEY, F.explode(F.array(
+            step(F.col("start"), F.col("n")),
+            step(F.when(wraps, behind - F.col("hub_nodes")).otherwise(behind), -F.col("n")),
+            step(F.lit(0).cast("long"), F.when(wraps, F.col("n")).otherwise(0)),
+        )).alias("e"))
+        .groupBy(*HUB_KEY, F.col("e.pos").alias("pos"))
+        .agg(F.sum("e.delta").alias("delta"))
+        .select(*HUB_KEY, "pos", "delta", F.lit(0).alias("side"), F.lit(None).cast(profile.schema["node_id"].dataType).alias("node_id"))
+    )
+    places = scored.select(
+        *HUB_KEY, (F.col("rn") - 1).cast("long").alias("pos"), F.lit(0).cast("long").alias("delta"), F.lit(1).alias("side"), "node_id")
+    line = edges.unionByName(places).withColumn("_block", int_div("pos", F.lit(BUCKET_WIDTH).cast("long")))
+    extra = numbered(line, HUB_KEY, ["_block"], ["pos", "side"], out="extra", weight="delta").filter("side = 1")
+    return (
+        scored.select(*HUB_KEY, "wscore", "node_id")
+        .join(floors, [*HUB_KEY, "wscore"])
+        .join(extra.select(*HUB_KEY, "node_id", "extra"), [*HUB_KEY, "node_id"])
+        .select(*NODE_KEY, (F.col("floors") + F.col("extra")).cast("long").alias("estimated"))
+        .filter("estimated > 0")
+    )
 
 
 def node_brief(
     nodes: DataFrame,
     facts: DataFrame,
-    estimates: DataFrame,
+    tables: DataFrame,
+    profile: DataFrame | None = None,
     az: str | None = None,
     hub: str | None = None,
     table_id: int | None = None,
@@ -240,18 +281,20 @@ def node_brief(
 ) -> DataFrame:
     """One row per node, replica-free ones included: reported roles, estimate, weight and score.
 
-    Counts come from ``facts``.  ``az`` wins over ``hub``; ``table_id`` narrows both counts and estimates.
+    Counts come from ``facts``.  ``az`` wins over ``hub``; ``table_id`` narrows both counts and estimates.  Without a
+    ``profile``, nodes are rated among all of ``nodes``.
     """
+    profile = node_profile(nodes) if profile is None else profile
     if az is not None:
         nodes = nodes.filter(F.col("az") == az)
     elif hub is not None:
         nodes = nodes.filter(F.col("hub_name") == hub)
     if table_id is not None:
         facts = facts.filter(F.col("table_id") == table_id)
-        estimates = estimates.filter(F.col("table_id") == table_id)
+        tables = tables.filter(F.col("table_id") == table_id)
     out = (
         nodes.join(replicas_by_node(facts), NODE_KEY, "left")
-        .join(estimated_by_node(estimates), NODE_KEY, "left")
+        .join(estimated_by_node(tables, profile), NODE_KEY, "left")
         .select(
             *NODE_KEY, "hub_name", "az", "host", "port", "op", "is_alive",
             *[_zero(c) for c in ("primaries", "secondaries", "learners", "total", "estimated")],
@@ -341,9 +384,7 @@ def missing_hub_cells(tables: DataFrame, hubs: DataFrame, members: DataFrame, no
     have = (
         _with_hub(members, nodes, hubs).groupBy(*PART_KEY).agg(F.collect_set("hub_name").alias("have"))
     )
-    pids = tables.select(
-        *TABLE_KEY, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_count") - 1)).alias("partition_id")
-    )
+    pids = part_grid(tables.select(*TABLE_KEY, "parts_count"), "partition_id").drop("parts_count")
     none = F.array().cast("array<string>")
     return (
         pids.join(have, PART_KEY, "left")
@@ -728,8 +769,11 @@ def restart_impact(members: DataFrame, nodes: DataFrame, hubs: DataFrame) -> Dat
 
 def shade_placement_diff(base: DataFrame, shade: DataFrame, nodes: DataFrame, hubs: DataFrame) -> DataFrame:
     """Per (shade partition, hub, node): 'add' where only the base has the node; 'remove' or 'keep' where only the
-    shade has it, depending on whether another serving replica stays in that hub.  Both inputs carry the shade's
-    table id."""
+    shade has it.  Both inputs carry the shade's table id.
+
+    All removals may be carried out together: while a hub misses a node, nothing is removed there; otherwise the extra
+    nodes go, but for the lowest-numbered serving one if no serving replica stays on a node of the base.
+    """
     where = nodes.join(hubs.select(*HUB_KEY), HUB_KEY, "left_semi").select(*NODE_KEY, "hub_name")
     marked = base.select(*REPLICA_COLS).withColumn("side", F.lit("base")).unionByName(
         shade.select(*REPLICA_COLS).withColumn("side", F.lit("shade"))
@@ -739,10 +783,22 @@ def shade_placement_diff(base: DataFrame, shade: DataFrame, nodes: DataFrame, hu
         F.max((F.col("side") == "base").cast("int")).alias("in_base"), F.max(in_shade.cast("int")).alias("in_shade"),
         F.max(F.when(in_shade & is_serving(), 1).otherwise(0)).alias("serves"),
     ).join(where, NODE_KEY)
-    serving = cells.groupBy(*PART_KEY, "hub_name").agg(F.sum("serves").alias("hub_serving"))
-    change = F.when(F.col("in_shade") == 0, "add").when(F.col("hub_serving") - F.col("serves") > 0, "remove").otherwise("keep")
+    extra = (F.col("in_base") == 0) & (F.col("in_shade") == 1)
+    state = cells.groupBy(*PART_KEY, "hub_name").agg(
+        F.max(F.when((F.col("in_base") == 1) & (F.col("in_shade") == 0), 1).otherwise(0)).alias("adds"),
+        F.max(F.when((F.col("in_base") == 1) & (F.col("serves") == 1), 1).otherwise(0)).alias("safe"),
+        F.min(F.when(extra & (F.col("serves") == 1), F.col("node_id"))).alias("last_serving"),
+    )
+    # Without any serving replica in the hub there is nothing that a removal could leave behind.
+    held = F.coalesce(F.col("last_serving") == F.col("node_id"), F.col("last_serving").isNull())
+    change = (
+        F.when(F.col("in_shade") == 0, "add")
+        .when(F.col("adds") == 1, "keep")
+        .when((F.col("safe") == 0) & held, "keep")
+        .otherwise("remove")
+    )
     return (
-        cells.filter("in_base <> in_shade").join(serving, [*PART_KEY, "hub_name"])
+        cells.filter("in_base <> in_shade").join(state, [*PART_KEY, "hub_name"])
         .select(*PART_KEY, "hub_name", "node_id", change.alias("change"))
     )
 
@@ -777,14 +833,24 @@ def as_shades(members: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFra
 # --- hash groups --------------------------------------------------------------------------------------------------
 
 
-def capacity_range_assign(estimates: DataFrame, groups: DataFrame) -> DataFrame:
+def capacity_range_assign(
+    estimates: DataFrame, groups: DataFrame, nodes: DataFrame | None = None, hubs: DataFrame | None = None
+) -> DataFrame:
     """Hand consecutive slices of the (pid mod groups, pid) order to nodes, each as long as its estimate.
 
+    Nodes take their slices in order of their index in the hub, then of their id, where ``nodes`` has indexes
+    (unnumbered nodes first).  With ``nodes`` and ``hubs``, hubs that are not ready are left out.
+
     ``groups`` holds (table key, parts_count, part_groups), with groups dividing the parts.  Slots are exploded and
     mapped back to partition ids by arithmetic, so there is neither a range join nor a partition grid.
     """
     slices = estimates.join(groups.select(*TABLE_KEY, "parts_count", "part_groups"), TABLE_KEY)
-    before = Window.partitionBy(*TABLE_HUB).orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    order = ["node_id"]
+    if nodes is not None and "node_index" in nodes.columns:
+        slices, order = slices.join(nodes.select(*NODE_KEY, "node_index"), NODE_KEY), ["node_index", "node_id"]
+    if nodes is not None and hubs is not None:
+        slices = slices.join(ready_hubs(nodes, hubs), HUB_KEY, "left_semi")
+    before = Window.partitionBy(*TABLE_HUB).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("est").over(before), F.lit(0)).cast("long")
     slots = slices.withColumn("start", start).select(
         *TABLE_HUB, "node_id", "parts_count", "part_groups",
@@ -830,15 +896,27 @@ def group_moves(members: DataFrame, nodes: DataFrame, hubs: DataFrame, assignmen
 # --- printed forms ------------------------------------------------------------------------------------------------
 
 
-def placement_by_hub(members: DataFrame, nodes: DataFrame, hub_names: list[str]) -> DataFrame:
-    """One column per hub; a cell lists ``P:host:port,...`` in order, ``-`` when empty."""
+def placement_by_hub(members: DataFrame, nodes: DataFrame, hub_names: list[str], other: str = "other") -> DataFrame:
+    """One column per named hub; a cell lists ``P:host:port,...`` in order, ``-`` when empty.
+
+    Replicas in any hub that is not named stand in the column ``other``, as ``hub/P:host:port``.
+    """
+    if other in hub_names:
+        raise ValueError(f"{other!r} is a hub: give the column for the rest another name")
     letter = F.upper(F.substring(role_name(), 1, 1))
     where = nodes.select(*NODE_KEY, "hub_name", "host", "port")
-    rows = members.join(where, NODE_KEY).withColumn("cell", F.concat_ws(":", letter, host_port()))
-    pivot = rows.groupBy(*PART_KEY).pivot("hub_name", hub_names).agg(
+    cell = F.concat_ws(":", letter, host_port())
+    listed = F.coalesce(F.col("hub_name").isin(hub_names), F.lit(False))
+    rows = members.join(where, NODE_KEY).select(
+        *PART_KEY,
+        F.when(listed, F.col("hub_name")).otherwise(F.lit(other)).alias("hub_name"),
+        F.when(listed, cell).otherwise(F.concat(F.coalesce("hub_name", F.lit("")), F.lit("/"), cell)).alias("cell"),
+    )
+    columns = [*hub_names, other]
+    pivot = rows.groupBy(*PART_KEY).pivot("hub_name", columns).agg(
         F.array_join(F.array_sort(F.collect_list("cell")), ",")
     )
-    filled = [F.when(F.coalesce(F.col(f"`{h}`"), F.lit("")) == "", "-").otherwise(F.col(f"`{h}`")).alias(h) for h in hub_names]
+    filled = [F.when(F.coalesce(F.col(f"`{h}`"), F.lit("")) == "", "-").otherwise(F.col(f"`{h}`")).alias(h) for h in columns]
     return pivot.select(*PART_KEY, *filled)
 
 

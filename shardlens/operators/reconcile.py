@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardlens.functions.exprs import count_where, int_div, is_normal, is_serving, stat_long
@@ -176,12 +178,12 @@ def split_children(members: DataFrame, tables: DataFrame) -> DataFrame:
 
 def passive_role_targets(
     members: DataFrame, facts: DataFrame, nodes: DataFrame, tables: DataFrame, service_type: str,
-    restoring: DataFrame | None = None,
+    restoring: DataFrame | None = None, rules: dict[str, Callable[[], Column]] | None = None,
 ) -> DataFrame:
     """Role changes that reports call for this round: at most one per partition, primaries first.
 
     Only replicas on normal nodes whose report agrees with intent are judged.  A target of 'invalid' asks for
-    removal.  ``restoring`` lists tables (TABLE_KEY) in restore.
+    removal.  ``restoring`` lists tables (TABLE_KEY) in restore; ``rules`` are the caller's own role rules.
     """
     state = sibling_state(facts, split_children(members, tables))
     if restoring is None:
@@ -189,7 +191,7 @@ def passive_role_targets(
     else:
         marked = restoring.select(*TABLE_KEY, F.lit(True).alias("restoring")).distinct()
         state = state.join(marked, TABLE_KEY, "left")
-    judged = state.withColumn("target", target_role(service_type))
+    judged = state.withColumn("target", target_role(service_type, rules))
     intent = members.select(*REPLICA_KEY, F.col("role").alias("_role"), F.col("membership_version").alias("_version"))
     normal = nodes.filter(is_normal()).select(*NODE_KEY)
     changes = (
@@ -307,15 +309,20 @@ def detail_by_partition(detail: DataFrame, tasks: DataFrame | None = None) -> Da
     return out.join(named, TABLE_KEY, "left")
 
 
-def partition_page(members: DataFrame, tables: DataFrame, start: int = 0, end: int = 0) -> DataFrame:
-    """Member rows of one page of partitions: the first 128 without a range, else [start, end]; a negative start
-    gives nothing.  The id condition stands alone, so it reaches the scan."""
-    if start == 0 and end == 0:
-        low, high = 0, 127
-    elif start < 0:
-        low, high = 0, -1
-    else:
-        low, high = start, end
-    page = members.filter((F.col("partition_id") >= low) & (F.col("partition_id") <= high))
-    return page.join(tables.select(*TABLE_KEY, "parts_count"), TABLE_KEY).filter("partition_id < parts_count").drop("parts_count")
+def partition_page(
+    members: DataFrame, tables: DataFrame, start: int | None = None, end: int | None = None, page_size: int | None = None
+) -> DataFrame:
+    """Member rows of one page of partitions: ids in [start, end], an absent bound being open.
 
+    ``page_size`` bounds the page to that many ids from ``start`` (0) on; without it nothing is left out.  A negative
+    start gives nothing.  The id condition stands alone, so it reaches the scan.
+    """
+    if page_size is not None:
+        last = (start or 0) + page_size - 1
+        end = last if end is None else min(end, last)
+    page = members
+    if start is not None:
+        page = page.filter(F.col("partition_id") >= start) if start >= 0 else page.filter(F.lit(False))
+    if end is not None:
+        page = page.filter(F.col("partition_id") <= end)
+    return page.join(tables.select(*TABLE_KEY, "parts_count"), TABLE_KEY).filter("partition_id < parts_count").drop("parts_count")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardlens.functions.exprs import node_of_status, status_of_node
-from shardlens.functions.ranking import id_bucket, numbered
+from shardlens.functions.ranking import id_bucket, numbered, part_grid
 from shardlens.schema import HUB_KEY, LEARNER, NODE_KEY, PART_KEY, REPLICA_KEY, SCOPE, TABLE_KEY
 
 
@@ -44,8 +44,7 @@ def build_routes(tables: DataFrame, members: DataFrame, replicas: DataFrame) ->
         F.max("membership_version").alias("version"), F.max("split_version").alias("split_version"))
     lists = replicas.groupBy(*PART_KEY).agg(
         F.sort_array(F.collect_list(F.struct("server_index", "role"))).alias("replicas"))
-    grid = tables.select(
-        *TABLE_KEY, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_count") - 1)).alias("partition_id"))
+    grid = part_grid(tables.select(*TABLE_KEY, "parts_count"), "partition_id").drop("parts_count")
     none = F.array().cast("array<struct<server_index:bigint,role:int>>")
     return (
         grid.join(versions, PART_KEY, "left").join(lists, PART_KEY, "left")

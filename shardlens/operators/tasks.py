@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shardlens.functions.exprs import (
     checkpoint_parts, checkpoint_path, count_where, int_div, is_servable, run_duration_text, sec_to_ts)
-from shardlens.functions.ranking import numbered
+from shardlens.functions.ranking import numbered, part_grid
 from shardlens.schema import LEARNER, NODE_KEY, PART_KEY, PRIMARY, REPLICA_KEY, SCOPE, TABLE_KEY, az_dimension
 
 TASK_KEY = [*SCOPE, "task_id"]
@@ -115,8 +115,7 @@ def due_cleanups(waiting: DataFrame, in_use: DataFrame, now: int) -> DataFrame:
 
 
 def _all_parts(tables: DataFrame) -> DataFrame:
-    return tables.select(
-        *TABLE_KEY, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_count") - 1)).alias("partition_id"))
+    return part_grid(tables.select(*TABLE_KEY, "parts_count"), "partition_id").drop("parts_count")
 
 
 def task_receivers(
@@ -125,7 +124,8 @@ def task_receivers(
     """Which replicas a command goes to: 'leader', 'all' or one per region ('every_region').
 
     Partitions (or regions of one) without a fit replica give a row with a null node.  Per region a previous receiver
-    (REPLICA_KEY) stays; otherwise the node with the fewest replicas of the table is taken.
+    (REPLICA_KEY) stays; otherwise the choice turns with the partition id among the fit nodes, which hands every node
+    about as many commands of the round.
     """
     fit = nodes.filter(is_servable()).select(*NODE_KEY, "hub_name", "az")
     held = members.select(*REPLICA_KEY, "role").join(fit, NODE_KEY)
@@ -135,14 +135,17 @@ def task_receivers(
     if mode != "every_region":
         raise ValueError(f"unknown notify mode {mode!r}")
     regions = F.broadcast(az_dimension(members.sparkSession).select("az", "region"))
-    load = members.groupBy(*TABLE_KEY, "node_id").agg(F.count(F.lit(1)).alias("load"))
-    rows = held.filter(F.col("role") != LEARNER).join(regions, "az").join(load, [*TABLE_KEY, "node_id"])
+    rows = held.filter(F.col("role") != LEARNER).join(regions, "az")
     if previous is not None:
-        rows = rows.join(previous.select(*REPLICA_KEY, F.lit(0).alias("fresh")), REPLICA_KEY, "left")
-        rows = rows.withColumn("fresh", F.coalesce("fresh", F.lit(1)))
+        rows = rows.join(previous.select(*REPLICA_KEY, F.lit(True).alias("kept")), REPLICA_KEY, "left")
     else:
-        rows = rows.withColumn("fresh", F.lit(1))
-    best = rows.groupBy(*PART_KEY, "region").agg(F.min(F.struct("fresh", "load", "node_id", "hub_name")).alias("b")).select(
+        rows = rows.withColumn("kept", F.lit(None).cast("boolean"))
+    place = F.struct("node_id", "hub_name")
+    # A partition has a handful of replicas a region; which of them is taken turns with the partition id, so that
+    # partitions held by the same nodes are spread over them.
+    best = rows.groupBy(*PART_KEY, "region").agg(
+        F.min(F.when(F.col("kept"), place)).alias("stays"), F.array_sort(F.collect_list(place)).alias("fit")
+    ).withColumn("b", F.coalesce("stays", F.get("fit", F.pmod(F.col("partition_id"), F.size("fit")).cast("int")))).select(
         *PART_KEY, "region", F.col("b.node_id").alias("node_id"), F.col("b.hub_name").alias("hub_name"))
     wanted = hubs.join(regions, "az").groupBy(*SCOPE).agg(F.collect_set("region").alias("all_regions"))
     have = best.groupBy(*PART_KEY).agg(F.collect_set("region").alias("have"))
@@ -155,23 +158,30 @@ def task_receivers(
 
 
 def concurrency_slice(receivers: DataFrame, max_hubs: int = 0, max_nodes: int = 0, max_per_node: int = 0) -> DataFrame:
-    """The part of a table's receivers that may run at once; 0 and below mean no limit.  Hubs, nodes and partitions
-    are taken in name or id order."""
+    """The part of a table's receivers that may run at once; 0 and below mean no limit.
+
+    Receivers may carry ``progress`` (100: finished, they leave and free their slot) and ``running`` (they keep their
+    slot before new ones are let in).  Beside that, hubs, nodes and partitions are taken in name or id order.
+    """
     open_rows = receivers.filter("node_id is not null")
-    nodes = open_rows.select(*TABLE_KEY, "hub_name", "node_id").distinct()
+    if "progress" in receivers.columns:
+        open_rows = open_rows.filter(F.coalesce("progress", F.lit(0)) < 100)
+    busy = F.coalesce("running", F.lit(False)) if "running" in receivers.columns else F.lit(False)
+    open_rows = open_rows.withColumn("_new", (~busy).cast("int"))
+    nodes = open_rows.groupBy(*TABLE_KEY, "hub_name", "node_id").agg(F.min("_new").alias("_new"))
     if max_hubs > 0:
-        hubs = nodes.select(*TABLE_KEY, "hub_name").distinct()
-        rank = F.row_number().over(Window.partitionBy(*TABLE_KEY).orderBy("hub_name"))
-        hubs = hubs.withColumn("_h", rank).filter(F.col("_h") <= max_hubs).drop("_h")
-        nodes = nodes.join(hubs, [*TABLE_KEY, "hub_name"], "left_semi")
+        hubs = nodes.groupBy(*TABLE_KEY, "hub_name").agg(F.min("_new").alias("_new"))
+        rank = F.row_number().over(Window.partitionBy(*TABLE_KEY).orderBy("_new", "hub_name"))
+        hubs = hubs.withColumn("_h", rank).filter(F.col("_h") <= max_hubs)
+        nodes = nodes.join(hubs.select(*TABLE_KEY, "hub_name"), [*TABLE_KEY, "hub_name"], "left_semi")
     if max_nodes > 0:
-        rank = F.row_number().over(Window.partitionBy(*TABLE_KEY).orderBy("hub_name", "node_id"))
-        nodes = nodes.withColumn("_n", rank).filter(F.col("_n") <= max_nodes).drop("_n")
-    running = open_rows.join(nodes, [*TABLE_KEY, "hub_name", "node_id"], "left_semi")
+        rank = F.row_number().over(Window.partitionBy(*TABLE_KEY).orderBy("_new", "hub_name", "node_id"))
+        nodes = nodes.withColumn("_n", rank).filter(F.col("_n") <= max_nodes)
+    chosen = open_rows.join(nodes.select(*TABLE_KEY, "hub_name", "node_id"), [*TABLE_KEY, "hub_name", "node_id"], "left_semi")
     if max_per_node > 0:
-        rank = F.row_number().over(Window.partitionBy(*TABLE_KEY, "node_id").orderBy("partition_id"))
-        running = running.withColumn("_p", rank).filter(F.col("_p") <= max_per_node).drop("_p")
-    return running
+        rank = F.row_number().over(Window.partitionBy(*TABLE_KEY, "node_id").orderBy("_new", "partition_id"))
+        chosen = chosen.withColumn("_p", rank).filter(F.col("_p") <= max_per_node).drop("_p")
+    return chosen.drop("_new").select(*receivers.columns)
 
 
 def task_round_progress(progress: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -223,6 +233,6 @@ def missing_checkpoint_parts(listing: DataFrame, tables: DataFrame) -> DataFrame
     place = [*TABLE_KEY, "path", "region"]
     number = F.regexp_extract("suffix", f"^{PART_PREFIX}(0|[1-9][0-9]*)$", 1).try_cast("bigint")
     have = listing.filter(F.col("type") == "DIRECTORY").select(*place, number.alias("part")).filter("part is not null")
-    want = listing.select(*place).distinct().join(tables.select(*TABLE_KEY, "parts_count"), TABLE_KEY).select(
-        *place, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_count") - 1)).alias("part"))
+    listed = listing.select(*place).distinct().join(tables.select(*TABLE_KEY, "parts_count"), TABLE_KEY)
+    want = part_grid(listed, "part").select(*place, "part")
     return want.join(have, [*place, "part"], "left_anti")

@@ -98,17 +98,24 @@ def _(v):
 
 
 @query("address_conflicts", """
-WITH c AS (SELECT n.node_id, host, op, is_alive, count(*) OVER (PARTITION BY host) AS at_address,
-    count(*) FILTER (WHERE is_alive) OVER (PARTITION BY host) AS alive_there, coalesce(l.n, 0) AS replicas FROM f_nodes n
-  LEFT JOIN (SELECT node_id, count(*) AS n FROM f_members WHERE qty > 48 AND ln > 5 GROUP BY 1) l ON l.node_id = n.node_id)
+WITH nd AS (SELECT node_id, host, op, is_alive FROM f_nodes
+    UNION ALL SELECT 1000000 + c_custkey, concat('spare', c_custkey % 37), CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END, c_custkey % 5 = 0 FROM customer),
+  c AS (SELECT n.node_id, host, op, is_alive, count(*) OVER (PARTITION BY host) AS at_address,
+    count(*) FILTER (WHERE is_alive) OVER (PARTITION BY host) AS alive_there, coalesce(l.n, 0) AS replicas FROM nd n
+  LEFT JOIN (SELECT node_id, count(*) AS n FROM f_members GROUP BY 1) l ON l.node_id = n.node_id)
 SELECT node_id, host, CAST(9000 AS BIGINT) AS port, at_address, alive_there, replicas,
   CASE WHEN at_address = 1 THEN CASE WHEN op = 2 AND NOT is_alive AND replicas = 0 THEN 'removable' ELSE 'keep' END
        WHEN alive_there > 1 OR is_alive THEN 'keep'
        WHEN op <> 2 THEN CASE WHEN alive_there = 1 THEN 'mark offline' ELSE 'ambiguous' END
        WHEN replicas = 0 THEN 'removable' ELSE 'keep' END AS verdict FROM c""")
 def _(v):
-    # Only rare replicas are counted, so that some nodes hold nothing.
-    return N.address_conflicts(on_shared_ports(v), v.members.filter("qty > 48 and ln > 5"))
+    # Customers are spare nodes that hold nothing.
+    c = F.col("c_custkey")
+    spare = v.scoped(v.table("customer").select(
+        (c + 1000000).alias("node_id"), F.concat(F.lit("spare"), (c % 37).cast("string")).alias("host"), F.lit(9000).alias("port"),
+        F.when(c % 2 == 0, 2).otherwise(0).alias("op"), (c % 5 == 0).alias("is_alive")))
+    shared = on_shared_ports(v)
+    return N.address_conflicts(shared.select(*spare.columns).unionByName(spare), v.members)
 
 
 SCORES_SQL = """

@@ -48,7 +48,7 @@ def _(v):
 @query("estimated_by_node", """
 SELECT node_id, CAST(sum(est) AS BIGINT) AS estimated FROM f_est GROUP BY node_id HAVING sum(est) > 0""")
 def _(v):
-    return P.estimated_by_node(v.estimates)
+    return P.estimated_by_node(v.tables, v.profile)
 
 
 BRIEF_SQL = """
@@ -63,13 +63,13 @@ LEFT JOIN (SELECT node_id, CAST(sum(est) AS BIGINT) AS estimated FROM f_est GROU
 
 @query("node_brief", BRIEF_SQL)
 def node_brief_query(v):
-    return P.node_brief(v.nodes, v.facts, v.estimates, ordered=True)
+    return P.node_brief(v.nodes, v.facts, v.tables, v.profile, ordered=True)
 
 
 @query("node_brief_in_az", BRIEF_SQL + " WHERE az = (SELECT min(r_name) FROM region)")
 def _(v):
     first = v.table("region").agg(F.min("r_name").alias("az"))
-    return P.node_brief(v.nodes.join(first, "az", "left_semi"), v.facts, v.estimates)
+    return P.node_brief(v.nodes.join(first, "az", "left_semi"), v.facts, v.tables, v.profile)
 
 
 @query("replicas_by_node", """
@@ -374,10 +374,12 @@ WITH pairs AS (SELECT table_id, base_table FROM f_tables WHERE base_table IS NOT
     coalesce(b.node_id, s.node_id) AS node_id, b.node_id IS NOT NULL AS ib, s.node_id IS NOT NULL AS ish,
     coalesce(s.role IN (0, 1), false) AS serves FROM b FULL OUTER JOIN s
     ON b.table_id = s.table_id AND b.partition_id = s.partition_id AND b.node_id = s.node_id),
-  x AS (SELECT c.*, hub_name, count(*) FILTER (WHERE serves) OVER (PARTITION BY table_id, partition_id, hub_name) AS hs
-    FROM cells c JOIN f_nodes n ON n.node_id = c.node_id)
-SELECT table_id, partition_id, hub_name, node_id, CASE WHEN NOT ish THEN 'add'
-  WHEN hs - CAST(serves AS INT) > 0 THEN 'remove' ELSE 'keep' END AS change FROM x WHERE ib <> ish""")
+  x AS (SELECT c.*, hub_name, count(*) FILTER (WHERE ib AND NOT ish) OVER hub AS adds, count(*) FILTER (WHERE ib AND serves) OVER hub AS safe,
+      count(*) FILTER (WHERE NOT ib AND serves) OVER hub AS extra_serving,
+      min(CASE WHEN NOT ib AND serves THEN c.node_id END) OVER hub AS first_serving
+    FROM cells c JOIN f_nodes n ON n.node_id = c.node_id WINDOW hub AS (PARTITION BY table_id, partition_id, hub_name))
+SELECT table_id, partition_id, hub_name, node_id, CASE WHEN NOT ish THEN 'add' WHEN adds > 0 THEN 'keep' WHEN safe > 0 THEN 'remove'
+  WHEN extra_serving = 0 OR node_id = first_serving THEN 'keep' ELSE 'remove' END AS change FROM x WHERE ib <> ish""")
 def _(v):
     base, shade = P.as_shades(v.members, v.tables)
     return P.shade_placement_diff(base, shade, v.nodes, v.hubs)
@@ -434,14 +436,25 @@ HUB_COLUMNS = [f"NATION_{i}" for i in range(25)]
 LETTER_SQL = "CASE role WHEN 0 THEN 'P' WHEN 1 THEN 'S' ELSE 'L' END"
 
 
-@query("placement_by_hub", "SELECT table_id, partition_id, " + ", ".join(
-    f"coalesce(string_agg(cell, ',' ORDER BY cell) FILTER (WHERE hub_name = '{h}'), '-') AS {h}" for h in HUB_COLUMNS
-) + f""" FROM (SELECT table_id, partition_id, hub_name, {LETTER_SQL} || ':' || host || ':' || port AS cell
-FROM f_members m JOIN f_nodes n ON m.node_id = n.node_id) GROUP BY 1, 2""")
+def by_hub_sql(hubs):
+    cells = [f"coalesce(string_agg(cell, ',' ORDER BY cell) FILTER (WHERE hub_name = '{h}'), '-') AS {h}" for h in hubs]
+    names = ", ".join(f"'{h}'" for h in hubs)
+    rest = f"coalesce(string_agg(hub_name || '/' || cell, ',' ORDER BY hub_name || '/' || cell) FILTER (WHERE hub_name NOT IN ({names})), '-') AS other"
+    return f"""SELECT table_id, partition_id, {", ".join(cells)}, {rest}
+FROM (SELECT table_id, partition_id, hub_name, {LETTER_SQL} || ':' || host || ':' || port AS cell
+FROM f_members m JOIN f_nodes n ON m.node_id = n.node_id) GROUP BY 1, 2"""
+
+
+@query("placement_by_hub", by_hub_sql(HUB_COLUMNS))
 def _(v):
     return P.placement_by_hub(v.members, v.nodes, HUB_COLUMNS)
 
 
+@query("placement_by_named_hubs", by_hub_sql(HUB_COLUMNS[:3]))
+def _(v):
+    return P.placement_by_hub(v.members, v.nodes, HUB_COLUMNS[:3])
+
+
 @query("placement_by_role", """
 SELECT m.table_id, m.partition_id,
   coalesce(string_agg(a, ',' ORDER BY a) FILTER (WHERE m.role = 0), '') AS primary_at,

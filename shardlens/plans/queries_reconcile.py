@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shardlens.functions import exprs as E
 from shardlens.functions.exprs import unpack_partition, unpack_table
 from shardlens.operators import capacity as C
 from shardlens.operators import reconcile as R
@@ -217,7 +218,29 @@ def _(v):
     return R.partition_page(v.members, v.tables, 5, 11).select(*REPLICA_KEY, "role")
 
 
+@query("list_keys", """
+SELECT table_id, partition_id, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY CAST(node_id AS VARCHAR)) AS node_key FROM f_members GROUP BY 1, 2""")
+def _(v):
+    nodes = v.members.groupBy(*PART_KEY).agg(F.collect_list(F.col("node_id").cast("string")).alias("nodes"))
+    return nodes.select(*PART_KEY, E.list_key("nodes").alias("node_key"))
+
+
 @query("partition_page_default", "SELECT table_id, partition_id, node_id, role FROM f_members WHERE partition_id < 128", ints="role")
+def _(v):
+    return R.partition_page(v.members, v.tables, page_size=128).select(*REPLICA_KEY, "role")
+
+
+@query("partition_page_small", "SELECT table_id, partition_id, node_id, role FROM f_members WHERE partition_id BETWEEN 4 AND 11", ints="role")
+def _(v):
+    return R.partition_page(v.members, v.tables, 4, page_size=8).select(*REPLICA_KEY, "role")
+
+
+@query("partition_page_first_only", "SELECT table_id, partition_id, node_id, role FROM f_members WHERE partition_id = 0", ints="role")
+def _(v):
+    return R.partition_page(v.members, v.tables, 0, 0).select(*REPLICA_KEY, "role")
+
+
+@query("partition_page_whole", "SELECT table_id, partition_id, node_id, role FROM f_members", ints="role")
 def _(v):
     return R.partition_page(v.members, v.tables).select(*REPLICA_KEY, "role")
 

@@ -16,11 +16,11 @@ from shardlens.streaming import stateful as ST
 from shardlens.streaming.runner import drain, read_stream
 
 
-def stored(v: FleetViews, df, label: str):
+def stored(v: FleetViews, df, label: str, files_per_batch: int | None = None):
     """Put a derived table where a file stream can pick it up."""
     folder = run_folder(v.spark, label)
     df.write.parquet(folder)
-    return read_stream(v.spark, folder, df.schema)
+    return read_stream(v.spark, folder, df.schema, files_per_batch)
 
 
 def event_stream(v: FleetViews):
@@ -84,7 +84,8 @@ SELECT f.table_id, f.partition_id, f.node_id, f.role, CASE WHEN f.qty % 4 = 1 TH
 FROM f_facts f JOIN f_members m ON m.table_id = f.table_id AND m.partition_id = f.partition_id AND m.node_id = f.node_id
 WHERE f.restore_version >= m.restore_version""", ints="role membership_version report_sec")
 def _(v):
-    log = SF.collect_facts(SF.deduplicated_reports(stored(v, reported(v), "reports")))
+    reports = stored(v, reported(v).repartitionByRange(3, "reported_at", "node_id").sortWithinPartitions("reported_at"), "reports", files_per_batch=1)
+    log = SF.collect_facts(SF.deduplicated_reports(reports), compact_every=2)
     return SF.current_facts(v.spark, log, v.members).select(*REPLICA_KEY, "role", "membership_version", "report_sec", "restore_version")
 
 
@@ -93,8 +94,9 @@ SELECT f.table_id, f.partition_id, f.node_id, f.role, p.s - f.seq AS lag, f.seq
 FROM f_facts f JOIN (SELECT table_id, partition_id, max(seq) AS s FROM f_facts WHERE role = 0 GROUP BY 1, 2) p
   ON p.table_id = f.table_id AND p.partition_id = f.partition_id WHERE f.role <> 0""", ints="role")
 def _(v):
-    log = SF.lag_per_batch(stored(v, v.facts, "facts"))
-    return v.spark.read.parquet(log).drop("batch")
+    # Dealt by node: a partition's primary and its followers come in different micro-batches.
+    stream = stored(v, v.facts.repartition(4, "node_id"), "facts", files_per_batch=1)
+    return SF.current_lag(v.spark, SF.follow_lag(stream, compact_every=2))
 
 
 @query("stream_liveness", LIVENESS_SQL + """
@@ -136,4 +138,6 @@ def _(v):
     due = F.col("start_sec") + F.col("period_sec")
     opened = runs.select("service", F.col("session_id").alias("item_id"), due.alias("due_sec"))
     ended = runs.filter("finish_sec > 0").select("service", F.col("session_id").alias("item_id"), F.col("finish_sec").alias("at_sec"))
-    return drain(ST.overdue_items(stored(v, opened, "opened"), stored(v, ended, "ended"), "31 days"), "overdue")
+    # An item is looked for as long as its task's longest period.
+    longest = v.tasks.agg(F.max("period_sec")).first()[0] or 0
+    return drain(ST.overdue_items(stored(v, opened, "opened"), stored(v, ended, "ended"), f"{longest} seconds"), "overdue")

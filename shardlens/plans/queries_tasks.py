@@ -124,8 +124,12 @@ def _(v):
 
 
 @query("task_receivers_every_region", GRID_SQL + """
-, best AS (SELECT f.table_id, f.partition_id, region, f.node_id, hub_name FROM fit f JOIN f_load l ON l.table_id = f.table_id AND l.node_id = f.node_id
-    WHERE role <> 2 QUALIFY row_number() OVER (PARTITION BY f.table_id, f.partition_id, region ORDER BY (f.node_id % 3 <> 0), load, f.node_id) = 1)
+, ranked AS (SELECT f.table_id, f.partition_id, region, f.node_id, hub_name,
+      row_number() OVER (PARTITION BY f.table_id, f.partition_id, region ORDER BY f.node_id) - 1 AS place,
+      count(*) OVER (PARTITION BY f.table_id, f.partition_id, region) AS fitting FROM fit f WHERE role <> 2),
+  best AS (SELECT * FROM ranked
+    QUALIFY row_number() OVER (PARTITION BY table_id, partition_id, region
+      ORDER BY (node_id % 3 <> 0), CASE WHEN node_id % 3 = 0 THEN node_id WHEN place = partition_id % fitting THEN 0 ELSE 1 END) = 1)
 SELECT g.table_id, g.partition_id, r.region, b.node_id, b.hub_name FROM grid g CROSS JOIN (SELECT DISTINCT region FROM f_geo) r
 LEFT JOIN best b ON b.table_id = g.table_id AND b.partition_id = g.partition_id AND b.region = r.region""")
 def _(v):
@@ -133,18 +137,34 @@ def _(v):
     return T.task_receivers(v.members, v.geo_nodes, v.geo_hubs, v.tables, "every_region", previous=before)
 
 
-@query("concurrency_slice", GRID_SQL + """
-, nd AS (SELECT DISTINCT table_id, hub_name, node_id FROM fit),
-  hb AS (SELECT DISTINCT table_id, hub_name FROM fit QUALIFY dense_rank() OVER (PARTITION BY table_id ORDER BY hub_name) <= 4),
+SLICE_SQL = """
+, rc AS (SELECT table_id, partition_id, node_id, hub_name, {done} AS done, {busy} AS busy FROM fit),
+  op AS (SELECT * FROM rc WHERE NOT done),
+  nd AS (SELECT table_id, hub_name, node_id, max(busy) AS busy FROM op GROUP BY 1, 2, 3),
+  hb AS (SELECT table_id, hub_name FROM nd GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY max(busy) DESC, hub_name) <= 4),
   n2 AS (SELECT nd.* FROM nd JOIN hb ON hb.table_id = nd.table_id AND hb.hub_name = nd.hub_name
-    QUALIFY row_number() OVER (PARTITION BY nd.table_id ORDER BY nd.hub_name, nd.node_id) <= 6)
-SELECT f.table_id, f.partition_id, f.node_id, f.hub_name FROM fit f JOIN n2 ON n2.table_id = f.table_id AND n2.node_id = f.node_id
-QUALIFY row_number() OVER (PARTITION BY f.table_id, f.node_id ORDER BY f.partition_id) <= 2""")
+    QUALIFY row_number() OVER (PARTITION BY nd.table_id ORDER BY busy DESC, nd.hub_name, nd.node_id) <= 6)
+SELECT f.table_id, f.partition_id, f.node_id, f.hub_name{more} FROM op f JOIN n2 ON n2.table_id = f.table_id AND n2.node_id = f.node_id
+QUALIFY row_number() OVER (PARTITION BY f.table_id, f.node_id ORDER BY f.busy DESC, f.partition_id) <= 2"""
+
+
+@query("concurrency_slice", GRID_SQL + SLICE_SQL.format(done="false", busy="0", more=""))
 def _(v):
     receivers = T.task_receivers(v.members, v.nodes, v.hubs, v.tables, "all")
     return T.concurrency_slice(receivers, max_hubs=4, max_nodes=6, max_per_node=2)
 
 
+@query("concurrency_slice_going_on", GRID_SQL + SLICE_SQL.format(
+    done="(partition_id + node_id) % 4 = 0", busy="CASE WHEN node_id % 5 = 2 THEN 1 ELSE 0 END",
+    more=", CAST(CASE WHEN (f.partition_id + f.node_id) % 4 = 0 THEN 100 ELSE 40 END AS BIGINT) AS progress, f.busy = 1 AS running"))
+def _(v):
+    receivers = T.task_receivers(v.members, v.nodes, v.hubs, v.tables, "all").withColumns({
+        "progress": F.when((F.col("partition_id") + F.col("node_id")) % 4 == 0, 100).otherwise(40).cast("long"),
+        "running": F.col("node_id") % 5 == 2,
+    })
+    return T.concurrency_slice(receivers, max_hubs=4, max_nodes=6, max_per_node=2)
+
+
 @query("task_round_progress", """
 WITH p AS (SELECT l_orderkey, l_linenumber, bool_and(least(100, CAST(l_quantity AS BIGINT) * 6) = 100) AS done FROM lineitem GROUP BY 1, 2)
 SELECT o_custkey AS task_id, o_orderkey AS session_id, o_orderkey % 7 + 1 AS parts_count, coalesce(n, 0) AS finished_parts,

@@ -7,8 +7,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Runtime settings every job wants, whatever cluster it lands on.  They are only filled in where the
-# session was left at Spark's own default, so a cluster's choice wins.
+# Runtime settings every job wants, whatever cluster it lands on.
 RUNTIME_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -24,10 +23,14 @@ _LOCAL: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply ``RUNTIME_DEFAULTS`` where the session's own configuration names nothing."""
+    """Apply ``RUNTIME_DEFAULTS`` where neither the cluster nor the session has chosen something else.
+
+    A setting counts as chosen if its value is not Spark's own default, however it was set.
+    """
     given = {key for key, _ in spark.sparkContext.getConf().getAll()}
+    defaults = spark._jvm.org.apache.spark.sql.internal.SQLConf()
     for key, value in RUNTIME_DEFAULTS.items():
-        if key not in given:
+        if key not in given and spark.conf.get(key) == defaults.getConfString(key):
             spark.conf.set(key, value)
     return spark
 

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import fleet
 import pytest
+from pyspark.sql import functions as F
 
 from shardlens.operators import nodes as N
 from shardlens.operators import placement as P
@@ -82,8 +83,7 @@ def test_partitions_nobody_holds_are_abnormal(spark):
 def test_nodes_without_replicas_appear_in_the_brief(spark):
     nodes = fleet.nodes(spark, [(1, "a", 100), (2, "a", 100)])
     facts = fleet.facts(spark, [(1, 0, 1, 0, 7, True, 0, 0, {})])
-    est = P.estimate_replicas(nodes, fleet.tables(spark, [(1, 2, 0, None)]))
-    out = P.node_brief(nodes, facts, est, ordered=True)
+    out = P.node_brief(nodes, facts, fleet.tables(spark, [(1, 2, 0, None)]), ordered=True)
     assert rows(out, "node_id", "primaries", "total", "estimated") == [(1, 1, 1, 1), (2, 0, 0, 1)]
 
 
@@ -176,3 +176,84 @@ def test_scopes_do_not_mix(spark):
         for i, df in enumerate(results(*p)):
             alone[i] += map(str, df.collect())
     assert together == [sorted(a) for a in alone]
+
+
+def test_range_assignment_follows_the_index_and_skips_unready_hubs(spark):
+    nodes = fleet.nodes(spark, [(1, "a", 100), (2, "a", 100), (3, "b", 100), (4, "b", 0)])
+    nodes = nodes.withColumn("node_index", F.when(F.col("node_id") == 2, "0").otherwise("1"))
+    hubs = fleet.hubs(spark, [("a", "az", []), ("b", "az", [])])
+    groups = fleet.tables(spark, [(1, 4, 0, None)]).withColumn("part_groups", F.lit(2).cast("long"))
+    est = P.estimate_replicas(nodes, groups)
+    out = rows(P.capacity_range_assign(est, groups, nodes, hubs), "hub_name", "partition_id", "node_id")
+    assert out == [("a", 0, 2), ("a", 1, 1), ("a", 2, 2), ("a", 3, 1)]
+
+
+def test_removals_of_a_shade_leave_a_serving_replica(spark):
+    rng = random.Random(8)
+    nodes = fleet.nodes(spark, [(n, f"hub{n % 2}", 100) for n in range(8)])
+    hubs = fleet.hubs(spark, [("hub0", "az", []), ("hub1", "az", [])])
+    side = lambda: [(1, p, n, rng.choice([0, 1, 1, 2])) for p in range(60) for n in range(8) if rng.random() < 0.4]
+    base, shade = side(), side()
+    got = P.shade_placement_diff(fleet.members(spark, base), fleet.members(spark, shade), nodes, hubs).collect()
+    gone = {(r.partition_id, r.node_id) for r in got if r.change == "remove"}
+    waits = {(r.partition_id, r.hub_name) for r in got if r.change == "add"}
+    assert gone and not any((p, f"hub{n % 2}") in waits for p, n in gone)
+    serving = lambda drop: {(p, n % 2) for _, p, n, role in shade if role < 2 and (p, n) not in drop}
+    assert serving(gone) == serving(set())
+
+
+def test_receivers_of_equal_nodes_are_spread(spark):
+    from shardlens.operators import tasks as TK
+
+    nodes = fleet.nodes(spark, [(n, "hub", 100) for n in range(4)])
+    hubs = fleet.hubs(spark, [("hub", "az", [])])
+    members = fleet.members(spark, [(1, p, n, 1) for p in range(80) for n in range(4)])
+    tables = fleet.tables(spark, [(1, 80, 0, None)])
+    known = nodes.withColumn("az", F.lit(first_az(spark)))
+    out = TK.task_receivers(members, known, hubs.withColumn("az", F.lit(first_az(spark))), tables, "every_region")
+    counts = [r["count"] for r in out.groupBy("node_id").count().collect()]
+    assert len(counts) == 4 and max(counts) - min(counts) <= 1
+
+
+def first_az(spark):
+    from shardlens.schema import az_dimension
+
+    return az_dimension(spark).agg(F.min("az")).first()[0]
+
+
+def test_finished_receivers_leave_and_running_ones_keep_their_slot(spark):
+    from shardlens.operators import tasks as TK
+
+    rows_in = [("svc", 1, 1, p, n, f"hub{n}", 100 if n == 0 else 10, n == 3) for p in range(3) for n in range(4)]
+    schema = "service string, snapshot_ts bigint, table_id bigint, partition_id bigint, node_id bigint, hub_name string, progress bigint, running boolean"
+    out = TK.concurrency_slice(spark.createDataFrame(rows_in, schema), max_hubs=2, max_nodes=2, max_per_node=1)
+    assert rows(out, "node_id", "partition_id") == [(1, 0), (3, 0)]
+
+
+def test_the_callers_session_settings_stay(spark):
+    from shardlens.session import tune
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        tune(spark)
+        assert spark.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo" and spark.conf.get("spark.sql.adaptive.enabled") == "false"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_hub_columns_lose_no_replica(spark):
+    nodes = fleet.nodes(spark, [(1, "a", 100), (2, "b", 100)])
+    out = P.placement_by_hub(fleet.members(spark, [(1, 0, 1, 0), (1, 0, 2, 1)]), nodes, ["a"]).collect()
+    assert [(r.a, r.other) for r in out] == [("P:h1:1", "b/S:h2:1")]
+
+
+def test_estimates_per_node_equal_the_list(spark):
+    node_rows, _ = fleet.random_placement(11)
+    nodes = fleet.nodes(spark, node_rows)
+    rng = random.Random(12)
+    tables = fleet.tables(spark, [(t, rng.choice([1, 3, 7, 64, 500]), 0, t - 1 if t % 5 == 4 else None) for t in range(60)])
+    want = P.estimate_replicas(nodes, tables).groupBy("node_id").agg(F.sum("est").alias("e"))
+    assert rows(P.estimated_by_node(tables, P.node_profile(nodes)), "node_id", "estimated") == rows(want, "node_id", "e")

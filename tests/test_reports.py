@@ -1,6 +1,7 @@
 import fleet
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from shardlens.operators import liveness as L
 from shardlens.operators import progress as G
@@ -205,3 +206,15 @@ def test_checkpoint_list_and_listing(spark, tmp_path):
     (base / "done").write_text("")
     listing = sinks.read_checkpoint_listing(spark, str(tmp_path / "ck"), "R")
     assert rows(listing, "table_id", "type", "suffix") == [(5, "DIRECTORY", "part_0"), (5, "FILE", "done")]
+
+
+def test_own_rules_may_ask_for_removal(spark):
+    from shardlens.schema import INVALID_ROLE
+
+    nodes = fleet.nodes(spark, [(1, "a", 100), (2, "a", 100)])
+    members = fleet.members(spark, [(1, 0, 1, 0), (1, 0, 2, 1)])
+    facts = fleet.facts(spark, [(1, 0, 1, 0, 7, True, 0, 0, {}), (1, 0, 2, 1, 7, True, 0, 0, {"retired": "true"})])
+    tables = fleet.tables(spark, [(1, 1, 0, None)])
+    retired = lambda: F.when(F.element_at("statistics", F.lit("retired")) == "true", INVALID_ROLE).otherwise(F.col("role"))
+    out = R.passive_role_targets(members, facts, nodes, tables, "retiring", rules={"retiring": retired}).collect()
+    assert [(r.node_id, r.target, r.action) for r in out] == [(2, INVALID_ROLE, "remove")]

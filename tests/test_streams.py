@@ -63,3 +63,28 @@ def test_liveness_stream_over_several_batches(spark, tmp_path):
     out = drain(ST.stream_liveness(stream_of(spark, tmp_path, data, schema, files=4), 5), "live")
     got = sorted((r.seq, r.change) for r in out.filter(F.col("node_id") == 1).collect())
     assert got == [(1, "new"), (3, "restarted"), (4, "new"), (6, "restarted"), (8, "new"), (9, "vanished")]
+
+
+def test_lag_and_facts_do_not_depend_on_batches(spark, tmp_path):
+    from shardlens.operators.reconcile import replication_lag
+    from shardlens.streaming import facts as SF
+
+    rng = random.Random(6)
+    schema = "service string, snapshot_ts bigint, table_id bigint, partition_id bigint, node_id bigint, role int, membership_version bigint, report_sec bigint, restore_version bigint, statistics map<string,string>"
+    data = [
+        ("s", 1, t, p, n, 0 if n == p % 4 else 1, v, 100 + v, 0, {"seq": str(rng.randrange(5000))})
+        for v in (1, 2) for t in range(3) for p in range(4) for n in range(4)
+    ]
+    rng.shuffle(data)
+    newest = {}
+    for d in data:
+        if d[6] >= newest.get(d[2:5], d)[6]:
+            newest[d[2:5]] = d
+    want = sorted(map(tuple, replication_lag(spark.createDataFrame(list(newest.values()), schema)).collect()))
+    intent = spark.createDataFrame([d[:5] + (0,) for d in newest.values()], "service string, snapshot_ts bigint, table_id bigint, partition_id bigint, node_id bigint, restore_version bigint")
+    for files in (1, 5):
+        out = SF.follow_lag(stream_of(spark, tmp_path / str(files), data, schema, files), compact_every=2)
+        assert sorted(map(tuple, SF.current_lag(spark, out).select("service", "snapshot_ts", "table_id", "partition_id", "node_id", "role", "lag", "too_far").collect())) == want
+        log = SF.collect_facts(stream_of(spark, tmp_path / f"f{files}", data, schema, files), compact_every=2)
+        got = {(r.table_id, r.partition_id, r.node_id): r.membership_version for r in SF.current_facts(spark, log, intent).collect()}
+        assert got == {k: d[6] for k, d in newest.items()}
