@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardlens.llm.common import WORD, staged
+from shardlens.llm.common import WORD, map_batches, staged
 
 
 @dataclass(frozen=True)
@@ -33,16 +33,37 @@ INDEX_MASK = np.uint64((1 << 28) - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+class WordHashes(dict):
+    """Word -> 64-bit hash; forgets all when it has grown large."""
+
+    most = 300_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+WORD_HASHES = WordHashes()
+
+
 def phrase_hashes(words: list[str], length: int) -> np.ndarray:
-    """A hash for each run of ``length`` words."""
-    n = len(words) - length + 1
-    if n <= 0:
+    """A hash for each run of ``length`` words, put together from runs of 1, 2, 4, ... words."""
+    if len(words) < length:
         return np.zeros(0, dtype=np.uint64)
-    each = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-    out = np.zeros(n, dtype=np.uint64)
-    for j in range(length):
-        out = out * MIX + each[j : j + n]
-    out ^= out >> np.uint64(29)
+    run = np.fromiter(map(WORD_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    out, have, width, factor = None, 0, 1, MIX
+    while True:
+        if length & width:
+            # What is there already stands before the next ``width`` words.
+            out = run if out is None else out[: len(run) - have] * factor + run[have:]
+            have += width
+        if have == length:
+            break
+        run = run[:-width] * factor + run[width:]
+        width, factor = 2 * width, factor * factor
+    out = out ^ (out >> np.uint64(29))
     out *= np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(32))
 
@@ -126,55 +147,41 @@ def _halves(text: str) -> tuple[int, int]:
     return _signed(x >> 64), _signed(x & ((1 << 64) - 1))
 
 
-def _texts_with_hits(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str], dict[int, bool]]]:
-    for i, (text, at, crowded) in enumerate(zip(batch["_text"], batch["_hit"], batch["_crowded"])):
-        yield i, WORD.findall(text.as_py()), dict(zip(at.as_py(), crowded.as_py()))
-
-
 PART = 20_000
-
-
-def _emit_segments(params: PassageParams):
-    """Segments with the number of texts' copies that have them, equal ones among neighbours as one."""
-
-    def out(found: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r for r, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string()), pa.array(found.values(), pa.int64())],
-            names=["_route", "_segment", "_times"],
-        )
+STRETCHES = ("_route", "_segment", "_times", "_k1", "_k2", "_first", "_s1", "_s2")
+STRETCH_SCHEMA = ", ".join(f"{c} {'string' if c == '_segment' else 'long'}" for c in STRETCHES)
+
+
+def _emit_stretches(params: PassageParams):
+    """Two kinds of rows: segments with how often they were seen, equal ones among neighbours as one (route, text, times);
+    and where each segment stands (text key, first word, segment hash)."""
+
+    def out(found: Counter, places: list[tuple]) -> pa.RecordBatch:
+        none = [None] * len(places)
+        columns = [*zip(*places)] if places else [()] * 5
+        gap = [None] * len(found)
+        data = [
+            pa.array([*(r for r, _ in found), *none], pa.int64()),
+            pa.array([*(t for _, t in found), *none], pa.string()),
+            pa.array([*found.values(), *none], pa.int64()),
+            *(pa.array([*gap, *c], pa.int64()) for c in columns),
+        ]
+        return pa.RecordBatch.from_arrays(data, names=list(STRETCHES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[tuple[int, str]] = Counter()
+        places: list[tuple] = []
         for batch in batches:
-            copies = batch["_copies"].to_pylist()
-            for i, words, hits in _texts_with_hits(batch):
-                for route, _, text in _segments(words, hits, params):
-                    found[_signed(route), text] += copies[i]
-                if len(found) >= PART:
-                    yield out(found)
-                    found = Counter()
-        yield out(found)
-
-    return run
-
-
-def _emit_places(params: PassageParams):
-    """Where each segment stands: text key, first word, segment hash."""
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5
-        return pa.RecordBatch.from_arrays(columns, names=["_k1", "_k2", "_first", "_s1", "_s2"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for batch in batches:
-            one, two = batch["_k1"].to_pylist(), batch["_k2"].to_pylist()
-            for i, words, hits in _texts_with_hits(batch):
-                rows += [(one[i], two[i], first, *_halves(text)) for _, first, text in _segments(words, hits, params)]
-                if len(rows) >= PART:
-                    yield out(rows)
-                    rows = []
-        yield out(rows)
+            one, two, copies = (batch[c].to_pylist() for c in ("_k1", "_k2", "_copies"))
+            for i, text, at, crowded in zip(range(len(copies)), batch["_text"], batch["_hit"], batch["_crowded"]):
+                hits = dict(zip(at.as_py(), crowded.as_py()))
+                for route, first, segment in _segments(WORD.findall(text.as_py()), hits, params):
+                    found[_signed(route), segment] += copies[i]
+                    places.append((one[i], two[i], first, *_halves(segment)))
+                if len(places) >= PART:
+                    yield out(found, places)
+                    found, places = Counter(), []
+        yield out(found, places)
 
     return run
 
@@ -291,7 +298,7 @@ def remove_recurring(docs: DataFrame, params: PassageParams = PassageParams(), i
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col).alias("_id"), k1.alias("_k1"), k2.alias("_k2"), text.alias("_text"))
     survey = staged(
-        keyed.mapInArrow(_survey(params), f"_id {kind}, _k1 long, _k2 long, n_words long, _whole string, _at array<int>, _h array<long>"),
+        map_batches(keyed, _survey(params), f"_id {kind}, _k1 long, _k2 long, n_words long, _whole string, _at array<int>, _h array<long>"),
         "passage-anchors",
     )
     placed = survey.select("_k1", "_k2", F.explode(F.arrays_zip("_at", "_h")).alias("_a")).select("_k1", "_k2", "_a._at", "_a._h")
@@ -312,20 +319,20 @@ def remove_recurring(docs: DataFrame, params: PassageParams = PassageParams(), i
     )
     texts = keyed.groupBy("_k1", "_k2").agg(F.first("_text").alias("_text"), F.count(F.lit(1)).alias("_copies"))
     suspects = staged(texts.join(hits, ["_k1", "_k2"]), "passage-texts")
-    segments = suspects.mapInArrow(_emit_segments(params), "_route long, _segment string, _times long")
-    masks = staged(
-        segments.repartition("_route").sortWithinPartitions("_route").mapInArrow(_locate(params), "_s1 long, _s2 long, _mask long"),
-        "passage-masks",
-    )
+    stretches = staged(map_batches(suspects, _emit_stretches(params), STRETCH_SCHEMA), "passage-stretches")
+    segments = stretches.where("_segment IS NOT NULL").select("_route", "_segment", "_times")
+    sharded = segments.repartition("_route").sortWithinPartitions("_route")
+    masks = staged(map_batches(sharded, _locate(params), "_s1 long, _s2 long, _mask long"), "passage-masks")
     marks = staged(
-        suspects.mapInArrow(_emit_places(params), "_k1 long, _k2 long, _first long, _s1 long, _s2 long")
+        stretches.where("_first IS NOT NULL").select("_k1", "_k2", "_first", "_s1", "_s2")
         .join(masks, ["_s1", "_s2"])
         .groupBy("_k1", "_k2")
         .agg(F.collect_list(F.struct("_first", "_mask")).alias("_m"))
         .select("_k1", "_k2", F.col("_m._first").alias("_first"), F.col("_m._mask").alias("_mask")),
         "passage-marks",
     )
-    cut = suspects.select("_k1", "_k2", "_text").join(marks, ["_k1", "_k2"]).mapInArrow(_cut(params), "_k1 long, _k2 long, _gone long, _rest string")
+    marked = suspects.select("_k1", "_k2", "_text").join(marks, ["_k1", "_k2"])
+    cut = map_batches(marked, _cut(params), "_k1 long, _k2 long, _gone long, _rest string")
     # Copies: every window of a text that occurs twice starts somewhere else.
     copied = survey.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_n"), F.max("n_words").alias("_w"))
     copied = copied.where((F.col("_n") > 1) & (F.col("_w") >= params.window)).select(
