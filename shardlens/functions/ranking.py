@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Width of one bucket of consecutive numeric ids, and of the prefix that buckets text ids.
+# Width of one bucket of consecutive numeric ids, and of what buckets text ids behind their common prefix.
 BUCKET_WIDTH, PREFIX_CHARS = 4096, 4
 
 
 def id_bucket(df: DataFrame, id_col: str = "node_id") -> Column:
-    """A bucket that grows with the id, so that bucket order is id order."""
+    """A bucket that grows with the id, so that bucket order is id order.
+
+    Text ids mostly begin alike (``node_...``): the buckets are the first characters in which they differ.  What all
+    have in common is what the least and the greatest have in common (one small aggregation).
+    """
     if isinstance(df.schema[id_col].dataType, T.StringType):
-        return F.substring(id_col, 1, PREFIX_CHARS)
+        ends = df.agg(F.min(id_col).alias("least"), F.max(id_col).alias("most")).first()
+        shared = len(commonprefix([ends.least or "", ends.most or ""]))
+        return F.substring(id_col, 1, shared + PREFIX_CHARS)
     return F.call_function("div", F.col(id_col), F.lit(BUCKET_WIDTH).cast("long"))
 
 

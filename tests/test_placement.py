@@ -257,3 +257,16 @@ def test_estimates_per_node_equal_the_list(spark):
     tables = fleet.tables(spark, [(t, rng.choice([1, 3, 7, 64, 500]), 0, t - 1 if t % 5 == 4 else None) for t in range(60)])
     want = P.estimate_replicas(nodes, tables).groupBy("node_id").agg(F.sum("est").alias("e"))
     assert rows(P.estimated_by_node(tables, P.node_profile(nodes)), "node_id", "estimated") == rows(want, "node_id", "e")
+
+
+def test_text_ids_with_a_common_prefix_are_numbered_in_small_buckets(spark):
+    from shardlens.functions.ranking import id_bucket, numbered, part_grid
+
+    ids = [f"node_{n}" for n in range(20_000)]
+    df = spark.createDataFrame([("s", i) for i in ids], "service string, node_id string")
+    bucketed = df.withColumn("_b", id_bucket(df))
+    assert bucketed.groupBy("_b").count().agg(F.max("count")).first()[0] <= 1000
+    got = [r.node_id for r in numbered(bucketed, ["service"], ["_b"], ["node_id"]).orderBy("rn").collect()]
+    assert got == sorted(ids)
+    grid = part_grid(spark.createDataFrame([(1, 10_000), (2, 0), (3, 1)], "t int, parts_count long"), "pid")
+    assert rows(grid.groupBy("t").agg(F.count("*").alias("n"), F.max("pid").alias("m")), "t", "n", "m") == [(1, 10_000, 9_999), (3, 1, 0)]
