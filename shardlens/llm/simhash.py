@@ -6,14 +6,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardlens.llm.common import TO_LOWER, WORD, staged, unused
+from shardlens.llm.common import TO_LOWER, WORD, map_batches, staged, unused
 from shardlens.llm.components import star_components
 
 BITS = 64
@@ -22,12 +21,14 @@ BITS = 64
 @dataclass(frozen=True)
 class SimHashParams:
     """Shingles of ``words`` words; ``errors`` differing bits link.  A bucket of more than ``bucket`` fingerprints is
-    split into chunks of that many, each pair of chunks a task."""
+    split into chunks of that many, each pair of chunks a bucket of its own.  Tries of about ``rows`` fingerprints are
+    joined at once."""
 
     words: int = 4
     errors: int = 4
     seed: int = 42
     bucket: int = 1024
+    rows: int = 100_000
 
 
 def fingerprint(text: str | None, params: SimHashParams = SimHashParams()) -> int:
@@ -54,82 +55,122 @@ def fingerprints(docs: DataFrame, params: SimHashParams = SimHashParams()) -> Da
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps)], names=["doc_id", "fp"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_batches(docs.select("doc_id", "text"), run, schema)
 
 
-class Trie:
-    """A binary trie over sorted distinct fingerprints; a node is a range of them and a depth."""
+class Forest:
+    """Binary tries, one for each run of sorted values; a node is a range of positions at a depth.
 
-    def __init__(self, values: np.ndarray):
-        self.values = np.unique(values.astype(np.uint64))
+    ``ends`` holds the position behind each trie's last value.
+    """
+
+    def __init__(self, values: np.ndarray, ends: np.ndarray):
+        self.values, self.ends = values, ends
+        self.starts = np.append(0, ends[:-1]).astype(np.int64)
 
     def halves(self, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
-        """Where the nodes' ranges go over from bit 0 to bit 1 at ``depth``."""
-        above = np.uint64(2**BITS - 2 ** (BITS - depth))
-        prefix = (self.values[lo] & above) | np.uint64(1 << (BITS - 1 - depth))
-        return np.clip(np.searchsorted(self.values, prefix), lo, hi)
+        """Where the nodes' ranges go over from bit 0 to bit 1 at ``depth``: a binary search in all ranges at once."""
+        low, high, shift = lo.copy(), hi.copy(), np.uint64(BITS - 1 - depth)
+        while (open_ := np.flatnonzero(low < high)).size:
+            middle = (low[open_] + high[open_]) // 2
+            one = (self.values[middle] >> shift & np.uint64(1)).astype(bool)
+            high[open_] = np.where(one, middle, high[open_])
+            low[open_] = np.where(one, low[open_], middle + 1)
+        return low
 
 
-def near_pairs(trie: Trie, errors: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within ``errors`` bits, by descending node pairs (a, b) together from (root, root).
+def near_pairs(forest: Forest, errors: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions within ``errors`` bits, by descending node pairs (a, b) together from each (root, root).
 
     Each step goes one bit down in both nodes; unlike children cost one error, and a pair beyond the budget is dropped with
     everything below it.  Pairs of single fingerprints are settled at once.  At most about ``most`` node pairs are
     opened at a time, deepest first.
     """
-    n = len(trie.values)
-    stack = [(0, *(np.array([x], dtype=np.int64) for x in (0, n, 0, n, 0)))] if n > 1 else []
+    spent = np.zeros(len(forest.starts), dtype=np.int64)
+    stack = [(0, forest.starts, forest.ends, forest.starts, forest.ends, spent)]
     while stack:
-        depth, a, a_end, b, b_end, spent = stack.pop()
+        depth, *nodes = stack.pop()
+        a, a_end, b, b_end, spent = nodes
         single = (a_end - a == 1) & (b_end - b == 1)
         if single.any():
             x, y = a[single], b[single]
-            near = (np.bitwise_count(trie.values[x] ^ trie.values[y]) <= errors) & (x != y)
+            near = (np.bitwise_count(forest.values[x] ^ forest.values[y]) <= errors) & (x != y)
             if near.any():
                 yield x[near], y[near]
-            a, a_end, b, b_end, spent = (v[~single] for v in (a, a_end, b, b_end, spent))
+            nodes = a, a_end, b, b_end, spent = tuple(v[~single] for v in nodes)
         if not len(a) or depth == BITS:
             continue
         if len(a) > most:
             half = len(a) // 2
-            stack += [(depth, *(v[:half] for v in (a, a_end, b, b_end, spent))), (depth, *(v[half:] for v in (a, a_end, b, b_end, spent)))]
+            stack += [(depth, *(v[:half] for v in nodes)), (depth, *(v[half:] for v in nodes))]
             continue
-        am, bm = trie.halves(a, a_end, depth), trie.halves(b, b_end, depth)
-        same = a == b
-        children = [
-            (a, am, b, bm, spent, None),
-            (am, a_end, bm, b_end, spent, None),
-            (a, am, bm, b_end, spent + 1, None),
+        am, bm, same = forest.halves(a, a_end, depth), forest.halves(b, b_end, depth), a == b
+        children = (
+            (a, am, b, bm, spent, True),
+            (am, a_end, bm, b_end, spent, True),
+            (a, am, bm, b_end, spent + 1, True),
             (am, a_end, b, bm, spent + 1, ~same),
-        ]
+        )
         grown = []
-        for ca, ce, cb, cf, cost, only in children:
-            keep = (ce > ca) & (cf > cb) & (cost <= errors)
-            keep &= only if only is not None else True
+        for ca, ce, cb, cf, cost, wanted in children:
+            keep = (ce > ca) & (cf > cb) & (cost <= errors) & wanted
             grown.append(tuple(v[keep] for v in (ca, ce, cb, cf, cost)))
         stack.append((depth + 1, *(np.concatenate(v) for v in zip(*grown))))
 
 
-def local_links(values: np.ndarray, errors: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the fingerprints that have a near one: the fingerprint and the least of its component here."""
-    trie = Trie(values)
-    parent = np.arange(len(trie.values))
+def local_links(bucket: np.ndarray, values: np.ndarray, errors: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each fingerprint with a near one in some ``bucket``: itself and the least one it is connected to here."""
+    order = np.lexsort((values, bucket))
+    bucket, values = bucket[order], values[order]
+    fresh = np.append(True, (bucket[1:] != bucket[:-1]) | (values[1:] != values[:-1]))[: len(values)]
+    bucket, values = bucket[fresh], values[fresh]
+    ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(values)).astype(np.int64)
+    names, at = np.unique(values, return_inverse=True)
+    parent = np.arange(len(names))
 
     def root(x: np.ndarray) -> np.ndarray:
         x = parent[x]
-        while not np.array_equal(x, parent[x]):
-            x = parent[x]
+        while not np.array_equal(x, above := parent[x]):
+            x = above
         return x
 
-    for x, y in near_pairs(trie, errors):
-        x, y = root(x), root(y)
-        while (open_ := x != y).any():
-            x, y = x[open_], y[open_]
+    for x, y in near_pairs(Forest(values, ends), errors) if len(values) else ():
+        x, y = root(at[x]), root(at[y])
+        while (apart := x != y).any():
+            x, y = x[apart], y[apart]
             np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
             x, y = root(x), root(y)
     top = root(np.arange(len(parent)))
     moved = top != np.arange(len(parent))
-    return trie.values[moved].view(np.int64), trie.values[top[moved]].view(np.int64)
+    return names[moved].view(np.int64), names[top[moved]].view(np.int64)
+
+
+def _join_tries(errors: int, rows: int):
+    """Buckets arrive one after the other; those of about ``rows`` fingerprints are joined at once, each in itself."""
+
+    def out(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        bucket, values = (np.concatenate(c) for c in zip(*parts))
+        u, v = local_links(bucket, values.view(np.uint64), errors)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            bucket, values = batch["bucket"].to_numpy(), batch["fp"].to_numpy()
+            if held + len(bucket) > rows and held:
+                # All but the last bucket, which may go on in this batch.
+                last = parts[-1][0][-1]
+                whole, rest = zip(*(((b[b != last], v[b != last]), (b[b == last], v[b == last])) for b, v in parts))
+                if sum(len(b) for b, _ in whole):
+                    yield out(list(whole))
+                    parts = list(rest)
+                    held = sum(len(b) for b, _ in parts)
+            parts.append((bucket, values))
+            held += len(bucket)
+        if held:
+            yield out(parts)
+
+    return run
 
 
 def near_links(fps: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
@@ -151,14 +192,12 @@ def near_links(fps: DataFrame, params: SimHashParams = SimHashParams()) -> DataF
         keyed.join(crowded, ["k", "w"])
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("fp", "k", "w", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+        .select("fp", F.xxhash64("k", "w", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"))
+    )
+    # Two buckets of one name would be joined as one: more is compared then, and still only near ones are linked.
+    return map_batches(
+        dealt.repartition("bucket").sortWithinPartitions("bucket"), _join_tries(params.errors, params.rows), "u long, v long"
     )
-
-    def join(part: pd.DataFrame) -> pd.DataFrame:
-        u, v = local_links(part["fp"].to_numpy(dtype=np.int64).view(np.uint64), params.errors)
-        return pd.DataFrame({"u": u, "v": v})
-
-    return dealt.groupBy("k", "w", "i", "j").applyInPandas(join, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:

@@ -37,13 +37,13 @@ def components_by_hand(fps):
     return {d: root(d) for d in ids}
 
 
-@pytest.mark.parametrize("bucket", [1024, 7])
-def test_simhash_by_hand(spark, bucket):
+@pytest.mark.parametrize("bucket,rows", [(1024, 100_000), (7, 50)])
+def test_simhash_by_hand(spark, bucket, rows):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
     docs = docs.unionByName(docs_frame(spark).selectExpr("doc_id + 1000000 AS doc_id", "text"))
     texts = {r.doc_id: r.text for r in docs.collect()}
     fps = {d: fingerprint_by_hand(t) for d, t in texts.items()}
-    rows = simhash.near_duplicate_report(docs, simhash.SimHashParams(bucket=bucket)).collect()
+    rows = simhash.near_duplicate_report(docs, simhash.SimHashParams(bucket=bucket, rows=rows)).collect()
     assert len(rows) == len(texts)
     assert {r.doc_id: r.fingerprint for r in rows} == {d: f"{f:016x}" for d, f in fps.items()}
     assert {r.doc_id: r.component_id for r in rows} == components_by_hand(fps)
@@ -58,11 +58,13 @@ def test_trie_join_finds_every_pair():
         for _ in range(flips):
             noise ^= np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)
         values.append(base ^ noise)
-    trie = simhash.Trie(np.concatenate(values))
-    n = len(trie.values)
-    want = {(i, j) for i in range(n) for j in range(i + 1, n) if int(trie.values[i] ^ trie.values[j]).bit_count() <= 4}
+    values = np.unique(np.concatenate(values))
+    cut = len(values) // 3
+    forest = simhash.Forest(np.concatenate([values, values[:cut]]), np.array([len(values), len(values) + cut]))
+    near = lambda n, off: {(i + off, j + off) for i in range(n) for j in range(i + 1, n) if int(values[i] ^ values[j]).bit_count() <= 4}
+    want = near(len(values), 0) | near(cut, len(values))
     for most in (1 << 18, 16):
-        got = {(min(a, b), max(a, b)) for x, y in simhash.near_pairs(trie, 4, most) for a, b in zip(x.tolist(), y.tolist())}
+        got = {(min(a, b), max(a, b)) for x, y in simhash.near_pairs(forest, 4, most) for a, b in zip(x.tolist(), y.tolist())}
         assert got == want and want
 
 
