@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardlens.llm.common import staged, unused
+from shardlens.llm.common import map_batches, staged, unused
 
 TOKEN = re.compile(r"\w+")
 # Text of benchmark items that one pass over the documents takes along; more items take more passes.
@@ -230,7 +230,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakP
     slim, found = docs.select("doc_id", "text"), None
     for block in range(blocks):
         items = [(r.item_id, r.text) for r in dealt.where(F.col("_block") == block).orderBy("item_id", "text").toLocalIterator()]
-        part = slim.mapInArrow(_search_block(items, params), schema)
+        part = map_batches(slim, _search_block(items, params), schema)
         found = part if found is None else found.unionByName(part)
     return found
 

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shardlens.llm.common import map_batches
+
 # Fixed values of the markup language: elements that begin a block, that hold no page text, that have no end tag, and
 # those that end an open element of the same group.
 BLOCK_TAGS = frozenset(
@@ -401,4 +403,4 @@ def extract_main_text(pages: DataFrame, model: Crf) -> DataFrame:
         [T.StructField("page_id", pages.schema["page_id"].dataType), T.StructField("url", T.StringType()),
          T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
     )
-    return pages.select("page_id", "url", "html").mapInArrow(run, schema)
+    return map_batches(pages.select("page_id", "url", "html"), run, schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardlens.llm.common import staged
+from shardlens.llm.common import map_batches, staged
 
 WINDOW = 1024
 PIECE_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_window", "offset", "_part"]
@@ -144,7 +144,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, size: int = W
     numbers are then made gapless with the window counts of the partitions before (one small row per partition).
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    packed = slim.mapInArrow(lambda batches: pack_partition(batches, vocabulary, size, end_id), PIECE_SCHEMA)
+    packed = map_batches(slim, lambda batches: pack_partition(batches, vocabulary, size, end_id), PIECE_SCHEMA)
     pieces = staged(packed, "packed")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = (

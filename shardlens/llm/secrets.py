@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shardlens.llm.common import map_batches
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # Runs of 24 or more: the longest runs of these characters are what a shorter pattern would find and drop.
@@ -112,7 +114,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     ignored.  Rows stay where they are read: no shuffle, a batch of texts at a time.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("spans", T.ArrayType(SPAN))])
-    return docs.select("doc_id", "text").mapInArrow(_scan, schema)
+    return map_batches(docs.select("doc_id", "text"), _scan, schema)
 
 
 def redacted(text: str | None, mark: str = "[SECRET]") -> str | None:
@@ -136,7 +138,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
             names = batch.schema.names
             yield pa.RecordBatch.from_arrays([texts if n == "text" else batch[n] for n in names], names=names)
 
-    clean = docs.mapInArrow(run, docs.schema)
+    clean = map_batches(docs, run, docs.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         clean = clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(kind)))

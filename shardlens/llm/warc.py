@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardlens.llm.common import staged
+from shardlens.llm.common import map_batches, staged
 from shardlens.session import run_folder
 
 # Fixed by the archive format: the magic number of the skippable frame that holds the dictionary.
@@ -240,7 +240,7 @@ def write_warc(pages: DataFrame) -> DataFrame:
     folder = run_folder(spark, "warc")
     store, inner = _open(folder)
     store.create_dir(inner, recursive=True)
-    made = marked.mapInArrow(lambda batches: write_archives(batches, folder, dictionary), "path string, records long")
+    made = map_batches(marked, lambda batches: write_archives(batches, folder, dictionary), "path string, records long")
     return staged(made, "warc-manifest")
 
 
