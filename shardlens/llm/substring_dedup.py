@@ -224,28 +224,47 @@ def recurring_windows(segments: dict[str, int], window: int) -> dict[str, int]:
 
 
 def _locate(params: PassageParams):
-    """Shards of segments, sorted by route: a route's segments are always judged together."""
+    """Shards of segments, sorted by route: a route's segments are always judged together.
 
-    def flush(held: Counter) -> pa.RecordBatch:
-        masks = recurring_windows(held, params.window)
+    A route with one segment has nothing to compare: seen more than once, all its windows recur, else none does.  The
+    others are gathered to shards, each with its automaton.
+    """
+
+    def out(masks: dict[str, int]) -> pa.RecordBatch:
         keys = [_halves(t) for t in masks]
-        return pa.RecordBatch.from_pydict(
-            {"_s1": pa.array([a for a, _ in keys], pa.int64()), "_s2": pa.array([b for _, b in keys], pa.int64()),
-             "_mask": pa.array(masks.values(), pa.int64())}
-        )
+        columns = [[a for a, _ in keys], [b for _, b in keys], list(masks.values())]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["_s1", "_s2", "_mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        held: dict[str, int] = {}
+        whole: dict[str, int] = {}
+        group: dict[str, int] = {}
         route = None
+
+        def close() -> None:
+            if len(group) > 1:
+                held.update(group)
+            else:
+                for text, times in group.items():
+                    if times > 1:
+                        whole[text] = (1 << (text.count(" ") + 2 - params.window)) - 1
+            group.clear()
+
         for batch in batches:
-            for r, text, times in zip(batch["_route"].to_pylist(), batch["_segment"].to_pylist(), batch["_times"].to_pylist()):
-                if r != route and len(held) >= params.shard:
-                    yield flush(held)
-                    held = Counter()
-                route = r
-                held[text] += times
-        if held:
-            yield flush(held)
+            for r, text, times in zip(*(batch[c].to_pylist() for c in ("_route", "_segment", "_times"))):
+                if r != route:
+                    close()
+                    route = r
+                    if len(held) >= params.shard:
+                        yield out(recurring_windows(held, params.window))
+                        held.clear()
+                    if len(whole) >= params.shard:
+                        yield out(whole)
+                        whole.clear()
+                group[text] = group.get(text, 0) + times
+        close()
+        yield out(recurring_windows(held, params.window))
+        yield out(whole)
 
     return run
 
