@@ -316,6 +316,25 @@ OTHER_SHELLS = (
 )
 
 
+# How a block of main text may be marked up, by share; short ones are cut to a few words.
+MAIN_FORMS = (
+    ("<p>{}</p>", 0.6, False),
+    ("<ul><li>{}</li></ul>", 0.07, True),
+    ("<ul><li><p>{}</p></li></ul>", 0.02, False),
+    ("<ol><li>{}</li></ol>", 0.05, True),
+    ("<h2>{}</h2>", 0.07, True),
+    ("<h3>{}</h3>", 0.03, True),
+    ("<blockquote>{}</blockquote>", 0.04, False),
+    ("<table><tr><td>{}</td></tr></table>", 0.04, True),
+    ("<dl><dt>{}</dt></dl>", 0.01, True),
+    ("<dl><dd>{}</dd></dl>", 0.01, False),
+    ("<figure><figcaption>{}</figcaption></figure>", 0.02, True),
+    ("<pre>{}</pre>", 0.02, False),
+    ("<div>{}</div>", 0.02, False),
+)
+TITLE_FORMS = ("<h1>{}</h1>", "<header><h1>{}</h1></header>", "<header class='entry-header'><h1>{}</h1></header>")
+
+
 def _own_label(b: Block) -> int:
     """In training pages: 1 inside the article and outside what readers and site add to it."""
     y = 0
@@ -355,10 +374,15 @@ def _filled(shell: str, stock: list[str], rng: np.random.Generator) -> str:
 
 def _laid_out(found: list[Block], ys: list[int], stock: list[str], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
     main = [b for b, y in zip(found, ys) if y]
-    inner = []
-    for b in main:
-        tag = b.path[-1][0] if b.path and b.path[-1][0] in ("h1", "h2", "h3", "p", "li", "blockquote", "td") else "p"
-        inner.append(f"<div class='markyes'><{tag}>{html.escape(b.text)}</{tag}></div>")
+    inner, shares = [], np.cumsum([share for _, share, _ in MAIN_FORMS])
+    for n, b in enumerate(main):
+        form, _, short = MAIN_FORMS[min(int(np.searchsorted(shares, rng.random())), len(MAIN_FORMS) - 1)]
+        text = b.text
+        if n == 0:
+            form, short = TITLE_FORMS[int(rng.integers(len(TITLE_FORMS)))], False
+        if short:
+            text = text[: int(rng.choice([10, 25, 60]))].strip() or text
+        inner.append(f"<div class='markyes'>{form.format(html.escape(text))}</div>")
         if rng.random() < 0.15:
             inner.append(f"<div class='markno'>{_filled(OTHER_SHELLS[int(rng.integers(len(OTHER_SHELLS)))], stock, rng)}</div>")
     around = [
