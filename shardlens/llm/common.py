@@ -62,3 +62,15 @@ def map_batches(
     if conf.get(BATCH_SETTING) == "10000":
         conf.set(BATCH_SETTING, BATCH_ROWS)
     return df.mapInArrow(run, schema)
+
+
+def bounded_sample(df: DataFrame, size: int) -> list:
+    """About ``size`` rows (at most twice that expected), spread over all of ``df``, on the driver.
+
+    Rows are chosen one by one, so that a text with very many copies is not taken with all of them.  Each task sends what
+    it chose and no more, however many tasks there are.
+    """
+    step = max(1, df.count() // size)
+    mark = unused(df, "_mark")
+    marked = df.withColumn(mark, F.xxhash64(F.monotonically_increasing_id()))
+    return marked.where(F.pmod(mark, F.lit(step)) == 0).select(*df.columns).collect()

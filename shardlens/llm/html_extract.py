@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardlens.llm.common import map_batches
+from shardlens.llm.common import bounded_sample, map_batches
 
 # Fixed values of the markup language: elements that begin a block, that hold no page text, that have no end tag, and
 # those that end an open element of the same group.
@@ -402,10 +402,11 @@ def _laid_out(found: list[Block], ys: list[int], stock: list[str], rng: np.rando
 
 
 def fit(pages: DataFrame, params: CrfParams = CrfParams()) -> Crf:
-    """Trains on a bounded sample (``params.pages`` pages, chosen by the hash of the page) with an article element."""
-    marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]"))
-    sample = marked.select("html", F.xxhash64("html").alias("_h")).orderBy("_h", "html").limit(params.pages)
-    return train(labelled_pages([r.html for r in sample.select(F.substring("html", 1, 200_000).alias("html")).collect()], params.seed), params)
+    """Trains on a bounded sample (``params.pages`` pages) of those with an article element."""
+    marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select(F.substring("html", 1, 200_000).alias("html"))
+    sample = sorted(r.html for r in bounded_sample(marked, params.pages))
+    np.random.default_rng(params.seed).shuffle(sample)
+    return train(labelled_pages(sample[: params.pages], params.seed), params)
 
 
 def extract_main_text(pages: DataFrame, model: Crf) -> DataFrame:

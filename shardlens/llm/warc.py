@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardlens.llm.common import map_batches, staged
+from shardlens.llm.common import bounded_sample, map_batches, staged
 from shardlens.session import run_folder
 
 # Fixed by the archive format: the magic number of the skippable frame that holds the dictionary.
@@ -214,7 +214,7 @@ def write_warc(pages: DataFrame) -> DataFrame:
 
     The rows are written once with a number and their digest.  Equal payloads are found on digests alone, and only
     those with more than one record are joined back, from a table whose size Spark knows.  The dictionary comes from a
-    bounded sample (``DICT_SAMPLE`` pages).
+    bounded sample (about ``DICT_SAMPLE`` pages).
     """
     spark = pages.sparkSession
     rows = staged(
@@ -225,7 +225,7 @@ def write_warc(pages: DataFrame) -> DataFrame:
         ).select("*", F.sha1("html").alias("_sha"), F.monotonically_increasing_id().alias("_row")),
         "warc-pages",
     )
-    sample = rows.orderBy("_sha").limit(DICT_SAMPLE).select("page_id", "url", F.substring("html", 1, 20_000).alias("html")).collect()
+    sample = bounded_sample(rows.select("page_id", "url", F.substring("html", 1, 20_000).alias("html")), DICT_SAMPLE)
     dictionary = train_dictionary([record(r.page_id, r.url, r.html.encode(), "", None, False) for r in sample])
     rank = F.struct(F.col("page_id").isNull().alias("gone"), F.col("page_id").alias("page_id"), F.col("_row").alias("row"))
     repeated = (
