@@ -43,9 +43,9 @@ def _repeat_words(n: Column) -> Column:
 def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Base counts per row, with its distinct lines as ``_lines`` (hash, words, and times seen) and ``_self``.
 
-    ``_self`` stands for the document when lines are counted: the smallest hash of its three-word windows (of its
-    whole text if it has none).  Copies and nearly all near copies share it, so that a text which was copied often does
-    not turn its own lines into boilerplate.
+    ``_self`` stands for the document when lines are counted: the hash of all its lines, in lower case with single
+    blanks.  Exact copies share it, so that a text which was copied often does not turn its own lines into boilerplate;
+    texts that differ in a word are documents of their own, however much of their text they share.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
@@ -66,7 +66,6 @@ def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.length(F.translate("_t", BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_all") - F.size(F.array_distinct("_all"))).cast("long").alias("n_dup_lines"),
-        F.xxhash64("_t").alias("_whole"),
         F.transform("_all", lambda x: F.lower(F.btrim(F.regexp_replace(x, f"{BLANK_CLASS}+", " ")))).alias("_norm"),
         F.when(
             F.size("_w") >= WINDOW,
@@ -119,7 +118,7 @@ def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "n_symbols",
         "n_dup_lines",
         _repeat_words(F.col("n_words")).cast("long").alias("n_repeat_words"),
-        F.coalesce(F.array_min("_tri"), F.col("_whole")).alias("_self"),
+        F.xxhash64("_norm").alias("_self"),
         line.alias("_lines"),
     )
 
@@ -128,7 +127,7 @@ def quality_verdicts(docs: DataFrame, rules: LineRules = LineRules(), id_col: st
     """One row per row of ``docs`` with the base counts, ``base_failed``, ``kept`` and ``n_left`` (words left).
 
     Lines are compared in lower case with single blanks.  Null and empty texts have no words and fail; a null host is a
-    host of its own; repeated rows are judged one by one and count as one document; an empty table gives no rows; other
+    host of its own; repeated rows and exact copies (but for case and blanks) are judged one by one and count as one document; an empty table gives no rows; other
     columns of ``docs`` are ignored.
 
     The texts are read once.  What later steps need is one small record per line, written to the shared folder.  The
