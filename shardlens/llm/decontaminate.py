@@ -1,10 +1,9 @@
-"""Benchmark decontamination: random-walk embedding, bit-sampling LSH over item-sized windows, exact edit check."""
+"""Benchmark decontamination: stretches that keep enough runs of an item, each settled by exact edit distance."""
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,18 +22,9 @@ BLOCK_BYTES = 16 << 20
 
 @dataclass(frozen=True)
 class LeakParams:
-    """``similarity``: 1 - edits / item words, at least.  ``bits`` sampled a key; a pair whose embeddings agree in
-    ``agreement`` of their places or more shares a key in one of the repetitions with probability ``recall``."""
+    """``similarity``: 1 - edits / item words, at least."""
 
     similarity: float = 0.8
-    bits: int = 5
-    agreement: float = 0.6
-    recall: float = 0.99
-    seed: int = 7
-
-    @property
-    def repetitions(self) -> int:
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - self.agreement**self.bits))
 
     def edits(self, words: int) -> int:
         return math.floor((1 - self.similarity) * words + 1e-9)
@@ -66,7 +56,12 @@ def infix_edits(item: list[int], window: list[int]) -> tuple[int, int]:
 
 
 class ItemIndex:
-    """Items of one block by their LSH keys.  Built once per task from the broadcast items."""
+    """Items of one block by their runs of words.  Built once per task from the broadcast items.
+
+    An item changed by e edits keeps one of e + 1 pieces, and each edit spoils at most ``run`` of its runs of that many
+    words: of ``words - run + 1`` runs, ``run * e`` or fewer are lost.  Those kept stand at starts which differ by e at
+    most.  Stretches of a text with that many runs of an item near one start are compared with it; no other can hold it.
+    """
 
     def __init__(self, items: list[tuple[int, str]], params: LeakParams):
         self.params, self.ids, self.vocabulary = params, [], {}
@@ -75,34 +70,21 @@ class ItemIndex:
             if words := tokens(text):
                 self.ids.append(item)
                 self.items.append([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words])
-        self.longest = max(map(len, self.items), default=0)
-        rng = np.random.default_rng(params.seed)
-        steps, reps = 2 * self.longest, params.repetitions
-        # For each repetition: whether the walk moves on at (step, word), and the places that make its key.
-        self.moves = rng.integers(0, 2, (reps, steps, len(self.vocabulary) + 2), dtype=np.uint8)
-        self.moves[:, :, -1] = 0
-        self.mix = rng.integers(1, 2**63, (reps, params.bits), dtype=np.uint64) | np.uint64(1)
-        self.places = rng.random((reps, params.bits))
-        self.keys: dict[int, list[int]] = defaultdict(list)
-        self.seeds: dict[tuple, set[tuple[int, int]]] = defaultdict(set)
-        for n, words in enumerate(self.items):
-            edits = params.edits(len(words))
-            run = max(1, (len(words) - edits) // (edits + 1))
-            for at in range(len(words) - run + 1):
-                self.seeds[tuple(words[at : at + run])].add((at, len(words)))
-        self.runs = sorted({len(s) for s in self.seeds})
-        base = len(self.vocabulary) + 1
-        self.codes = {}
-        for run in self.runs:
-            own = {self.code(np.array(s, dtype=np.uint64), run)[0]: sorted(v) for s, v in self.seeds.items() if len(s) == run}
-            self.codes[run] = (np.array(sorted(own), dtype=np.uint64), own)
-        if self.items:
-            rows = np.full((len(self.items), self.longest), base, dtype=np.int64)
-            for n, words in enumerate(self.items):
-                rows[n, : len(words)] = words
-            for row in self.embed(rows, np.array([len(w) for w in self.items])):
-                for n, key in enumerate(row.tolist()):
-                    self.keys[key].append(n)
+        sizes = [len(w) for w in self.items]
+        edits = [params.edits(n) for n in sizes]
+        runs = [max(1, (n - e) // (e + 1)) for n, e in zip(sizes, edits)]
+        self.edits = np.array(edits, dtype=np.int64)
+        self.needed = np.array([max(1, n - r + 1 - r * e) for n, e, r in zip(sizes, edits, runs)], dtype=np.int64)
+        # For each run length: the codes of the items' runs, sorted, with their item and place.
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for run in sorted(set(runs)):
+            mine = [n for n, r in enumerate(runs) if r == run]
+            codes = [self.code(np.array(self.items[n], dtype=np.uint64), run) for n in mine]
+            item = np.repeat(np.array(mine, dtype=np.int64), [len(c) for c in codes])
+            place = np.concatenate([np.arange(len(c)) for c in codes])
+            code = np.concatenate(codes)
+            order = np.argsort(code, kind="stable")
+            self.seeds[run] = code[order], item[order], place[order]
 
     @staticmethod
     def code(ids: np.ndarray, run: int) -> np.ndarray:
@@ -113,79 +95,50 @@ class ItemIndex:
             out ^= out >> np.uint64(29)
         return out
 
-    def embed(self, rows: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
-        """The keys of padded windows, one array per repetition: a walk reads the word it stands on and moves on at random
-        by (step, word); the key mixes the words read at sampled steps, and the size.  Two windows walk in step again
-        soon after an edit, so that few of their steps differ.  Steps are sampled from the first two a word: most walks
-        have passed the last word then, and later steps tell nothing apart."""
-        reach = np.maximum(2 * sizes, 1)
-        index = np.arange(len(rows))
-        for rep in range(self.params.repetitions):
-            wanted = (self.places[rep][:, None] * reach[None, :]).astype(np.int64)
-            key = np.full(len(rows), rep, dtype=np.uint64) * np.uint64(1_000_003) + sizes.astype(np.uint64)
-            read = np.empty((len(rows), int(reach.max())), dtype=np.int32)
-            at = np.zeros(len(rows), dtype=np.int64)
-            last = rows.shape[1] - 1
-            for step in range(read.shape[1]):
-                word = rows[index, at]
-                read[:, step] = word
-                at = np.minimum(at + self.moves[rep, step][word], last)
-            for b in range(self.params.bits):
-                key = (key ^ (read[index, wanted[b]].astype(np.uint64) + np.uint64(1))) * self.mix[rep, b]
-                key ^= key >> np.uint64(31)
-            yield key
-
-    def windows(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """Item-sized windows (start, size) that can be within the edits allowed.
-
-        An item changed by e edits keeps a run of (words - e) / (e + 1) words; only windows that hold such a run of an
-        item of their size, in its place, are embedded.  This loses nothing, and leaves out nearly all of the text.
-        """
-        found: set[tuple[int, int]] = set()
-        for run in self.runs:
+    def stretches(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item number, first start, last start) of the stretches that can be within the edits allowed."""
+        for run, (codes, items, places) in self.seeds.items():
             if len(ids) < run:
                 continue
-            known, own = self.codes[run]
             code = self.code(ids, run)
-            place = np.minimum(np.searchsorted(known, code), len(known) - 1)
-            for at in np.flatnonzero(known[place] == code).tolist():
-                for offset, size in own[int(code[at])]:
-                    found.add((max(0, at - offset), size))
-        return found
+            low, high = np.searchsorted(codes, code), np.searchsorted(codes, code, side="right")
+            count = high - low
+            at = np.repeat(np.arange(len(code)), count)
+            hit = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+            item, start = items[hit], at - places[hit]
+            order = np.lexsort((start, item))
+            item, start = item[order], start[order]
+            # From each hit to the last one that is needed: of one item, and near enough.
+            end = np.arange(len(item)) + self.needed[item] - 1
+            within = end < len(item)
+            begin, end = np.flatnonzero(within), end[within]
+            near = (item[begin] == item[end]) & (start[end] - start[begin] <= self.edits[item[begin]])
+            begin, end = begin[near], end[near]
+            if not len(begin):
+                continue
+            # Stretches of one item that touch are one.
+            who, first, last = item[begin], start[begin], start[end]
+            fresh = np.append(True, (who[1:] != who[:-1]) | (first[1:] > last[:-1]))
+            heads = np.flatnonzero(fresh)
+            tails = np.append(heads[1:], len(who)) - 1
+            yield from zip(who[heads].tolist(), first[heads].tolist(), last[tails].tolist())
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(text number, item number, edits, end word) of the best place of every item that a text holds."""
         if not self.items:
             return []
-        known, base = self.vocabulary, len(self.vocabulary) + 1
-        docs, spots = [], []
+        known, found = self.vocabulary, []
         for n, text in enumerate(texts):
             ids = [known.get(w, 0) for w in tokens(text)]
-            docs.append(ids)
-            spots += [(n, start, size) for start, size in self.windows(np.array(ids, dtype=np.uint64))]
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for first in range(0, len(spots), 4096):
-            part = spots[first : first + 4096]
-            sizes = np.array([s for _, _, s in part])
-            rows = np.full((len(part), self.longest), base, dtype=np.int64)
-            for r, (n, start, size) in enumerate(part):
-                stretch = docs[n][start : start + size]
-                rows[r, : len(stretch)] = stretch
-            tried: set[tuple[int, int]] = set()
-            for keys in self.embed(rows, sizes):
-                for r, key in enumerate(keys.tolist()):
-                    for item in self.keys.get(key, ()):
-                        if (r, item) in tried:
-                            continue
-                        tried.add((r, item))
-                        n, start, size = part[r]
-                        words = self.items[item]
-                        allowed = self.params.edits(len(words))
-                        left = max(0, start - allowed)
-                        edits, end = infix_edits(words, docs[n][left : start + size + allowed])
-                        if edits <= allowed and (edits, left + end) < best.get((n, item), (edits + 1, 0)):
-                            best[n, item] = (edits, left + end)
-        return [(n, item, edits, end) for (n, item), (edits, end) in sorted(best.items())]
+            best: dict[int, tuple[int, int]] = {}
+            for item, first, last in self.stretches(np.array(ids, dtype=np.uint64)):
+                words, allowed = self.items[item], int(self.edits[item])
+                left = max(0, first - allowed)
+                edits, end = infix_edits(words, ids[left : last + len(words) + allowed])
+                if edits <= allowed and (edits, left + end) < best.get(item, (edits + 1, 0)):
+                    best[item] = (edits, left + end)
+            found += [(n, item, edits, end) for item, (edits, end) in sorted(best.items())]
+        return found
 
 
 def _search_block(items: list[tuple[int, str]], params: LeakParams):
@@ -212,7 +165,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakP
     """One row per document row and benchmark item it holds: ``doc_id, item_id, item_words, edits, end_word``.
 
     Texts are compared as lower-case words.  An item is held if some stretch of the document differs from it by at
-    most ``1 - similarity`` of its words in edits (insert, delete, replace).  Null and wordless texts hold nothing and
+    most ``1 - similarity`` of its words in edits (insert, delete, replace); every such pair is found.  Null and wordless texts hold nothing and
     are held by nothing; repeated rows and repeated items are reported each; other columns are ignored.
 
     The items are the stated query set: they go along with the documents in blocks of at most about ``BLOCK_BYTES``, each
