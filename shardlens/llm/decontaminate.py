@@ -18,6 +18,8 @@ from shardlens.llm.common import map_batches, staged, unused
 TOKEN = re.compile(r"\w+")
 # Text of benchmark items that one pass over the documents takes along; more items take more passes.
 BLOCK_BYTES = 16 << 20
+# Hits of a text that are weighed at a time, beside those in what an item can cover.
+HITS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -77,8 +79,10 @@ class ItemIndex:
         self.needed = np.array([max(1, n - r + 1 - r * e) for n, e, r in zip(sizes, edits, runs)], dtype=np.int64)
         # For each run length: the codes of the items' runs, sorted, with their item and place.
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.spans: dict[int, int] = {}
         for run in sorted(set(runs)):
             mine = [n for n, r in enumerate(runs) if r == run]
+            self.spans[run] = max(sizes[n] + edits[n] for n in mine)
             codes = [self.code(np.array(self.items[n], dtype=np.uint64), run) for n in mine]
             item = np.repeat(np.array(mine, dtype=np.int64), [len(c) for c in codes])
             place = np.concatenate([np.arange(len(c)) for c in codes])
@@ -101,27 +105,39 @@ class ItemIndex:
             if len(ids) < run:
                 continue
             code = self.code(ids, run)
-            low, high = np.searchsorted(codes, code), np.searchsorted(codes, code, side="right")
-            count = high - low
-            at = np.repeat(np.arange(len(code)), count)
-            hit = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-            item, start = items[hit], at - places[hit]
-            order = np.lexsort((start, item))
-            item, start = item[order], start[order]
-            # From each hit to the last one that is needed: of one item, and near enough.
-            end = np.arange(len(item)) + self.needed[item] - 1
-            within = end < len(item)
-            begin, end = np.flatnonzero(within), end[within]
-            near = (item[begin] == item[end]) & (start[end] - start[begin] <= self.edits[item[begin]])
-            begin, end = begin[near], end[near]
-            if not len(begin):
-                continue
-            # Stretches of one item that touch are one.
-            who, first, last = item[begin], start[begin], start[end]
-            fresh = np.append(True, (who[1:] != who[:-1]) | (first[1:] > last[:-1]))
-            heads = np.flatnonzero(fresh)
-            tails = np.append(heads[1:], len(who)) - 1
-            yield from zip(who[heads].tolist(), first[heads].tolist(), last[tails].tolist())
+            low, count = np.searchsorted(codes, code), np.searchsorted(codes, code, side="right")
+            count -= low
+            # A run that recurs in a text and in many items makes many hits: they are weighed in pieces of the text, which
+            # overlap by what an item can cover.
+            total, span, begin = np.append(0, np.cumsum(count)), self.spans[run], 0
+            while begin < len(code):
+                end = max(begin + 1, int(np.searchsorted(total, total[begin] + HITS, side="right")) - 1)
+                stop = min(end + span, len(code))
+                if total[stop] > total[begin]:
+                    yield from self._near(items, places, low[begin:stop], count[begin:stop], begin)
+                begin = len(code) if stop == len(code) else end
+
+    def _near(self, items: np.ndarray, places: np.ndarray, low: np.ndarray, count: np.ndarray, offset: int) -> Iterator[tuple[int, int, int]]:
+        """Stretches by the hits of one piece of a text, which begins at ``offset``: ``count`` hits a place, from ``low`` on."""
+        at = np.repeat(np.arange(offset, offset + len(count)), count)
+        hit = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+        item, start = items[hit], at - places[hit]
+        order = np.lexsort((start, item))
+        item, start = item[order], start[order]
+        # From each hit to the last one that is needed: of one item, and near enough.
+        end = np.arange(len(item)) + self.needed[item] - 1
+        within = end < len(item)
+        begin, end = np.flatnonzero(within), end[within]
+        near = (item[begin] == item[end]) & (start[end] - start[begin] <= self.edits[item[begin]])
+        begin, end = begin[near], end[near]
+        if not len(begin):
+            return
+        # Stretches of one item that touch are one.
+        who, first, last = item[begin], start[begin], start[end]
+        fresh = np.append(True, (who[1:] != who[:-1]) | (first[1:] > last[:-1]))
+        heads = np.flatnonzero(fresh)
+        tails = np.append(heads[1:], len(who)) - 1
+        yield from zip(who[heads].tolist(), first[heads].tolist(), last[tails].tolist())
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(text number, item number, edits, end word) of the best place of every item that a text holds."""

@@ -48,3 +48,24 @@ def test_small_vocabulary_against_all_pairs():
                 edits, end = decontaminate.infix_edits(item, words)
                 want += [(n, i, edits, end)] if edits <= params.edits(len(item)) else []
         assert index.search(texts) == want
+
+
+def test_pieces_of_a_text_give_the_same(monkeypatch):
+    monkeypatch.setattr(decontaminate, "HITS", 5)
+    test_small_vocabulary_against_all_pairs()
+
+
+def test_one_very_long_item_takes_little_memory():
+    import tracemalloc
+
+    rng = random.Random(9)
+    long = [f"w{i}" for i in range(10_000)]
+    items = [(0, " ".join(long))] + [(i, " ".join(f"v{rng.randrange(500)}" for _ in range(30))) for i in range(1, 50)]
+    text = " ".join(["before"] * 50 + edited(rng, long, "mixed", 1500) + ["then", *items[7][1].split()])
+    tracemalloc.start()
+    index = decontaminate.ItemIndex(items, decontaminate.LeakParams())
+    found = index.search([text, None, items[3][1]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(n, i) for n, i, _, _ in found] == [(0, 0), (0, 7), (2, 3)] and found[0][2] <= 1500
+    assert peak < 200 << 20
