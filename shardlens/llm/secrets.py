@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -27,8 +31,9 @@ SENSITIVE = re.compile(
 HINTS = ("passw", "passphrase", "passcode", "secret", "token", "api", "key", "credential", "bearer", "authoriz", "signature", "akia")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 REACH, AROUND = 64, 400
-# Marginal bytes a character at which a candidate counts as incompressible.
-NOVELTY = 0.8
+# Share of what a random string of the same letters and length costs, at which a candidate counts as incompressible: in
+# bytes of the compressor, and in bits by pairs of letters (a compressor stores a short word as it is).
+NOVELTY, UNSPOKEN = 0.9, 0.85
 
 # What code and configuration are full of; primes the compressor beside the surrounding text.
 IDENTIFIERS = (
@@ -48,6 +53,16 @@ IDENTIFIERS = (
     "your_api_key_here changeme example_password ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789 "
 )
 
+# What prose is full of; primes the pairs of letters beside the identifiers and the surrounding text.
+PROSE = (
+    "the of and that with which this from have they their would there about other people through between government "
+    "because different important development organisation responsibility understanding information international "
+    "der die und nicht eine werden sich auch nach dass zwischen entwicklung gesellschaft verwaltung beschreibung "
+    "wissenschaft schliesslich verantwortung que les des une pour dans est pas avec sont cette comme entre developpement "
+    "gouvernement aujourd questions notamment traitement los las para como pero sobre tambien desde informacion "
+    "desarrollo administracion universidad conocimiento caracteristicas "
+)
+
 SPAN = T.StructType(
     [T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]
 )
@@ -63,16 +78,62 @@ def base_spans(text: str, low: str) -> list[tuple[int, str, int]]:
     return found + [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
 
 
-def marginal_bytes(candidate: str, around: str) -> int:
-    """Bytes that the candidate adds to an archive which already knows its surroundings and common identifiers."""
+@lru_cache(maxsize=4096)
+def _random_like(alphabet: str, length: int) -> bytes:
+    return "".join(random.Random(length).choices(alphabet, k=length)).encode()
+
+
+def _alphabet(candidate: str) -> str:
+    """The letters that the candidate seems to be drawn from: hexadecimal digits, or each kind of letter it has."""
+    held = set(candidate)
+    for hexadecimal in ("0123456789abcdef", "0123456789ABCDEF"):
+        if held <= set(hexadecimal):
+            return hexadecimal
+    kinds = (string.ascii_lowercase, string.ascii_uppercase, string.digits)
+    known = "".join(kind for kind in kinds if held & set(kind))
+    return known + "".join(sorted(held - set(known)))
+
+
+def novelty(candidate: str, around: str) -> float:
+    """Bytes that the candidate adds to an archive which already knows its surroundings and common identifiers, by those
+    that a random string of its alphabet and length adds."""
     known = zstandard.ZstdCompressionDict((IDENTIFIERS + around).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     engine = zstandard.ZstdCompressor(level=3, dict_data=known, write_checksum=False, write_content_size=False)
-    return len(engine.compress(candidate.encode())) - len(engine.compress(b""))
+    empty = len(engine.compress(b""))
+    drawn = _random_like(_alphabet(candidate), len(candidate))
+    return (len(engine.compress(candidate.encode())) - empty) / (len(engine.compress(drawn)) - empty)
+
+
+def _pairs(text: str) -> np.ndarray:
+    """How often each letter (without case) follows each."""
+    codes = np.frombuffer(text.lower().encode("ascii", "replace"), dtype=np.uint8).astype(np.int64) - ord("a")
+    a, b = codes[:-1], codes[1:]
+    both = (a >= 0) & (a < 26) & (b >= 0) & (b < 26)
+    return np.bincount(a[both] * 26 + b[both], minlength=676).reshape(26, 26)
+
+
+SPOKEN = _pairs(IDENTIFIERS + PROSE)
+
+
+def unspoken(candidate: str, around: str) -> float:
+    """Bits of the candidate's letters by the pairs that words and the surroundings have, by those of random letters."""
+    known = SPOKEN + _pairs(around) + 0.5
+    bits = -np.log2(known / known.sum(axis=1, keepdims=True))
+    own = _pairs(candidate)
+    return float((own * bits).sum() / max(own.sum(), 1) / bits.mean())
 
 
-def _mixed(s: str) -> bool:
-    """Digits beside letters: what no prose word has."""
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+def _novel(text: str, start: int, end: int) -> bool:
+    """What has no letters is none; what has no digits must also be unlike words.  Copies of the candidate do not count
+    as surroundings."""
+    candidate, wide = text[start:end], AROUND + end - start
+    if not any(c.isalpha() for c in candidate):
+        return False
+    before = text[max(0, start - wide) : start].replace(candidate, " ")[-AROUND:]
+    around = before + text[end : end + wide].replace(candidate, " ")[:AROUND]
+    if not any(c.isdigit() for c in candidate) and unspoken(candidate, around) < UNSPOKEN:
+        return False
+    return novelty(candidate, around) >= NOVELTY
 
 
 def novel_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, str, int]]:
@@ -83,10 +144,9 @@ def novel_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, str,
             # The reach may cut a long string: it is judged and reported whole.
             whole = CANDIDATE.match(text, m.start())
             last = max(last, whole.end())
-            if not _mixed(whole[0]) or any(s < whole.end() and whole.start() < e for s, e in taken):
+            if any(s < whole.end() and whole.start() < e for s, e in taken):
                 continue
-            around = text[max(0, whole.start() - AROUND) : whole.start()] + text[whole.end() : whole.end() + AROUND]
-            if marginal_bytes(whole[0], around) >= NOVELTY * len(whole[0]):
+            if _novel(text, whole.start(), whole.end()):
                 found.append((whole.start(), "novel", whole.end()))
     return found
 
