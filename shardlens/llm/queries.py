@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shardlens.llm.bitplanes import cluster
 from shardlens.llm.common import table
+from shardlens.llm.curriculum import mix_report
 from shardlens.llm.decontaminate import find_leaks
+from shardlens.llm.fill_in_middle import fim_digests
 from shardlens.llm.html_extract import extract_main_text, fit
 from shardlens.llm.packing import pack_documents
 from shardlens.llm.quality_rules import quality_verdicts
 from shardlens.llm.secrets import secret_report
 from shardlens.llm.sharding import shard_by_bytes
 from shardlens.llm.simhash import near_duplicate_report
-from shardlens.llm.sql import OP6_SQL, OP10_SQL
+from shardlens.llm.sql import OP6_SQL, OP10_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 from shardlens.llm.substring_dedup import remove_recurring
 from shardlens.llm.url_filter import judge_urls
 from shardlens.llm.warc import read_warc, write_warc
@@ -64,6 +67,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_recurring(table(spark, sf_dir, "documents"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +102,16 @@ QUERIES = {
         op8_quality_rules,
         op9_warc,
         op10_substring_dedup,
+        op11_source_mixing,
+        op12_centroid_clustering,
+        op13_fill_in_middle,
         pipeline,
     )
 }
-ORACLES = {"op6_url_filter": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES = {
+    "op6_url_filter": OP6_SQL,
+    "op10_substring_dedup": OP10_SQL,
+    "op11_source_mixing": OP11_SQL,
+    "op12_centroid_clustering": OP12_SQL,
+    "op13_fill_in_middle": OP13_SQL,
+}

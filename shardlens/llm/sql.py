@@ -97,3 +97,108 @@ SELECT r.page_id, r.host, r.path, r.rule,
        CAST(j.n_labelled AS BIGINT) AS n_labelled, CAST(j.n_bad AS BIGINT) AS n_bad
 FROM ruled r JOIN tree3 x USING (host, s1, s2, s3, tail) JOIN judged j USING (host, t1, t2, t3, tail)
 """
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS k
+  FROM documents
+), sizes AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+  FROM docs GROUP BY source
+), weighed AS (
+  SELECT *, 2 * source_size AS full_size, CASE place % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END::DOUBLE AS weight FROM sizes
+), levels AS (
+  SELECT *, full_size / weight AS ratio,
+         (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(full_size) OVER before, 0)::DOUBLE)
+           / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM weighed
+  WINDOW before AS (ORDER BY full_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT source, source_size, place % 3 AS slot,
+         least(full_size::DOUBLE, (SELECT max(level) FROM levels WHERE ratio > level) * weight) AS target
+  FROM weighed
+), placed AS (
+  SELECT docs.*, source_size, slot, target, CAST(floor(target + 0.5::DOUBLE) AS BIGINT) AS asked,
+         CAST(coalesce(sum(size) OVER (PARTITION BY docs.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+              AS BIGINT) AS start
+  FROM docs JOIN targets ON docs.source IS NOT DISTINCT FROM targets.source
+), copies AS (
+  SELECT *, greatest(0, least(size, asked - start)) AS w1, greatest(0, least(size, asked - source_size - start)) AS w2 FROM placed
+), parts AS (
+  SELECT *, CASE WHEN w1 > 0 THEN (start + w1::DOUBLE / 2) / target END AS p1,
+         CASE WHEN w2 > 0 THEN (source_size + start + w2::DOUBLE / 2) / target END AS p2
+  FROM copies
+)
+SELECT doc_id, size, source_size, target, CAST(w1 + w2 AS BIGINT) AS taken,
+       CASE WHEN p1 IS NOT NULL THEN least(1::DOUBLE, CASE slot
+         WHEN 0 THEN 2 * (p1 * 3) / (4 + sqrt(greatest(0, 16 - 4 * (p1 * 3))))
+         WHEN 1 THEN 2 * p1 / (1 + sqrt(1))
+         ELSE 2 * (p1 * 2) / (1 + sqrt(greatest(0, 1 + 4 * (p1 * 2)))) END) END AS first_position,
+       CASE WHEN p2 IS NOT NULL THEN least(1::DOUBLE, CASE slot
+         WHEN 0 THEN 2 * (p2 * 3) / (4 + sqrt(greatest(0, 16 - 4 * (p2 * 3))))
+         WHEN 1 THEN 2 * p2 / (1 + sqrt(1))
+         ELSE 2 * (p2 * 2) / (1 + sqrt(greatest(0, 1 + 4 * (p2 * 2)))) END) END AS second_position
+FROM parts
+"""
+
+
+def _round(k: int) -> str:
+    """One round: every vector to its nearest centroid, then the floor of the mean where a centroid has vectors."""
+    return f"""near{k} AS MATERIALIZED (
+  SELECT rid, list_position(d, list_min(d)) AS k, list_min(d) AS far
+  FROM (SELECT rid, [list_sum([(v[i] - c[i]) * (v[i] - c[i]) FOR i IN range(1, 65)]) FOR c IN cs] AS d FROM vectors, centroids{k})
+), centroids{k + 1} AS MATERIALIZED (
+  SELECT list(coalesce(fresh.c, old.c) ORDER BY old.j) AS cs
+  FROM (SELECT unnest(cs) AS c, generate_subscripts(cs, 1) AS j FROM centroids{k}) old
+  LEFT JOIN (
+    SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c
+    FROM (SELECT k, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+          FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM near{k} JOIN vectors USING (rid)) GROUP BY k, i)
+    GROUP BY k
+  ) fresh ON fresh.k = old.j
+)"""
+
+
+OP12_SQL = f"""
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, [CAST(floor(1024 * x::DOUBLE) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), centroids0 AS MATERIALIZED (
+  SELECT list(v ORDER BY h, v) AS cs
+  FROM (SELECT v, sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM vectors ORDER BY h, v LIMIT 8)
+), {", ".join(_round(k) for k in range(11))}, sums AS (
+  SELECT k, CAST(sum(far) AS BIGINT) AS cluster_inertia FROM near10 GROUP BY k
+), names AS (
+  SELECT j, sha256(array_to_string(c, ',')) AS centroid_sha256
+  FROM (SELECT unnest(cs) AS c, generate_subscripts(cs, 1) AS j FROM centroids10)
+)
+SELECT vec_id, CAST(k - 1 AS INTEGER) AS cluster, CAST(far AS BIGINT) AS distance, cluster_inertia,
+       CAST((SELECT sum(far) FROM near10) AS BIGINT) AS inertia, centroid_sha256
+FROM near10 JOIN vectors USING (rid) JOIN sums USING (k) JOIN names ON j = k
+"""
+
+OP13_SQL = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), numbers AS (
+  SELECT doc_id, t, n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM drawn
+), cut AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers
+), parts AS (
+  SELECT *, substring(t, 1, a) AS head, substring(t, a + 1, b - a) AS body, substring(t, b + 1) AS tail FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || body
+                   ELSE '<S>' || tail || '<P>' || head || '<M>' || body END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
