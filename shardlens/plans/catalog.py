@@ -3,6 +3,7 @@
 from shardlens.plans import (  # noqa: F401
     queries_nodes,
     queries_placement,
+    queries_published,
     queries_reconcile,
     queries_sources,
     queries_streams,

@@ -50,17 +50,30 @@ WITH req AS (SELECT c_custkey AS request_id, concat('host', c_custkey % 150 - c_
 
 @query("filter_nodes", """
 SELECT node_id FROM f_nodes n WHERE is_alive AND op <> 2
-  AND node_id NOT IN (SELECT node_id FROM f_members WHERE role = 2 AND qty = 1)
-  AND node_id IN (SELECT node_id FROM f_members WHERE role = 0 AND qty < 10)
-  AND node_id IN (SELECT node_id FROM f_members WHERE role <> 1 AND qty > 40)""")
+  AND node_id IN (SELECT node_id FROM f_members WHERE role = 0) AND node_id IN (SELECT node_id FROM f_members WHERE role <> 1)""")
 def _(v):
-    m = v.members
-    out = N.filter_nodes(
-        v.nodes, N.node_filter(alive=True, not_op=2), exclude_members=m.filter("role = 2 and qty = 1"),
-        with_role=(m.filter("qty < 10"), 0), without_role=(m.filter("qty > 40"), 1))
+    out = N.filter_nodes(v.nodes, N.node_filter(alive=True, not_op=2), with_role=(v.members, 0), without_role=(v.members, 1))
     return out.select(*SCOPE, "node_id")
 
 
+def spare_nodes(v):
+    """Customers as spare nodes that hold nothing."""
+    c = F.col("c_custkey")
+    return v.scoped(v.table("customer").select(
+        (c + 1000000).alias("node_id"), F.concat(F.lit("spare"), (c % 37).cast("string")).alias("host"), F.lit(9000).alias("port"),
+        F.when(c % 2 == 0, 2).otherwise(0).alias("op"), (c % 5 == 0).alias("is_alive")))
+
+
+@query("filter_nodes_unused", """
+WITH nd AS (SELECT node_id, op, is_alive FROM f_nodes
+    UNION ALL SELECT 1000000 + c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END, c_custkey % 5 = 0 FROM customer)
+SELECT node_id FROM nd WHERE is_alive AND op <> 2 AND node_id NOT IN (SELECT node_id FROM f_members)""")
+def _(v):
+    spare = spare_nodes(v)
+    nodes = v.nodes.select(*spare.columns).unionByName(spare)
+    return N.filter_nodes(nodes, N.node_filter(alive=True, not_op=2), exclude_members=v.members).select(*SCOPE, "node_id")
+
+
 @query("filter_nodes_negated", """
 SELECT node_id FROM f_nodes WHERE NOT (is_alive AND op = 0) AND hub_name <> 'NATION_3'""")
 def _(v):
@@ -109,11 +122,7 @@ SELECT node_id, host, CAST(9000 AS BIGINT) AS port, at_address, alive_there, rep
        WHEN op <> 2 THEN CASE WHEN alive_there = 1 THEN 'mark offline' ELSE 'ambiguous' END
        WHEN replicas = 0 THEN 'removable' ELSE 'keep' END AS verdict FROM c""")
 def _(v):
-    # Customers are spare nodes that hold nothing.
-    c = F.col("c_custkey")
-    spare = v.scoped(v.table("customer").select(
-        (c + 1000000).alias("node_id"), F.concat(F.lit("spare"), (c % 37).cast("string")).alias("host"), F.lit(9000).alias("port"),
-        F.when(c % 2 == 0, 2).otherwise(0).alias("op"), (c % 5 == 0).alias("is_alive")))
+    spare = spare_nodes(v)
     shared = on_shared_ports(v)
     return N.address_conflicts(shared.select(*spare.columns).unionByName(spare), v.members)
 

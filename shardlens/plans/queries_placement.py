@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shardlens.functions.exprs import padded_node_index
 from shardlens.functions.scoring import ESTIMATORS, node_score, weighted_score
 from shardlens.operators import nodes as N
 from shardlens.operators import placement as P
@@ -270,7 +271,7 @@ def _(v):
 GAPS_SQL = """
 WITH weighed AS (SELECT m.table_id, partition_id, node_id, role, CASE WHEN m.split_version >= t.split_version THEN 1
     WHEN partition_id < parts_count // 2 THEN 2 ELSE 0 END AS w, m.split_version >= t.split_version AS normal,
-    parts_count // 2 AS half FROM f_members m JOIN f_tables t ON m.table_id = t.table_id),
+    partition_id + parts_count // 2 AS child FROM f_members m JOIN f_tables t ON m.table_id = t.table_id),
   wload AS (SELECT table_id, node_id, sum(w) AS wt, coalesce(sum(w) FILTER (WHERE role = 0), 0) AS wp,
     coalesce(sum(w) FILTER (WHERE role = 2), 0) AS wl FROM weighed GROUP BY 1, 2),
   gaps AS (SELECT table_id, node_id, hub_name, CAST(coalesce(est, 0) - coalesce(wt, 0) AS BIGINT) AS gap,
@@ -295,14 +296,15 @@ def _(v):
       y.wp >= y.wt - y.wp - y.wl AS pf
     FROM ranked x JOIN ranked y ON x.table_id = y.table_id AND x.hub_name = y.hub_name
     WHERE x.a = 1 AND y.b = 1 AND x.gap > 0 AND y.gap < 0),
+  parts AS (SELECT DISTINCT table_id, partition_id FROM f_members),
   picks AS (SELECT e.table_id, e.hub_name, w.partition_id, w.role, row_number() OVER (PARTITION BY e.table_id, e.hub_name
       ORDER BY CASE WHEN w.role = 2 THEN 0 WHEN (w.role = 0) = pf THEN 1 ELSE 2 END, w.partition_id) AS r
     FROM ends e JOIN weighed w ON w.table_id = e.table_id AND w.node_id = e.heavy_node
-    WHERE w.w > 0 AND w.w <= -heavy_gap AND (w.normal OR NOT EXISTS (SELECT 1 FROM f_members c
-      WHERE c.table_id = w.table_id AND c.partition_id = w.partition_id + w.half)))
+    LEFT JOIN parts c ON c.table_id = w.table_id AND c.partition_id = w.child
+    WHERE w.w > 0 AND w.w <= -heavy_gap AND (w.normal OR c.table_id IS NULL))
 SELECT e.table_id, e.hub_name, light_node, light_gap, heavy_node, heavy_gap, coalesce(p.partition_id, -1) AS move_partition,
   CAST(coalesce(p.role, -1) AS BIGINT) AS move_role
-FROM ends e LEFT JOIN picks p ON p.table_id = e.table_id AND p.hub_name = e.hub_name AND p.r = 1""")
+FROM ends e LEFT JOIN picks p ON p.table_id = e.table_id AND p.hub_name = e.hub_name AND p.r = 1""", once=True)
 def _(v):
     return P.load_extremes(v.members, v.estimates, v.tables, v.nodes, v.hubs)
 
@@ -400,17 +402,28 @@ GROUPS_SQL = """
 WITH g AS (SELECT table_id, parts_count, table_id % 6 + 1 AS gr FROM f_tables
     WHERE table_id % 4 = 1 AND parts_count % (table_id % 6 + 1) = 0 AND table_id % 6 + 1 <> parts_count),
   slices AS (SELECT e.table_id, hub_name, node_id, est, parts_count, gr, CAST(coalesce(sum(est) OVER (PARTITION BY e.table_id, hub_name
-      ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-    FROM f_est e JOIN g ON e.table_id = g.table_id WHERE est > 0),
+      ORDER BY idx, node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+    FROM (SELECT e.*, lpad(CAST(hub_no AS VARCHAR), 3, '0') || '.' || lpad(CAST(node_id * 7 % 1000 AS VARCHAR), 3, '0') AS idx
+      FROM f_est e JOIN f_hubs h ON h.hub_name = e.hub_name) e JOIN g ON e.table_id = g.table_id
+    WHERE est > 0 AND e.hub_name NOT IN (SELECT hub_name FROM f_scored WHERE op <> 2 AND (wscore <= 0 OR node_id % 31 = 7))),
   placed AS (SELECT table_id, partition_id, row_number() OVER (PARTITION BY table_id ORDER BY partition_id % gr, partition_id) - 1 AS pos
     FROM (SELECT table_id, gr, unnest(range(parts_count)) AS partition_id FROM g)),
   asg AS (SELECT s.table_id, hub_name, partition_id, node_id FROM slices s JOIN placed p ON p.table_id = s.table_id
     AND pos >= start AND pos < start + est) """
 
 
+def assigned(v):
+    """Slices by node index; every 31st node cannot be rated, so its hub is not ready."""
+    slot = (F.col("node_id") * 7 % 1000).cast("string")
+    index = padded_node_index(F.concat_ws(".", F.col("hub_no").cast("string"), slot))
+    nodes = v.nodes.join(v.hubs.select("hub_name", "hub_no"), "hub_name").withColumn("node_index", index)
+    nodes = nodes.withColumn("score", F.when(F.col("node_id") % 31 == 7, 0).otherwise(F.col("score")).cast("long"))
+    return P.capacity_range_assign(v.estimates, groups_of(v), nodes, v.hubs)
+
+
 @query("capacity_range_assign", GROUPS_SQL + "SELECT * FROM asg")
 def _(v):
-    return P.capacity_range_assign(v.estimates, groups_of(v))
+    return assigned(v)
 
 
 @query("group_spread", GROUPS_SQL + """
@@ -429,7 +442,7 @@ SELECT a.table_id, a.hub_name, count(o.node_id) AS in_place, count(*) - count(o.
   ON o.table_id = a.table_id AND o.partition_id = a.partition_id AND o.hub_name = a.hub_name AND o.node_id = a.node_id
 GROUP BY 1, 2""")
 def _(v):
-    return P.group_moves(v.members, v.nodes, v.hubs, P.capacity_range_assign(v.estimates, groups_of(v)))
+    return P.group_moves(v.members, v.nodes, v.hubs, assigned(v))
 
 
 HUB_COLUMNS = [f"NATION_{i}" for i in range(25)]

@@ -10,7 +10,7 @@ from shardlens.operators import capacity as C
 from shardlens.operators import reconcile as R
 from shardlens.operators import routes as RT
 from shardlens.plans.registry import query
-from shardlens.schema import PART_KEY, REPLICA_KEY, SCOPE, TABLE_KEY
+from shardlens.schema import INVALID_ROLE, PART_KEY, REPLICA_KEY, SCOPE, TABLE_KEY
 
 
 @query("reconcile_reports", """
@@ -113,6 +113,16 @@ def _(v):
     return R.passive_role_targets(v.members, v.facts.withColumn("statistics", flag), v.nodes, v.tables, "schema_versioned")
 
 
+@query("passive_role_targets_own_rule", f"""
+WITH tg AS (SELECT *, CASE WHEN qty % 5 = 2 THEN {INVALID_ROLE} ELSE role END AS target FROM f_facts) """
+       + FIRST_CHANGE_SQL.replace("'transform' AS action", "'remove' AS action"), ints="role target")
+def _(v):
+    """A service's own rule: replicas that report themselves retired are to be removed."""
+    stats = F.when(F.col("seq") / 100 % 5 == 2, F.create_map(F.lit("retired"), F.lit("true"))).otherwise(F.col("statistics"))
+    retired = lambda: F.when(F.element_at("statistics", F.lit("retired")) == "true", INVALID_ROLE).otherwise(F.col("role"))
+    return R.passive_role_targets(v.members, v.facts.withColumn("statistics", stats), v.nodes, v.tables, "retiring", rules={"retiring": retired})
+
+
 @query("primary_switch_safe", """
 SELECT p.table_id, p.partition_id, p.node_id AS from_node, s.node_id AS to_node,
   p.qty % 2 = 0 AND p.qty % 9 <> 0 AND s.qty % 9 <> 0 AND p.seq <= s.seq AS safe
@@ -374,6 +384,11 @@ def servers_of(v):
     return RT.route_servers(v.nodes, v.hubs.filter("hub_no % 6 <> 5"))
 
 
+def replicas_text():
+    pair = lambda r: F.concat_ws(":", r["server_index"].cast("string"), r["role"].cast("string"))
+    return F.array_join(F.transform("replicas", pair), ",")
+
+
 @query("route_servers", ROUTE_SQL + "SELECT * EXCLUDE (own_port) FROM srv")
 def _(v):
     return servers_of(v)
@@ -402,8 +417,7 @@ LEFT JOIN f_members m ON m.table_id = t.table_id AND m.partition_id = p.partitio
 GROUP BY 1, 2""", ints="version")
 def _(v):
     routes = RT.build_routes(v.tables, v.members, RT.route_replicas(v.members, servers_of(v), v.facts))
-    text = F.array_join(F.transform("replicas", lambda r: F.concat_ws(":", r["server_index"].cast("string"), r["role"].cast("string"))), ",")
-    return routes.withColumn("replicas", text)
+    return routes.withColumn("replicas", replicas_text())
 
 
 def published(v):

@@ -116,7 +116,7 @@ def _(v):
     path = F.when(key == 0, "/old/root").otherwise(F.concat(F.lit("/old/root/tables/"), key.cast("string")))
     doc = F.concat(F.lit('{"name":"'), F.col("p_name"), F.lit('"}')).cast("binary")
     folder = run_folder(v.spark, "kv")
-    kv.write_kv_dump(v.table("part").select(path.alias("path"), doc.alias("value")), folder)
+    kv.write_kv_dump(v.table("part").select(path.alias("path"), doc.alias("value")), folder, "/old/root")
     return kv.reroot(kv.read_kv_dump(v.spark, folder), "/new").withColumn("value", F.col("value").cast("string"))
 
 

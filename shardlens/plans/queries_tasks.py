@@ -237,22 +237,49 @@ def _(v):
 
 
 @query("restore_readiness", RESTORE_SQL + """
-, m2 AS (SELECT * FROM st WHERE role <> 0 AND table_id % 2 = 0),
- two AS (SELECT hub_name FROM f_hubs WHERE hub_no < 2),
- cell AS (SELECT t.table_id, t.parts_count, h.hub_name, count(DISTINCT m2.partition_id) FILTER (WHERE stage = 'finished') AS fin
-   FROM f_tables t CROSS JOIN two h LEFT JOIN m2 ON m2.table_id = t.table_id AND m2.hub_name = h.hub_name GROUP BY 1, 2, 3)
-SELECT t.table_id, CASE WHEN EXISTS (SELECT 1 FROM st WHERE st.table_id = t.table_id AND role = 0 AND t.table_id % 2 = 1) THEN 'primary left'
-   WHEN EXISTS (SELECT 1 FROM st WHERE st.table_id = t.table_id AND (role <> 0 OR t.table_id % 2 = 1) AND hub_name NOT IN (SELECT hub_name FROM two)) THEN 'outside hubs'
-   ELSE 'hub not single' END AS state, (SELECT min(hub_name) FROM cell c WHERE c.table_id = t.table_id AND c.fin < c.parts_count) AS next_hub
-FROM f_tables t WHERE t.table_id % 2 = 0
-UNION ALL SELECT t.table_id, CASE WHEN EXISTS (SELECT 1 FROM st WHERE st.table_id = t.table_id AND role = 0) THEN 'primary left'
-   WHEN EXISTS (SELECT 1 FROM st WHERE st.table_id = t.table_id AND hub_name NOT IN (SELECT hub_name FROM two)) THEN 'outside hubs'
-   ELSE 'hub not single' END, (SELECT min(hub_name) FROM two h WHERE (SELECT count(*) FILTER (WHERE stage = 'finished') FROM st
-     WHERE st.table_id = t.table_id AND st.hub_name = h.hub_name) < t.parts_count) FROM f_tables t WHERE t.table_id % 2 = 1""")
+, x AS (SELECT 1000000 + c_custkey AS table_id, c_custkey AS c, 1 + c_custkey % 2 AS parts_count FROM customer),
+ t2 AS (SELECT table_id, parts_count FROM f_tables UNION ALL SELECT table_id, parts_count FROM x),
+ st2 AS (SELECT table_id, partition_id, hub_name, role, stage FROM st
+   UNION ALL SELECT table_id, p, hub_name, 1, CASE WHEN c % 4 = 0 AND hub_no >= 10 THEN 'running' ELSE 'finished' END
+   FROM x CROSS JOIN f_hubs CROSS JOIN (VALUES (0), (1)) v(p) WHERE p < parts_count AND NOT (c % 3 = 2 AND p = 0 AND hub_no = c % 25)
+   UNION ALL SELECT table_id, 0, 'nowhere', 1, 'finished' FROM x WHERE c % 3 = 1),
+ cells AS (SELECT table_id, hub_name, partition_id, hub_name IN (SELECT hub_name FROM f_hubs) AS known, count(*) AS n,
+   count(*) FILTER (WHERE role = 0) AS pri, count(*) FILTER (WHERE stage = 'finished') AS fin FROM st2 GROUP BY 1, 2, 3),
+ sums AS (SELECT table_id, sum(pri) AS pri, count(*) FILTER (WHERE NOT known) AS outside, count(*) FILTER (WHERE known AND n = 1) AS single
+   FROM cells GROUP BY 1),
+ nxt AS (SELECT t2.table_id, min(h.hub_name) FILTER (WHERE coalesce(f.fin, 0) < parts_count) AS next_hub FROM t2 CROSS JOIN f_hubs h
+   LEFT JOIN (SELECT table_id, hub_name, sum(fin) AS fin FROM cells GROUP BY 1, 2) f ON f.table_id = t2.table_id AND f.hub_name = h.hub_name GROUP BY 1)
+SELECT t2.table_id, CASE WHEN coalesce(pri, 0) > 0 THEN 'primary left' WHEN coalesce(outside, 0) > 0 THEN 'outside hubs'
+  WHEN coalesce(single, 0) < parts_count * (SELECT count(*) FROM f_hubs) THEN 'hub not single' ELSE 'ready' END AS state, next_hub
+FROM t2 LEFT JOIN sums ON sums.table_id = t2.table_id JOIN nxt ON nxt.table_id = t2.table_id""")
 def _(v):
-    # Primaries are taken as already downgraded (left out) on even tables; only two hubs remain in the service.
-    members = v.members.filter("table_id % 2 = 1 or role <> 0")
-    return G.restore_readiness(restoring_tables(v), members, v.facts, v.nodes, v.hubs.filter("hub_no < 2"))
+    tables, members, facts, nodes = restoring_in_hubs(v)
+    whole = lambda mine, more: mine.select(*more.columns).unionByName(more)
+    return G.restore_readiness(
+        whole(restoring_tables(v), tables), whole(v.members, members), whole(v.facts, facts), whole(v.nodes, nodes), v.hubs)
+
+
+def restoring_in_hubs(v):
+    """Customers as tables in the per-hub phase of a restore: a secondary in every hub; of a third one sits outside the
+    hubs as well, of a third one hub lacks a replica, and of a quarter the later hubs are still at work."""
+    c, hub_no = F.col("c_custkey"), F.col("hub_no")
+    table = (c + 1000000).alias("table_id")
+    parts = (c % 2 + 1).cast("long")
+    tables = v.scoped(v.table("customer").select(table, parts.alias("parts_count"), F.lit(1).cast("long").alias("restore_version")))
+    hubs = v.hubs.select("hub_name", "hub_no")
+    outside = v.table("nation").filter("n_nationkey = 0").select(F.lit("nowhere").alias("hub_name"), F.lit(999).cast("long").alias("hub_no"))
+    places = hubs.unionByName(outside)
+    number = (hub_no + 2000000).alias("node_id")
+    nodes = v.scoped(places.select(number, "hub_name"))
+    every = F.explode(F.concat(F.sequence(F.lit(0), F.lit(24)), F.array(F.lit(999)))).cast("long").alias("hub_no")
+    held = v.table("customer").select("c_custkey", every).join(places, "hub_no").select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("partition_id"))
+    lacking = (c % 3 == 2) & (F.col("partition_id") == 0) & (hub_no == c % 25)
+    held = held.filter(F.when(hub_no == 999, (c % 3 == 1) & (F.col("partition_id") == 0)).otherwise(~lacking))
+    one = F.lit(1).cast("long")
+    members = v.scoped(held.select(table, "partition_id", number, F.lit(1).alias("role"), one.alias("restore_version")))
+    done = held.filter(~((c % 4 == 0) & (hub_no >= 10) & (hub_no < 999)))
+    return tables, members, v.scoped(done.select(table, "partition_id", number, one.alias("restore_version"))), nodes
 
 
 @query("split_progress", """

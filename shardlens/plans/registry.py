@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +28,11 @@ def flat(df: DataFrame) -> DataFrame:
     )
 
 
-def query(name: str, sql: str | None = None, ints: str = ""):
+def query(name: str, sql: str | None = None, ints: str = "", once: bool = False):
     """Register ``build(views) -> DataFrame`` under ``name`` with its checking SQL.
 
-    ``ints`` names result columns that the SQL types narrower than BIGINT.
+    ``ints`` names result columns that the SQL types narrower than BIGINT; ``once`` has the SQL work out each of its
+    views a single time.
     """
 
     def register(build: Callable[[FleetViews], DataFrame]):
@@ -39,6 +41,8 @@ def query(name: str, sql: str | None = None, ints: str = ""):
         QUERIES[name] = lambda spark, sf_dir: flat(build(FleetViews(spark, sf_dir)))
         if sql is not None:
             full = with_views(sql)
+            if once:
+                full = re.sub(r"^((?:WITH |, ?|  )?\w+) AS \(", r"\1 AS MATERIALIZED (", full, flags=re.M)
             if ints:
                 casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ints.split())
                 full = f"SELECT * REPLACE ({casts}) FROM (\n{full}\n)"

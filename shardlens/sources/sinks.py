@@ -2,35 +2,106 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from urllib.parse import unquote, urlparse
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shardlens.operators.tasks import DONE_MARK
+from shardlens.schema import TABLE_KEY
+
+ROUTE_BUCKETS = 64
 
 
 @dataclass
 class PublishResult:
-    """Targets written, targets removed, and the last error met (targets after a failing one are still written)."""
+    """Targets written, targets that had the batch already, targets removed, and the last error met (targets after a
+    failing one are still written)."""
 
     written: list[str] = field(default_factory=list)
+    repeated: list[str] = field(default_factory=list)
     removed: list[str] = field(default_factory=list)
     error: str | None = None
 
 
-def write_routes(routes: DataFrame, targets: list[str], previous: list[str] = ()) -> PublishResult:
-    """Publish one route set to every target folder; folders of ``previous`` that are no target any more go away.
+class _Folder:
+    """A folder in whatever file system its name belongs to."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path, self._jvm = path.rstrip("/"), spark._jvm
+        self._store = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
-    Routes are laid out by service and hash of the table, so that a table of any size spreads over files and
-    readers of one service prune the rest.
+    def names(self, below: str) -> list[str]:
+        place = self._at(below)
+        return [s.getPath().getName() for s in self._store.listStatus(place)] if self._store.exists(place) else []
+
+    def read(self, name: str) -> str:
+        source = self._store.open(self._at(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
+
+    def place(self, name: str, text: str) -> bool:
+        """Write a small file under a name of its own and rename it; False if ``name`` is taken already."""
+        draft = self._at(f"{name}.{uuid.uuid4().hex}.draft")
+        out = self._store.create(draft, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not self._store.exists(self._at(name)) and self._store.rename(draft, self._at(name)):
+            return True
+        self._store.delete(draft, False)
+        return False
+
+    def drop(self, name: str = "") -> bool:
+        return self._store.delete(self._at(name), True)
+
+
+def _published(folder: _Folder) -> list[int]:
+    """Numbers of the batches that ``folder`` holds, oldest first."""
+    return sorted(int(name.removesuffix(".json")) for name in folder.names("manifests") if name.endswith(".json"))
+
+
+def _publish(laid_out: DataFrame, folder: _Folder, batch_id: int, keep: int) -> bool:
+    there = _published(folder)
+    if there and batch_id <= there[-1]:
+        return False
+    data = f"sets/{batch_id}-{uuid.uuid4().hex}"
+    laid_out.write.partitionBy("service", "table_bucket").parquet(f"{folder.path}/{data}")
+    manifest = {"batch": batch_id, "data": data, "schema": laid_out.schema.json()}
+    if not folder.place(f"manifests/{batch_id}.json", json.dumps(manifest)):
+        folder.drop(data)  # another attempt of the batch was first
+        return False
+    for old in _published(folder)[:-keep]:
+        name = f"manifests/{old}.json"
+        gone = json.loads(folder.read(name))["data"]
+        folder.drop(name)
+        folder.drop(gone)
+    return True
+
+
+def write_routes(routes: DataFrame, targets: list[str], batch_id: int, previous: list[str] = (), keep: int = 2) -> PublishResult:
+    """Publish route set ``batch_id`` to every target folder; folders of ``previous`` that are no target any more go away.
+
+    A set is written to a folder of its own and counts from the moment its manifest is there, so a reader sees whole sets
+    only and a lost attempt leaves nothing that is read.  A batch that a target has already changes nothing.  The last
+    ``keep`` sets stay for readers that have begun; ``batch_id`` must grow.  Routes are laid out by service and hash of the
+    table, so that a table of any size spreads over files and readers of one service prune the rest.
     """
     result = PublishResult()
-    laid_out = routes.withColumn("table_bucket", F.pmod("table_id", F.lit(64)))
+    laid_out = routes.withColumn("table_bucket", F.pmod("table_id", F.lit(ROUTE_BUCKETS)))
     for target in targets:
         try:
-            laid_out.write.mode("overwrite").partitionBy("service", "table_bucket").parquet(target)
-            result.written.append(target)
+            done = _publish(laid_out, _Folder(routes.sparkSession, target), batch_id, keep)
+            (result.written if done else result.repeated).append(target)
         except Exception as e:  # noqa: BLE001 - one bad target must not stop the others
             result.error = f"{target}: {e}"
     for target in previous:
@@ -39,10 +110,34 @@ def write_routes(routes: DataFrame, targets: list[str], previous: list[str] = ()
     return result
 
 
+def read_routes(spark: SparkSession, target: str, batch_id: int | None = None) -> DataFrame:
+    """The newest published route set of a target folder, or that of ``batch_id``."""
+    folder = _Folder(spark, target)
+    there = [n for n in _published(folder) if batch_id in (None, n)]
+    if not there:
+        raise ValueError(f"{target}: no route set {'' if batch_id is None else batch_id}".rstrip())
+    manifest = json.loads(folder.read(f"manifests/{there[-1]}.json"))
+    schema = T.StructType.fromJson(json.loads(manifest["schema"]))
+    whole = spark.read.schema(schema).parquet(f"{folder.path}/{manifest['data']}")
+    return whole.select(*[name for name in schema.names if name != "table_bucket"])
+
+
+def route_publisher(
+    build: Callable[[DataFrame], DataFrame], targets: list[str], keep: int = 2
+) -> Callable[[DataFrame, int, str], None]:
+    """For ``runner.drain_batches``: publish ``build(batch)`` under the id of the micro-batch; an error stops the stream."""
+
+    def each(batch: DataFrame, batch_id: int, out: str) -> None:
+        result = write_routes(build(batch), targets, batch_id, keep=keep)
+        if result.error:
+            raise RuntimeError(result.error)
+
+    return each
+
+
 def drop_folder(spark: SparkSession, path: str) -> bool:
     """Delete a published folder through Hadoop's file system, wherever it is."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return _Folder(spark, path).drop()
 
 
 def write_checkpoint_list(lines: DataFrame, path: str) -> None:
@@ -56,28 +151,39 @@ def write_checkpoint_list(lines: DataFrame, path: str) -> None:
     ranged.select("table_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("table_id").text(path)
 
 
-def read_checkpoint_listing(spark: SparkSession, path: str, region: str) -> DataFrame:
-    """FILE and DIRECTORY entries below ``path`` from file metadata; contents are never read.
+def read_checkpoint_list(spark: SparkSession, path: str) -> DataFrame:
+    """(table_id, session_id, path) of written checkpoint lists; lines that are no ``session path`` are left out."""
+    found = r"^([0-9]+) (.+)$"
+    lines = spark.read.schema("value string, table_id bigint").text(path).filter(F.col("value").rlike(found))
+    part = lambda i: F.regexp_extract("value", found, i)
+    return lines.select("table_id", part(1).cast("bigint").alias("session_id"), part(2).alias("path"))
+
+
+def _entries(path: str) -> list[tuple[str, str]]:
+    """(type, name) of what lies directly in a folder, empty files and folders too; a folder that is not there is empty."""
+    from pyarrow import fs
+
+    parts = urlparse(path)
+    if parts.scheme in ("", "file"):
+        store, place = fs.LocalFileSystem(), unquote(parts.path)
+    else:
+        store, place = fs.FileSystem.from_uri(path)
+    found = store.get_file_info(fs.FileSelector(place, allow_not_found=True))
+    return [("DIRECTORY" if info.type == fs.FileType.Directory else "FILE", info.base_name) for info in found]
 
-    Expects ``<path>/table_<id>/<session>/<part_n>/...`` and ``.../<done>`` and gives (table_id, path, region, type,
-    suffix).  A directory shows through the files below it.  Done marks are empty files, which file scans leave out, so
-    they are looked up by name: one entry per checkpoint.
+
+def list_checkpoints(checkpoints: DataFrame, region: str) -> DataFrame:
+    """FILE and DIRECTORY entries of every checkpoint folder: (TABLE_KEY, path, region, type, suffix).
+
+    ``checkpoints``: (TABLE_KEY, path), as read from checkpoint lists.  The executors list the folders, each task its
+    own share, so nothing is enumerated on the driver and a lost task lists its folders again.  Contents are never read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    found = r"^(.*/table_([0-9]+)/[^/]+)/([^/]+)(/.*)?$"
-    part = lambda i: F.regexp_extract("path", found, i)
-    rows = files.filter(F.col("path").rlike(found)).select(
-        part(2).try_cast("bigint").alias("table_id"), part(1).alias("path"), F.lit(region).alias("region"),
-        F.when(part(4) == "", "FILE").otherwise("DIRECTORY").alias("type"), part(3).alias("suffix"),
-    )
-    marks = spark.createDataFrame(_glob(spark, f"{path}/table_*/*/{DONE_MARK}"), "path string").select(
-        part(2).try_cast("bigint").alias("table_id"), part(1).alias("path"), F.lit(region).alias("region"),
-        F.lit("FILE").alias("type"), part(3).alias("suffix"),
-    )
-    return rows.unionByName(marks).distinct()
-
-
-def _glob(spark: SparkSession, pattern: str) -> list[tuple[str]]:
-    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
-    return [(entry.getPath().toString(),) for entry in found or []]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(*row, kind, name) for row in batch.itertuples(index=False) for kind, name in _entries(row.path)]
+            yield pd.DataFrame(rows, columns=[*batch.columns, "type", "suffix"])
+
+    asked = checkpoints.select(*TABLE_KEY, "path").distinct().withColumn("region", F.lit(region))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema.fields)
+    return asked.mapInPandas(run, f"{kinds}, type string, suffix string")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardlens.session import run_folder
 
+STORE_SETTING = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
     """A file source; ``files_per_batch`` bounds how much one micro-batch takes in."""
@@ -18,30 +23,54 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+def close_input(df: DataFrame, folder: str, at: str, last: Column, **values: object) -> None:
+    """Add the closing record of a finished input: the time ``last`` (an aggregate over ``df``), all else null.
+
+    It is written after the data, so a file stream takes it last; it moves the watermark over what still waits.  A join
+    drops rows with null keys before they reach the watermark: there, ``values`` gives keys that no row has.
+    """
+    others = [F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name != at]
+    df.agg(last.alias(at)).select(at, *others).select(*df.columns).write.mode("append").parquet(folder)
+
+
+@contextmanager
+def _state_store(spark: SparkSession, timers: bool) -> Iterator[None]:
+    """Streams with timers need the RocksDB store; a query takes the setting when it starts."""
+    before = spark.conf.get(STORE_SETTING)
+    if timers:
+        spark.conf.set(STORE_SETTING, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE_SETTING, before)
+
+
+def drain(stream: DataFrame, label: str, mode: str = "append", timers: bool = False) -> DataFrame:
     """Process everything available into a table in the shared folder and read that table.
 
     Both the output and the checkpoint live in the shared folder, so a lost executor or a restart resumes.
     """
     spark = stream.sparkSession
     folder = run_folder(spark, label)
-    query = (
-        stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    )
+    with _state_store(spark, timers):
+        query = (
+            stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out")
+            .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def drain_batches(stream: DataFrame, label: str, each: Callable[[DataFrame, int, str], None]) -> str:
+def drain_batches(stream: DataFrame, label: str, each: Callable[[DataFrame, int, str], None], timers: bool = False) -> str:
     """Hand every micro-batch to ``each(batch, batch_id, folder)``; gives the folder.
 
     ``each`` must write a batch to a place named by its id, so that a repeated batch overwrites itself.
     """
     folder = run_folder(stream.sparkSession, label)
-    query = (
-        stream.writeStream.foreachBatch(lambda df, i: each(df, i, f"{folder}/out"))
-        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    )
+    with _state_store(stream.sparkSession, timers):
+        query = (
+            stream.writeStream.foreachBatch(lambda df, i: each(df, i, f"{folder}/out"))
+            .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        )
     query.awaitTermination()
     return f"{folder}/out"

@@ -174,11 +174,33 @@ def test_order_of_shades(spark):
 
 def test_kv_dump_survives_a_round_trip(spark, tmp_path):
     data = spark.createDataFrame([("/a", bytearray(b"x y")), ("/a/b", bytearray(b"")), ("/a/b/c", bytearray(b"\x00\xff"))], "path string, value binary")
-    kv.write_kv_dump(data, str(tmp_path / "kv"))
+    kv.write_kv_dump(data, str(tmp_path / "kv"), "/a")
     back = kv.reroot(kv.read_kv_dump(spark, str(tmp_path / "kv")), "/z/w")
     assert sorted((r.path, bytes(r.value)) for r in back.collect()) == [("/z/w", b"x y"), ("/z/w/b", b""), ("/z/w/b/c", b"\x00\xff")]
 
 
+def test_kv_dump_knows_its_root(spark, tmp_path):
+    data = spark.createDataFrame([(p, bytearray(b"1")) for p in ("/a", "/a/b", "/ab", "/c", "/c/d e")], "path string, value binary")
+    for root in ("/a", "/c", "/"):
+        kv.write_kv_dump(data, str(tmp_path / "two" / (root.strip("/") or "top")), root)
+    both = [str(tmp_path / "two" / name) for name in ("a", "c")]
+    paths = lambda df: sorted(r.path for r in df.collect())
+    assert [paths(kv.reroot(kv.read_kv_dump(spark, p), "/z")) for p in both] == [["/z", "/z/b"], ["/z", "/z/d e"]]
+    with pytest.raises(ValueError, match="top: dump without its root /"):
+        kv.read_kv_dump(spark, str(tmp_path / "two" / "top"))
+    # Files from elsewhere: the first line is the root, each file has its own.
+    for name, lines in (("one", ["/x/y 01", "/x/y/z 02"]), ("two", ["/x 03", "/x/q 04"])):
+        (tmp_path / "foreign").mkdir(exist_ok=True)
+        (tmp_path / "foreign" / name).write_text("\n".join(lines) + "\n")
+    assert paths(kv.reroot(kv.read_kv_dump(spark, str(tmp_path / "foreign")), "/n")) == ["/n", "/n", "/n/q", "/n/z"]
+    assert paths(kv.reroot(kv.read_kv_dump(spark, str(tmp_path / "foreign" / "two"), "/x"), "/n")) == ["/n", "/n/q"]
+    with pytest.raises(ValueError, match="two: dump without its root /nowhere"):
+        kv.read_kv_dump(spark, str(tmp_path / "foreign" / "two"), "/nowhere")
+    (tmp_path / "headless").write_text("/x/a 01\n/x/b 02\n")
+    with pytest.raises(Exception, match="headless: dump without its root"):
+        kv.read_kv_dump(spark, str(tmp_path / "headless")).collect()
+
+
 def test_routes_reach_every_target_that_works(spark, tmp_path):
     tables, members = fleet.tables(spark, [(1, 3, 0, None)]), fleet.members(spark, [(1, 0, 1, 0), (1, 0, 2, 1), (1, 2, 3, 0)])
     nodes, hubs = fleet.nodes(spark, [(1, "a", 1), (2, "b", 1), (3, "nohub", 1)]), fleet.hubs(spark, [("a", "az", []), ("b", "az", [])])
@@ -187,12 +209,12 @@ def test_routes_reach_every_target_that_works(spark, tmp_path):
     routes = RT.build_routes(tables, members, RT.route_replicas(members, servers, fleet.facts(spark, [(1, 0, 1, 0, 7, True, 0, 0, {})])))
     assert [(r.partition_id, [tuple(x) for x in r.replicas]) for r in routes.orderBy("partition_id").collect()] == [(0, [(0, 0), (1, 1)]), (1, []), (2, [])]
     good, old = str(tmp_path / "good"), str(tmp_path / "old")
-    sinks.write_routes(routes, [old])
+    sinks.write_routes(routes, [old], 0)
     blocked = tmp_path / "file"
     blocked.write_text("in the way")
-    result = sinks.write_routes(routes, [f"{blocked}/x", good], previous=[old])
+    result = sinks.write_routes(routes, [f"{blocked}/x", good], 1, previous=[old])
     assert result.written == [good] and result.removed == [old] and result.error and str(blocked) in result.error
-    assert spark.read.parquet(good).count() == 3 and not (tmp_path / "old").exists()
+    assert sinks.read_routes(spark, good).count() == 3 and not (tmp_path / "old").exists()
 
 
 def test_checkpoint_list_and_listing(spark, tmp_path):
@@ -204,7 +226,8 @@ def test_checkpoint_list_and_listing(spark, tmp_path):
     (base / "part_0").mkdir(parents=True)
     (base / "part_0" / "data").write_text("x")
     (base / "done").write_text("")
-    listing = sinks.read_checkpoint_listing(spark, str(tmp_path / "ck"), "R")
+    found = spark.createDataFrame([("s", 1, 5, str(base))], "service string, snapshot_ts bigint, table_id bigint, path string")
+    listing = sinks.list_checkpoints(found, "R")
     assert rows(listing, "table_id", "type", "suffix") == [(5, "DIRECTORY", "part_0"), (5, "FILE", "done")]
 
 
