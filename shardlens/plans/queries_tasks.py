@@ -271,7 +271,7 @@ def restoring_in_hubs(v):
     places = hubs.unionByName(outside)
     number = (hub_no + 2000000).alias("node_id")
     nodes = v.scoped(places.select(number, "hub_name"))
-    every = F.explode(F.concat(F.sequence(F.lit(0), F.lit(24)), F.array(F.lit(999)))).cast("long").alias("hub_no")
+    every = F.explode(F.concat(F.sequence(F.lit(0), F.lit(24)), F.array(F.lit(999))).cast("array<bigint>")).alias("hub_no")
     held = v.table("customer").select("c_custkey", every).join(places, "hub_no").select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("partition_id"))
     lacking = (c % 3 == 2) & (F.col("partition_id") == 0) & (hub_no == c % 25)
