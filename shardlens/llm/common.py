@@ -32,6 +32,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without_listed(rows: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """The rows of ``rows`` whose ``key`` is not in ``listed``.
+
+    The list grows with the rows, so it is not broadcast at any size: both sides go to the key's partition once, and the
+    plan that small tables show is the one that large ones get.
+    """
+    return rows.join(listed.hint("merge"), key, "left_anti")
+
+
 def lower_ascii(col: Column) -> Column:
     """``A`` to ``Z`` in lower case, all other characters as they are."""
     return F.translate(col, UPPER, LOWER)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardlens.llm.common import map_batches, staged, unused
+from shardlens.llm.common import map_batches, staged, unused, without_listed
 
 TOKEN = re.compile(r"\w+")
 # Text of benchmark items that one pass over the documents takes along; more items take more passes.
@@ -210,4 +210,4 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakP
     keyed = docs.withColumn(key, F.concat_ws(":", F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(1), "text"))))
     leaks = find_leaks(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, params)
     leaky = staged(leaks.select(F.col("doc_id").alias(key)).distinct(), "leaky")
-    return keyed.join(leaky, key, "left_anti").select(*docs.columns)
+    return without_listed(keyed, leaky, key).select(*docs.columns)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardlens.llm.common import BLANK_CLASS, BLANKS, staged, unused, words_of
+from shardlens.llm.common import BLANK_CLASS, BLANKS, staged, unused, without_listed, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
@@ -174,4 +174,4 @@ def keep_quality(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     judged = quality_verdicts(docs, rules)
     key = unused(docs, "_key")
     rejected = staged(judged.where(~F.col("kept")).select(F.col("_key").alias(key)).distinct(), "quality-rejected")
-    return docs.withColumn(key, row_key(docs)).join(rejected, key, "left_anti").select(*docs.columns)
+    return without_listed(docs.withColumn(key, row_key(docs)), rejected, key).select(*docs.columns)
