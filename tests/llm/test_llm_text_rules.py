@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import random
 import zlib
 from collections import Counter
 
@@ -100,14 +101,25 @@ def test_shards_of_real_documents(spark):
     assert len(rows) == 24 and all(r.m == r.n - 1 for r in rows) and sum(r.n for r in rows) == docs.count()
 
 
+def test_packing_ids_are_the_merge_forms():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tok, encode, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(None), random.Random(8)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  \n", "it's", "ſ", "é", "12345", "日本", "\u00a0", "x" * 30, "\x1c", "\u0085"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(2000)]
+    texts += [" " * n for n in (999, 1000, 1001)] + ["\t" * 5000 + "end", "z" * 100_000]
+    assert [encode(t) for t in texts] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encode("a<|endoftext|>b")[1] == 50256
+
+
 def test_packing_round_trip(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").unionByName(docs_frame(spark).select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text"))
-    docs = docs.unionByName(spark.createDataFrame([(20_000_000, "a <|endoftext|> b"), (20_000_001, " ".join(["token"] * 5000))], docs.schema))
+    docs = docs.unionByName(spark.createDataFrame([(20_000_000, "a <|endoftext|> b"), (20_000_001, " ".join(["token"] * 5000)), (20_000_002, "<|endoftext|><|endoftext|>x<|endoftext |>"), (20_000_003, "a" + " " * 1_000_000 + "b"), (20_000_004, "\n\u3000" * 3000)], docs.schema))
     texts = {r.doc_id: r.text for r in docs.collect()}
     ids = {d: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for d, t in texts.items()}
     rows = packing.pack_documents(docs).collect()
