@@ -61,11 +61,15 @@ ROLE_RULES: dict[str, Callable[[], Column]] = {
 
 
 def target_role(service_type: str, rules: dict[str, Callable[[], Column]] | None = None) -> Column:
-    """Next role under the rule of ``service_type``; types without their own rule use the standard one.
+    """Next role under the rule of ``service_type``.
 
-    ``rules`` adds to the registry or replaces entries of it.
+    ``rules`` adds to the registry or replaces entries of it; a type that follows another one's rule is added with it
+    (``{"cache": standard}``).  A type that neither knows is an error.
     """
-    return (ROLE_RULES | (rules or {})).get(service_type, standard)().cast("int")
+    known = ROLE_RULES | (rules or {})
+    if service_type not in known:
+        raise ValueError(f"no role rule for {service_type!r}, known: {sorted(known)}")
+    return known[service_type]().cast("int")
 
 
 def primary_may_switch(from_stats: Column, to_stats: Column, guarded: bool) -> Column:

@@ -94,10 +94,14 @@ def partition_resource(facts: DataFrame, members: DataFrame) -> DataFrame:
             F.map_entries("resource"),
         )).alias("u"),
     ).select(*PART_KEY, "u.key", "u.value")
-    sums = units.groupBy(*PART_KEY, "key").agg(F.sum("value").alias("value"))
-    counts = sums.filter("key is null").select(*PART_KEY, F.col("value").alias("sampled"))
-    return sums.filter("key is not null").join(counts, PART_KEY).select(
-        *PART_KEY, "key", ceil_div("value", "sampled").alias("value"), "sampled"
+    # Laid out by partition once: the sums per key and what is gathered of them (a handful of keys) share the exchange.
+    sums = units.repartition(*[F.col(c) for c in PART_KEY]).groupBy(*PART_KEY, "key").agg(F.sum("value").alias("value"))
+    gathered = sums.groupBy(*PART_KEY).agg(
+        F.max(F.when(F.col("key").isNull(), F.col("value"))).alias("sampled"),
+        F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value"))).alias("units"),
+    )
+    return gathered.select(*PART_KEY, "sampled", F.explode("units").alias("u")).select(
+        *PART_KEY, "u.key", ceil_div("u.value", "sampled").alias("value"), "sampled"
     )
 
 

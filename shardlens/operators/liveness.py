@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardlens.functions.exprs import count_where, int_div
@@ -20,47 +20,68 @@ def round_sequence(rounds: DataFrame) -> DataFrame:
     return numbered(distinct, ["service"], ["_b"], ["round_no"], out="seq").select("service", "round_no", "seq")
 
 
-def liveness_changes(pings: DataFrame, rounds: DataFrame) -> DataFrame:
+def liveness_changes(pings: DataFrame, rounds: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
     """What changed between consecutive valid rounds.
 
     'new' and 'vanished' need no word; a node whose process id changed is 'restarted', which counts as dead for that
     round and as 'new' in the next one it is listed in; another address or business port gives 'changed'.  A process id
     that changes in every round alternates between the two, so the parity within a streak of changes decides.
 
-    Rounds meet their predecessors by an equi-join on (node, position), so a node's long history is never one group.
+    A node's history is scanned in buckets of ``width`` rounds, so that a long one is never one group.  The last round of
+    a bucket stands in the next one too, where the row after it finds it; where the last streak began is carried from
+    bucket to bucket by one small row each.
     """
     order = round_sequence(rounds)
-    here = pings.join(order, ["service", "round_no"]).select(*STEP, *ATTRIBUTES, F.lit(True).alias("listed"))
-    before = here.select(
-        *NODE, (F.col("seq") + 1).alias("seq"), *[F.col(c).alias(f"old_{c}") for c in ATTRIBUTES], F.lit(True).alias("was_listed"))
-    both = here.join(before, STEP, "full_outer")
-    swapped = (
-        both.filter("listed and was_listed and process_id <> old_process_id")
-        .select(*STEP, int_div("seq", F.lit(BUCKET_WIDTH).cast("long")).alias("_b"))
+    bucket = int_div("seq", F.lit(width).cast("long"))
+    at_edge = F.col("seq") % width == width - 1
+    places = F.when(at_edge, F.array(bucket, bucket + 1)).otherwise(F.array(bucket))
+    laid = (
+        pings.join(order, ["service", "round_no"])
+        .select(*STEP, *ATTRIBUTES, F.explode(places).alias("_b"))
+        .withColumn("_guest", F.col("_b") != bucket)
     )
-    streaks = numbered(swapped, NODE, ["_b"], ["seq"]).withColumn("streak", F.col("seq") - F.col("rn"))
-    starts = streaks.groupBy(*NODE, "streak").agg(F.min("seq").alias("start"))
-    restarts = (
-        streaks.join(starts, [*NODE, "streak"]).filter("(seq - start) % 2 = 0").select(*STEP, F.lit(True).alias("restarted"))
-    )
-    after_restart = restarts.select(*NODE, (F.col("seq") + 1).alias("seq"), F.col("restarted").alias("was_dead"))
-    moved = (F.col("host") != F.col("old_host")) | (F.col("port") != F.col("old_port")) | (F.col("biz_port") != F.col("old_biz_port"))
-    was_active = F.coalesce("was_listed", F.lit(False)) & ~F.coalesce("was_dead", F.lit(False))
-    listed = F.coalesce("listed", F.lit(False))
+    inside = Window.partitionBy(*NODE, "_b").orderBy("seq")
+    upto, ahead = (inside.rowsBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, -1))
+    seen = laid.withColumn("old", F.lag(F.struct("seq", *ATTRIBUTES)).over(inside)).withColumn("_next", F.lead("seq").over(inside))
+    follows = F.coalesce(F.col("old.seq") == F.col("seq") - 1, F.lit(False))
+    other_process = F.coalesce(F.col("process_id") != F.col("old.process_id"), F.lit(False))
+    seen = seen.withColumn("_follows", follows).withColumn("_swapped", follows & other_process & ~F.col("_guest"))
+    # A row without a swap ends the streak before it; the next swap begins one.
+    ends = F.when(~F.col("_swapped") & ~F.col("_guest"), F.col("seq"))
+    seen = seen.withColumn("_end", F.max(ends).over(upto)).withColumn("_old_end", F.max(ends).over(ahead))
+    earlier = Window.partitionBy(*NODE).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = seen.groupBy(*NODE, "_b").agg(F.max("_end").alias("_last")).select(*NODE, "_b", F.max("_last").over(earlier).alias("_carried"))
+    known = seen.join(carried, [*NODE, "_b"])
+
+    def restarted(seq, end):
+        """Every other swap of a streak; a row that ended the streak itself is none."""
+        return F.coalesce((seq != end) & ((seq - end) % 2 == 1), F.lit(False))
+
+    here = restarted(F.col("seq"), F.coalesce("_end", "_carried"))
+    was_dead = restarted(F.col("old.seq"), F.coalesce("_old_end", "_carried"))
+    moved = F.lit(False)
+    for name in ("host", "port", "biz_port"):
+        moved = moved | F.coalesce(F.col(name) != F.col(f"old.{name}"), F.lit(False))
     change = (
-        F.when(~listed & was_active, "vanished").when(~listed, None)
-        .when(F.coalesce("restarted", F.lit(False)), "restarted").when(~was_active, "new").when(moved, "changed")
+        F.when(F.col("_swapped") & here, "restarted").when(~F.col("_follows") | was_dead, "new").when(moved, "changed")
+    )
+    # Whether the round after the last of a bucket lists the node is seen in the next bucket.
+    gone = ~here & F.coalesce(F.col("_next") != F.col("seq") + 1, F.lit(True)) & (~at_edge | F.col("_guest"))
+    event = lambda seq, what, moved_az: F.struct(seq.alias("seq"), what.alias("change"), moved_az.alias("az_moved"))
+    az_moved = F.col("_follows") & F.coalesce(F.col("az") != F.col("old.az"), F.lit(False))
+    events = F.filter(
+        F.array(
+            F.when(~F.col("_guest") & change.isNotNull(), event(F.col("seq"), change, az_moved)),
+            F.when(gone, event(F.col("seq") + 1, F.lit("vanished"), F.lit(False))),
+        ),
+        lambda e: e.isNotNull(),
     )
     return (
-        both.join(restarts, STEP, "left").join(after_restart, STEP, "left")
-        .withColumn("change", change).filter("change is not null")
+        known.select(*NODE, "process_id", F.explode(events).alias("e"))
+        .select("service", "node_id", "e.*", "process_id")
         # The step after the last round is no round: what was listed last has not vanished.
         .join(order, ["service", "seq"])
-        .select(
-            "service", "round_no", "node_id", "change",
-            F.coalesce(F.col("az") != F.col("old_az"), F.lit(False)).alias("az_moved"),
-            F.coalesce("process_id", "old_process_id").alias("process_id"),
-        )
+        .select("service", "round_no", "node_id", "change", "az_moved", "process_id")
     )
 
 

@@ -524,12 +524,16 @@ def primary_imbalance(members: DataFrame, nodes: DataFrame, hubs: DataFrame) ->
 
 
 def primary_switch_edges(members: DataFrame) -> DataFrame:
-    """How many partitions have their primary on one node and a secondary on another."""
-    pri = members.filter(F.col("role") == PRIMARY).select(*PART_KEY, F.col("node_id").alias("primary_node"))
-    sec = members.filter(F.col("role") == SECONDARY).select(*PART_KEY, F.col("node_id").alias("secondary_node"))
-    return sec.join(pri, PART_KEY).groupBy(*TABLE_KEY, "primary_node", "secondary_node").agg(
-        F.count(F.lit(1)).alias("partitions")
-    )
+    """How many partitions have their primary on one node and a secondary on another.
+
+    One aggregation brings a partition's handful of replicas together; its pairs are made from that.
+    """
+    at = lambda role: F.collect_list(F.when(F.col("role") == role, F.col("node_id")))
+    parts = members.filter(F.col("role").isin(PRIMARY, SECONDARY)).groupBy(*PART_KEY).agg(
+        at(PRIMARY).alias("primaries"), at(SECONDARY).alias("secondaries"))
+    pairs = parts.select(*TABLE_KEY, F.explode("primaries").alias("primary_node"), "secondaries").select(
+        *TABLE_KEY, "primary_node", F.explode("secondaries").alias("secondary_node"))
+    return pairs.groupBy(*TABLE_KEY, "primary_node", "secondary_node").agg(F.count(F.lit(1)).alias("partitions"))
 
 
 def direct_switches(edges: DataFrame, imbalance: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
 import fleet
+import random
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -91,6 +93,47 @@ def test_restart_takes_two_rounds(spark):
     assert out == [(1, 1, "new"), (1, 3, "restarted"), (1, 4, "new"), (1, 6, "restarted"), (1, 8, "new")]
 
 
+def test_liveness_does_not_depend_on_buckets(spark):
+    """Brute force round by round, on histories whose streaks of restarts cross the bounds of very small buckets."""
+    rng, n = random.Random(12), 60
+    data = []
+    for node in range(12):
+        pid, stay, gap = 1, rng.random(), rng.random() * 0.4
+        for r in range(1, n + 1):
+            pid += rng.random() > stay
+            if rng.random() > gap:
+                data.append(("s", r * 2, node, pid, f"h{rng.random() < 0.1}", 1, 1, f"az{rng.random() < 0.1}"))
+    want, at = [], {(d[2], d[1] // 2): d for d in data}
+    for node in range(12):
+        active, before = False, None
+        for r in range(1, n + 1):
+            now, change = at.get((node, r)), None
+            if now is None:
+                change = "vanished" if active else None
+                active = False
+            elif not active:
+                change, active = "new", True
+            elif now[3] != before[3]:
+                change, active = "restarted", False
+            elif now[4:7] != before[4:7]:
+                change = "changed"
+            if change:
+                moved = now is not None and before is not None and now[7] != before[7]
+                want.append(("s", r * 2, node, change, moved, (now or before)[3]))
+            before = now
+    p = spark.createDataFrame(data, "service string, round_no bigint, node_id bigint, process_id bigint, host string, port int, biz_port int, az string")
+    for width in (1, 2, 7, 4096):
+        assert sorted(map(tuple, L.liveness_changes(p, p, width).collect())) == sorted(want)
+
+
+def test_unknown_service_types_are_no_standard_ones(spark):
+    from shardlens.functions.rules import standard, target_role
+
+    with pytest.raises(ValueError, match="no role rule for 'standrad'"):
+        target_role("standrad")
+    assert str(target_role("cache", {"cache": standard})) == str(target_role("standard"))
+
+
 def test_recovery_drops_unknown_and_demotes_dead(spark):
     nodes = fleet.nodes(spark, [dict(node_id=1, hub_name="a"), dict(node_id=2, hub_name="a", is_alive=False)])
     routes = spark.createDataFrame(
