@@ -139,12 +139,18 @@ def _novel(text: str, start: int, end: int) -> bool:
 def novel_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, str, int]]:
     """Candidates within ``REACH`` characters after a sensitive word that the primed compressor cannot shorten."""
     found, last = [], 0
+    # Candidates come in order, and so do the spans they are held against: what begins before a candidate's end reaches
+    # no further than ``taken_to``.
+    taken, ahead, taken_to = sorted(taken), 0, 0
     for word in SENSITIVE.finditer(text):
         for m in CANDIDATE.finditer(text, max(word.end(), last), word.end() + REACH):
             # The reach may cut a long string: it is judged and reported whole.
             whole = CANDIDATE.match(text, m.start())
             last = max(last, whole.end())
-            if any(s < whole.end() and whole.start() < e for s, e in taken):
+            while ahead < len(taken) and taken[ahead][0] < whole.end():
+                taken_to = max(taken_to, taken[ahead][1])
+                ahead += 1
+            if taken_to > whole.start():
                 continue
             if _novel(text, whole.start(), whole.end()):
                 found.append((whole.start(), "novel", whole.end()))
