@@ -136,9 +136,11 @@ def blocks(page: str | None) -> list[Block]:
 
 @dataclass(frozen=True)
 class CrfParams:
-    """``pages``: labelled pages at most used to train; ``dims``: weights (features are hashed to them)."""
+    """``pages``: labelled pages at most used to train, ``longest``: characters of each that are read for that; ``dims``:
+    weights (features are hashed to them)."""
 
     pages: int = 400
+    longest: int = 200_000
     dims: int = 1 << 14
     rounds: int = 80
     rate: float = 0.3
@@ -288,6 +290,8 @@ MAIN_SHELLS = (
     "<div class='post-body'>{}</div>",
     "<section class='story text'>{}</section>",
     "<article><div class='body'>{}</div></article>",
+    "<div>{}</div>",
+    "<div><div>{}</div></div>",
 )
 OTHER_SHELLS = (
     "<nav><ul><li><a href='/'>{}</a></li><li><a href='/x'>{}</a></li><li><a href='/y'>{}</a></li></ul></nav>",
@@ -401,10 +405,76 @@ def _laid_out(found: list[Block], ys: list[int], stock: list[str], rng: np.rando
     return made, labels
 
 
+# Labelled pages for collections that mark no article themselves; ``fit`` lays each out anew many times.
+OWN_PAGES = tuple(
+    f"<html><body><nav><a href='/'>{site}</a> <a href='/all'>All stories</a></nav><article><h1>{title}</h1>{''.join(f'<p>{p}</p>' for p in text)}</article>"
+    f"<aside><h3>Most read</h3><a href='/1'>{site} in numbers</a></aside><footer>&copy; {site}. All rights reserved.</footer></body></html>"
+    for site, title, text in (
+        (
+            "Harbour Post",
+            "Ferry returns after a long winter",
+            (
+                "The ferry between the two islands sailed again on Monday, four months after ice had closed the northern channel. About ninety people were on board, most of them with shopping to do.",
+                "Its captain said that the engine had been rebuilt over the winter, and that the crossing now takes eleven minutes less. \"Nobody will miss the noise,\" a passenger added.",
+                "A ticket costs the same as last year; bicycles travel free until the end of May.",
+            ),
+        ),
+        (
+            "Kitchen Notes",
+            "Bread with little work",
+            (
+                "Mix flour, water, salt and a pinch of yeast in the evening, and leave the bowl covered until the morning.",
+                "Fold the dough twice, let it rest for an hour, and bake it in a closed pot. The crust gets dark if the lid comes off after thirty minutes.",
+                "Those who like it sour wait a day longer, since time does what kneading would do.",
+            ),
+        ),
+        (
+            "Field Station",
+            "What the frogs tell",
+            (
+                "For nine years we have counted frogs at the same forty ponds, always in the second week of April and always at night.",
+                "Where the hedges were kept, numbers held; where they were cleared, two ponds of three fell silent. Rain explains a part of this, but not the most of it.",
+                "We shall go on counting, and will put the tables where everyone can read them.",
+                "Volunteers need boots, a lamp and some patience.",
+            ),
+        ),
+        (
+            "Stadtblatt",
+            "Neue Brücke wird im Herbst fertig",
+            (
+                "Die Brücke über den Kanal soll im Oktober für den Verkehr geöffnet werden, teilte die Verwaltung am Dienstag mit. Bis dahin fahren die Busse weiter über den Ring.",
+                "Teurer als geplant wird der Bau nicht, weil die Pfeiler der alten Brücke noch tragen.",
+                "Radfahrer bekommen eine eigene Spur, die zum ersten Mal bis zum Bahnhof führt.",
+            ),
+        ),
+        (
+            "Le Relais",
+            "Un marché plus tôt le matin",
+            (
+                "Le marché de la place ouvrira désormais à six heures, une heure plus tôt qu'avant. Les maraîchers le demandaient depuis longtemps.",
+                "Pour les habitants, peu de choses changent : les étals restent en place jusqu'à midi, et le stationnement demeure gratuit.",
+            ),
+        ),
+        (
+            "El Faro",
+            "La biblioteca abre los domingos",
+            (
+                "Desde este mes la biblioteca abre también los domingos por la tarde, con dos salas de lectura y una para niños.",
+                "La directora cuenta que la idea vino de los propios lectores, que llenaron una libreta con firmas. Ahora faltan voluntarios para la sala pequeña.",
+            ),
+        ),
+    )
+)
+LAYOUTS = 20
+
+
 def fit(pages: DataFrame, params: CrfParams = CrfParams()) -> Crf:
-    """Trains on a bounded sample (``params.pages`` pages) of those with an article element."""
-    marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select(F.substring("html", 1, 200_000).alias("html"))
-    sample = sorted(r.html for r in bounded_sample(marked, params.pages))
+    """Trains on a bounded sample (``params.pages`` pages) of those with an article element, each up to ``longest`` characters.
+
+    A collection without any is extracted by what ``OWN_PAGES`` teach.
+    """
+    marked = pages.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]")).select(F.substring("html", 1, params.longest).alias("html"))
+    sample = sorted(r.html for r in bounded_sample(marked, params.pages)) or list(OWN_PAGES) * LAYOUTS
     np.random.default_rng(params.seed).shuffle(sample)
     return train(labelled_pages(sample[: params.pages], params.seed), params)
 
