@@ -49,13 +49,16 @@ def read_kv_dump(spark: SparkSession, path: str, root: str | None = None) -> Dat
 
 
 def parse_kv_lines(lines: DataFrame) -> DataFrame:
-    """``path`` and ``value`` of dump lines; other columns stay, lines without a path are left out."""
-    at = F.instr("value", " ")
+    """``path`` and ``value`` of dump lines; other columns stay, lines without a path are left out.
+
+    The last blank of a line ends its path, which may hold blanks itself.
+    """
     others = [c for c in lines.columns if c != "value"]
-    return lines.filter(at > 1).select(
+    long = F.length("value") - F.instr(F.reverse("value"), " ")
+    return lines.filter(F.instr("value", " ") > 1).select(
         *others,
-        F.expr("substring(value, 1, instr(value, ' ') - 1)").alias("path"),
-        F.unhex(F.expr("substring(value, instr(value, ' ') + 1)")).alias("value"),
+        F.substr("value", F.lit(1), long).alias("path"),
+        F.unhex(F.substr("value", long + 2)).alias("value"),
     )
 
 

@@ -126,14 +126,6 @@ def test_liveness_does_not_depend_on_buckets(spark):
         assert sorted(map(tuple, L.liveness_changes(p, p, width).collect())) == sorted(want)
 
 
-def test_unknown_service_types_are_no_standard_ones(spark):
-    from shardlens.functions.rules import standard, target_role
-
-    with pytest.raises(ValueError, match="no role rule for 'standrad'"):
-        target_role("standrad")
-    assert str(target_role("cache", {"cache": standard})) == str(target_role("standard"))
-
-
 def test_recovery_drops_unknown_and_demotes_dead(spark):
     nodes = fleet.nodes(spark, [dict(node_id=1, hub_name="a"), dict(node_id=2, hub_name="a", is_alive=False)])
     routes = spark.createDataFrame(
