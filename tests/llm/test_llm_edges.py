@@ -106,7 +106,7 @@ def test_stages_one_by_one(spark, tmp_path):
 
 
 def test_pipeline_is_registered(spark):
-    assert list(queries.QUERIES)[-1] == "pipeline" and len(queries.QUERIES) == 11
+    assert list(queries.QUERIES)[-1] == "pipeline" and len(queries.QUERIES) == 14
     assert queries.QUERIES["pipeline"](spark, SF_DIR).count() > 0
 
 
