@@ -33,58 +33,49 @@ def _fits(host: str, path: str) -> str:
     return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
 
 
-def _seg(k: int) -> str:
-    return (
-        f"CASE WHEN parts[{k}] IS NULL THEN '' WHEN regexp_matches(parts[{k}], '[0-9]') OR length(parts[{k}]) > 40 "
-        f"THEN '*' ELSE parts[{k}] END"
-    )
-
-
-def _wide(k: int) -> str:
-    """Level ``k`` with wildcards under nodes that have more than 20 children."""
-    above = "host" + "".join(f", t{j}" for j in range(1, k))
-    return f"""wide{k} AS (
-  SELECT {above} FROM tree{k - 1} GROUP BY {above} HAVING count(DISTINCT t{k}) > 20
-), tree{k} AS (
-  SELECT x.* REPLACE (CASE WHEN x.t{k} <> '' AND w.host IS NOT NULL THEN '*' ELSE x.t{k} END AS t{k})
-  FROM tree{k - 1} x LEFT JOIN wide{k} w ON x.host = w.host {"".join(f"AND x.t{j} = w.t{j} " for j in range(1, k))}
-)"""
-
-
 OP6_SQL = f"""
-WITH marks AS (
+WITH RECURSIVE marks AS (
   SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL THEN 0 END) AS bad
   FROM labels GROUP BY doc_id
 ), split AS (
   SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages
-), cut AS (
-  SELECT *, [x FOR x IN string_split(path, '/') IF x <> ''] AS parts FROM split
 ), shaped AS (
-  SELECT cut.page_id, host, path, {_seg(1)} AS s1, {_seg(2)} AS s2, {_seg(3)} AS s3,
-         CASE WHEN len(parts) > 3 THEN '**' ELSE '' END AS tail, bad
-  FROM cut LEFT JOIN marks ON cut.page_id = marks.page_id
-), tree0 AS (
-  SELECT host, s1, s2, s3, tail, s1 AS t1, s2 AS t2, s3 AS t3, count(bad) AS n, coalesce(sum(bad), 0) AS b
-  FROM shaped GROUP BY host, s1, s2, s3, tail
-), {_wide(1)}, {_wide(2)}, {_wide(3)}, nodes AS (
-  SELECT host, t1, t2, t3, tail, sum(n) AS n, sum(b) AS b FROM tree3 GROUP BY host, t1, t2, t3, tail
+  SELECT split.page_id, host, path, bad,
+         [CASE WHEN regexp_matches(x, '[0-9]') OR length(x) > 40 THEN '*' ELSE x END FOR x IN string_split(path, '/') IF x <> ''] AS form
+  FROM split LEFT JOIN marks ON split.page_id = marks.page_id
+), leaves AS (
+  SELECT host, form, count(bad) AS n, coalesce(sum(bad), 0) AS b FROM shaped GROUP BY host, form
 ), hosts AS (
-  SELECT host, sum(n) AS hn, sum(b) AS hb FROM nodes GROUP BY host
-), corpus AS (
-  SELECT coalesce(sum(hn), 0) AS cn, coalesce(sum(hb), 0) AS cb FROM hosts
-), known AS (
-  SELECT *, n > 0 AND (b - n * p) * (b - n * p) > 3.84::DOUBLE * n * p * (1 - p) AS own
-  FROM (SELECT nodes.*, hn, hb, hb::DOUBLE / greatest(hn, 1)::DOUBLE AS p FROM nodes JOIN hosts USING (host))
-), merged AS (
-  SELECT host, sum(n) AS mn, sum(b) AS mb FROM known WHERE NOT own GROUP BY host
-), counts AS (
-  SELECT known.*, cn, cb, CASE WHEN own THEN n ELSE mn END AS n_labelled, CASE WHEN own THEN b ELSE mb END AS n_bad
-  FROM known LEFT JOIN merged USING (host) CROSS JOIN corpus
-), judged AS (
-  SELECT host, t1, t2, t3, tail, n_labelled, n_bad,
-         CASE WHEN (n_bad + 20 * ((hb + 20 * ((cb + 1)::DOUBLE / (cn + 2)::DOUBLE)) / (hn + 20)::DOUBLE)) / (n_labelled + 20)::DOUBLE * 100 > 50
-              THEN 'block' ELSE 'allow' END AS method
-  FROM counts
+  SELECT host, sum(n)::DOUBLE AS hn, sum(b)::DOUBLE AS hb FROM leaves GROUP BY host
+), grow AS (
+  SELECT host, form, form AS rest, '' AS t, n, b, hn AS nl, hb AS nb, false AS done,
+         (hb + 20 * (SELECT (coalesce(sum(hb), 0) + 1) / (coalesce(sum(hn), 0) + 2) FROM hosts)) / (hn + 20) AS share
+  FROM leaves JOIN hosts USING (host)
+  UNION ALL (
+    WITH step AS (
+      SELECT *, CASE WHEN len(rest) = 0 THEN '' ELSE rest[1] END AS seg FROM grow WHERE NOT done
+    ), fan AS (
+      SELECT *, CASE WHEN seg <> '' AND count(DISTINCT nullif(seg, '')) OVER (PARTITION BY host, t) > 20 THEN '*' ELSE seg END AS child FROM step
+    ), kids AS (
+      SELECT host, t, child, sum(n)::DOUBLE AS cn, sum(b)::DOUBLE AS cb, max(share) AS above, sum(n) > 0 AS known,
+             sum(b)::DOUBLE / greatest(sum(n), 1)::DOUBLE AS ratio
+      FROM fan GROUP BY host, t, child
+    ), beside AS (
+      SELECT *, count(*) OVER (PARTITION BY host, t) = 1 AS lone, lag(cn) OVER line AS n0, lag(cb) OVER line AS b0
+      FROM kids WINDOW line AS (PARTITION BY host, t, known ORDER BY ratio, child)
+    ), cuts AS (
+      SELECT *, sum(CASE WHEN (b0 * cn - cb * n0) * (b0 * cn - cb * n0) * (n0 + cn)
+                           > 3.84::DOUBLE * (n0 * cn) * ((b0 + cb) * (n0 + cn - (b0 + cb))) THEN 1 ELSE 0 END)
+             OVER (PARTITION BY host, t, known ORDER BY ratio, child ROWS UNBOUNDED PRECEDING) AS grp
+      FROM beside
+    ), merged AS (
+      SELECT *, sum(cn) OVER same AS gn, sum(cb) OVER same AS gb FROM cuts WINDOW same AS (PARTITION BY host, t, known, grp)
+    )
+    SELECT f.host, f.form, f.rest[2:], CASE WHEN f.child = '' THEN f.t ELSE f.t || '/' || f.child END, f.n, f.b,
+           CASE WHEN lone THEN f.nl ELSE gn END, CASE WHEN lone THEN f.nb ELSE gb END, f.child = '',
+           CASE WHEN lone THEN f.share ELSE (gb + 20 * above) / (gn + 20) END
+    FROM fan f JOIN merged m ON f.host = m.host AND f.t = m.t AND f.child = m.child
+  )
 ), ruled AS (
   SELECT *, CASE WHEN {_fits("example.net", "/en/")} THEN 'example.net/en/' WHEN {_fits("example.com", "/de/")} THEN 'example.com/de/'
                  WHEN {_fits("org", "/fr/")} THEN 'org/fr/' WHEN {_fits("net", "/")} THEN 'net/' END AS rule
@@ -92,10 +83,9 @@ WITH marks AS (
 )
 SELECT r.page_id, r.host, r.path, r.rule,
        CASE r.rule WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' WHEN 'example.com/de/' THEN 'block'
-                   WHEN 'net/' THEN 'block' ELSE j.method END AS verdict,
-       '/' || array_to_string([y FOR y IN [x.t1, x.t2, x.t3, x.tail] IF y <> ''], '/') AS template,
-       CAST(j.n_labelled AS BIGINT) AS n_labelled, CAST(j.n_bad AS BIGINT) AS n_bad
-FROM ruled r JOIN tree3 x USING (host, s1, s2, s3, tail) JOIN judged j USING (host, t1, t2, t3, tail)
+                   WHEN 'net/' THEN 'block' ELSE CASE WHEN g.share * 100 > 50 THEN 'block' ELSE 'allow' END END AS verdict,
+       CASE WHEN g.t = '' THEN '/' ELSE g.t END AS template, CAST(g.nl AS BIGINT) AS n_labelled, CAST(g.nb AS BIGINT) AS n_bad
+FROM ruled r JOIN grow g ON r.host = g.host AND r.form = g.form AND g.done
 """
 
 OP11_SQL = r"""
