@@ -3,27 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Width of one bucket of consecutive numeric ids, and of what buckets text ids behind their common prefix.
-BUCKET_WIDTH, PREFIX_CHARS = 4096, 4
+# Width of one bucket of consecutive numbers, buckets of a list of ids, and the ids their bounds are taken from.
+BUCKET_WIDTH, BUCKETS, SAMPLED = 4096, 128, 8192
 
 
-def id_bucket(df: DataFrame, id_col: str = "node_id") -> Column:
-    """A bucket that grows with the id, so that bucket order is id order.
+def id_bucket(df: DataFrame, *cols: str) -> Column:
+    """A bucket that grows with ``cols`` (the node id by default), so that bucket order is their order, nulls first.
 
-    Text ids mostly begin alike (``node_...``): the buckets are the first characters in which they differ.  What all
-    have in common is what the least and the greatest have in common (one small aggregation).
+    The bounds are quantiles of the ``SAMPLED`` distinct ids of least hash: an even draw whatever the ids look like, the
+    same in every run.  They only level the buckets; positions are exact with any bounds.  They are a scalar subquery
+    of the plan, so nothing runs while the plan is being built, and every row meets the same ones.
     """
-    if isinstance(df.schema[id_col].dataType, T.StringType):
-        ends = df.agg(F.min(id_col).alias("least"), F.max(id_col).alias("most")).first()
-        shared = len(commonprefix([ends.least or "", ends.most or ""]))
-        return F.substring(id_col, 1, shared + PREFIX_CHARS)
-    return F.call_function("div", F.col(id_col), F.lit(BUCKET_WIDTH).cast("long"))
+    key = F.struct(*(cols or ("node_id",)))
+    drawn = df.select(key.alias("key")).distinct().orderBy(F.xxhash64("key"), "key").limit(SAMPLED)
+    place = lambda k: (k * F.size("ids") / BUCKETS).cast("int")
+    bounds = drawn.agg(F.sort_array(F.collect_list("key")).alias("ids")).select(
+        F.transform(F.sequence(F.lit(1), F.lit(BUCKETS - 1)), lambda k: F.get("ids", place(k))).alias("bounds")
+    )
+    # The bucket is where the row's key stands among the bounds.
+    return F.array_position(F.sort_array(F.array_append(bounds.scalar(), key)), key)
 
 
 def numbered(

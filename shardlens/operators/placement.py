@@ -6,6 +6,8 @@ report.  Rankings hold for the given snapshot; they do not feed earlier picks ba
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,8 +136,8 @@ def node_profile(nodes: DataFrame) -> DataFrame:
     """
     index = ["node_index"] if "node_index" in nodes.columns else []
     active = nodes.filter(F.col("op") != OFFLINE).select(*HUB_KEY, "node_id", *index, weighted_score().alias("wscore"))
-    coarse = index or ["_b"]
-    placed = numbered(active.withColumn("_b", id_bucket(active)), HUB_KEY, coarse, ["node_id"])
+    order = [*index, "node_id"]
+    placed = numbered(active.withColumn("_b", id_bucket(active, *order)), HUB_KEY, ["_b"], order)
     hubs = active.groupBy(*HUB_KEY).agg(F.sum("wscore").alias("hub_score"), F.count(F.lit(1)).alias("hub_nodes"))
     return placed.join(hubs, HUB_KEY).select(*HUB_KEY, "node_id", "wscore", "rn", "hub_score", "hub_nodes")
 
@@ -156,15 +158,33 @@ def _turned() -> Column:
     return F.pmod(F.col("rn") - 1 + F.col("seed"), F.col("hub_nodes"))
 
 
+def _packed(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row per ``keys`` with its distinct values and how often each occurs, as the array ``packed``.
+
+    As long as there are different values: node scores of a hub, sizes of a scope's tables.
+    """
+    pair = F.struct(F.col(value).alias("value"), F.col("n").cast("long").alias("n"))
+    return counted.groupBy(*keys).agg(F.collect_list(pair).alias("packed"))
+
+
+def _fold(each: Callable[[Column], Column]) -> Column:
+    """Sum of ``each(value) * n`` over ``packed``."""
+    return F.aggregate("packed", F.lit(0).cast("long"), lambda acc, x: acc + (each(x["value"]) * x["n"]).cast("long"))
+
+
 def _spare_parts(placed: DataFrame, tables: DataFrame) -> DataFrame:
-    """Partitions left over after the floors, per (hub, table size): tables of equal size share one row."""
-    same_score = placed.filter("hub_score > 0").groupBy(*HUB_KEY, "hub_score", "hub_nodes", "wscore").agg(
-        F.count(F.lit(1)).alias("c"))
-    sizes = tables.select(*SCOPE, "parts_count").distinct()
+    """Partitions left over after the floors, per (hub, table size): tables of equal size share one row.
+
+    A hub's scores and a scope's sizes are packed into one row each before they meet.
+    """
+    hub = [*HUB_KEY, "hub_score", "hub_nodes"]
+    scores = placed.filter("hub_score > 0").groupBy(*hub, "wscore").agg(F.count(F.lit(1)).alias("n"))
+    sizes = tables.groupBy(*SCOPE).agg(F.collect_set("parts_count").alias("sizes"))
+    floors = _fold(lambda score: int_div(score * F.col("parts_count"), "hub_score"))
     return (
-        same_score.join(sizes, SCOPE)
-        .groupBy(*HUB_KEY, "parts_count", "hub_nodes")
-        .agg((F.col("parts_count") - F.sum(_floor_est() * F.col("c"))).alias("spare"))
+        _packed(scores, hub, "wscore").join(sizes, SCOPE)
+        .select(*hub, "packed", F.explode("sizes").alias("parts_count"))
+        .select(*HUB_KEY, "parts_count", "hub_nodes", (F.col("parts_count") - floors).alias("spare"))
     )
 
 
@@ -236,9 +256,8 @@ def estimated_by_node(tables: DataFrame, profile: DataFrame) -> DataFrame:
     sizes = wanted.groupBy(*SCOPE, "parts_count").agg(F.count(F.lit(1)).alias("n"))
     floors = (
         scored.select(*HUB_KEY, "hub_score", "wscore").distinct()
-        .join(sizes, SCOPE)
-        .groupBy(*HUB_KEY, "wscore")
-        .agg(F.sum(_floor_est() * F.col("n")).alias("floors"))
+        .join(_packed(sizes, SCOPE, "parts_count"), SCOPE)
+        .select(*HUB_KEY, "wscore", _fold(lambda parts: int_div(F.col("wscore") * parts, "hub_score")).alias("floors"))
     )
     behind = F.col("start") + F.col("spare")
     step = lambda pos, delta: F.struct(pos.alias("pos"), delta.alias("delta"))
@@ -487,26 +506,23 @@ def primary_imbalance(members: DataFrame, nodes: DataFrame, hubs: DataFrame) ->
     """
     rated = _allow_primary(nodes, hubs).select(*NODE_KEY, weighted_score().alias("wscore"),
                                                (is_normal() & F.col("allow_primary")).alias("allowed"))
-    by_score = rated.filter("allowed").groupBy(*SCOPE, "wscore").agg(F.count(F.lit(1)).alias("c"))
+    by_score = rated.filter("allowed").groupBy(*SCOPE, "wscore").agg(F.count(F.lit(1)).alias("n"))
+    # One row per scope: its scores, and how many nodes have each.
     totals = (
-        by_score.groupBy(*SCOPE)
-        .agg(F.sum(F.col("wscore") * F.col("c")).alias("all_score"), F.min("wscore").alias("least"))
-        .filter("least > 0")
-        .drop("least")
+        _packed(by_score, SCOPE, "wscore")
+        .filter(F.forall("packed", lambda x: x["value"] > 0))
+        .withColumn("all_score", _fold(lambda score: score))
     )
     held = replicas_by_node(members, TABLE_NODE).select(*TABLE_NODE, "primaries")
     per_table = held.groupBy(*TABLE_KEY).agg(F.sum("primaries").alias("all_primaries")).filter("all_primaries > 0")
     # What remains and how many nodes are due anything depend on the number of primaries alone.
     share = int_div(F.col("wscore") * F.col("all_primaries"), "all_score")
     sizes = per_table.select(*SCOPE, "all_primaries").distinct()
-    by_size = (
-        by_score.join(totals, SCOPE)
-        .join(sizes, SCOPE)
-        .groupBy(*SCOPE, "all_primaries", "all_score")
-        .agg(
-            (F.col("all_primaries") - F.sum(share * F.col("c"))).alias("remained"),
-            F.sum(F.when(share >= 1, F.col("c")).otherwise(0)).alias("due_nodes"),
-        )
+    share_of = lambda score: int_div(score * F.col("all_primaries"), "all_score")
+    by_size = sizes.join(totals, SCOPE).select(
+        *SCOPE, "all_primaries", "all_score",
+        (F.col("all_primaries") - _fold(share_of)).alias("remained"),
+        _fold(lambda score: F.when(share_of(score) >= 1, 1).otherwise(0)).alias("due_nodes"),
     )
     rows = (
         held.join(per_table, TABLE_KEY)

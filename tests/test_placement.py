@@ -270,3 +270,50 @@ def test_text_ids_with_a_common_prefix_are_numbered_in_small_buckets(spark):
     assert got == sorted(ids)
     grid = part_grid(spark.createDataFrame([(1, 10_000), (2, 0), (3, 1)], "t int, parts_count long"), "pid")
     assert rows(grid.groupBy("t").agg(F.count("*").alias("n"), F.max("pid").alias("m")), "t", "n", "m") == [(1, 10_000, 9_999), (3, 1, 0)]
+
+
+@pytest.mark.parametrize(
+    "name, ids",
+    [
+        ("one odd id", [f"node_{n:06d}" for n in range(20_000)] + ["x1"]),
+        ("sparse numbers", [n * n * 1_000_003 for n in range(20_000)]),
+        ("all begin alike, then by length", ["a" * (n % 500) + str(n) for n in range(20_000)]),
+    ],
+)
+def test_buckets_of_ids_are_even_whatever_the_ids_look_like(spark, name, ids):
+    """No window group holds more than a few times its share, neither the buckets nor the list of their totals."""
+    from shardlens.functions.ranking import BUCKETS, id_bucket, numbered
+
+    kind = "long" if isinstance(ids[0], int) else "string"
+    shuffled = random.Random(4).sample(ids, len(ids))
+    df = spark.createDataFrame([("s", i) for i in shuffled], f"service string, node_id {kind}").repartition(8)
+    bucketed = df.withColumn("_b", id_bucket(df))
+    largest, buckets = bucketed.groupBy("_b").count().agg(F.max("count"), F.count("*")).first()
+    assert largest <= 4 * len(ids) / BUCKETS and buckets <= BUCKETS
+    got = [r.node_id for r in numbered(bucketed, ["service"], ["_b"], ["node_id"]).orderBy("rn").collect()]
+    assert got == sorted(ids)
+
+
+def test_profile_numbers_unique_and_missing_indexes_exactly(spark):
+    """Indexes of their own, ties and nulls (first) within a hub, in buckets of (index, id)."""
+    rng = random.Random(9)
+    node_rows, _ = fleet.random_placement(9)
+    live = [n for n in node_rows if n["op"] != OFFLINE]
+    index = {n["node_id"]: rng.choice([None, 3, rng.randrange(10**9)]) for n in node_rows}
+    known = spark.createDataFrame(list(index.items()), f"node_id {fleet.nodes(spark, node_rows).schema['node_id'].dataType.simpleString()}, node_index long")
+    base = fleet.nodes(spark, node_rows)
+    nodes = base.drop("node_index").join(known, "node_id")
+    got = {r.node_id: r.rn for r in P.node_profile(nodes).collect()}
+    want = {}
+    for hub in {n["hub_name"] for n in live}:
+        mine = [n["node_id"] for n in live if n["hub_name"] == hub]
+        mine.sort(key=lambda i: (index[i] is not None, index[i] or 0, i))
+        want |= {i: k for k, i in enumerate(mine, 1)}
+    assert got == want
+
+
+def test_an_empty_list_of_ids_has_no_buckets(spark):
+    from shardlens.functions.ranking import id_bucket, numbered
+
+    df = spark.createDataFrame([], "service string, node_id string")
+    assert numbered(df.withColumn("_b", id_bucket(df)), ["service"], ["_b"], ["node_id"]).count() == 0
