@@ -15,7 +15,8 @@ def route_servers(nodes: DataFrame, hubs: DataFrame) -> DataFrame:
 
     A node without hub takes no index.  ``hub_id`` is the hub's position in the name-ordered hub list.
     """
-    ids = numbered(hubs.select(*HUB_KEY).withColumn("_h", F.substring("hub_name", 1, 2)), SCOPE, ["_h"], ["hub_name"], out="hub_no")
+    named = hubs.select(*HUB_KEY)
+    ids = numbered(named.withColumn("_h", id_bucket(named, "hub_name")), SCOPE, ["_h"], ["hub_name"], out="hub_no")
     placed = nodes.join(ids.select(*HUB_KEY, (F.col("hub_no") - 1).alias("hub_id")), HUB_KEY)
     indexed = numbered(placed.withColumn("_b", id_bucket(placed)), SCOPE, ["_b"], ["node_id"], out="server_index")
     return indexed.select(
