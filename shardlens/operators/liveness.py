@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardlens.functions.exprs import count_where, int_div
-from shardlens.functions.ranking import BUCKET_WIDTH, numbered
+from shardlens.functions.ranking import BUCKET_WIDTH, id_bucket, numbered
 
 NODE = ["service", "node_id"]
 STEP = [*NODE, "seq"]
@@ -15,9 +15,9 @@ ATTRIBUTES = ["process_id", "host", "port", "biz_port", "az"]
 
 def round_sequence(rounds: DataFrame) -> DataFrame:
     """Valid rounds of every service with their 1-based position; void rounds are simply not among them."""
-    bucket = int_div("round_no", F.lit(BUCKET_WIDTH).cast("long"))
-    distinct = rounds.select("service", "round_no").distinct().withColumn("_b", bucket)
-    return numbered(distinct, ["service"], ["_b"], ["round_no"], out="seq").select("service", "round_no", "seq")
+    distinct = rounds.select("service", "round_no").distinct()
+    bucketed = distinct.withColumn("_b", id_bucket(distinct, "round_no"))
+    return numbered(bucketed, ["service"], ["_b"], ["round_no"], out="seq").select("service", "round_no", "seq")
 
 
 def liveness_changes(pings: DataFrame, rounds: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame:
