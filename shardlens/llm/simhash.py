@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,7 @@ BITS = 64
 @dataclass(frozen=True)
 class SimHashParams:
     """Shingles of ``words`` words; ``errors`` differing bits link.  A bucket of more than ``bucket`` fingerprints is
-    split into chunks of that many, each pair of chunks a bucket of its own.  Tries of about ``rows`` fingerprints are
-    joined at once."""
+    parted by further bits.  Tries of about ``rows`` fingerprints are joined at once."""
 
     words: int = 4
     errors: int = 4
@@ -173,31 +173,56 @@ def _join_tries(errors: int, rows: int):
     return run
 
 
-def near_links(fps: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
-    """Links ``(u, v)`` that connect exactly the distinct ``fp`` values within ``errors`` bits: at most one per value and task.
+def partitions_of_bits(errors: int) -> list[list[int]]:
+    """Ways to part the 64 bits into ``errors + 1`` masks each (signed longs): by lines of a grid, one direction a way.
 
-    Two fingerprints within e bits agree in one of e + 1 blocks of bits, so that the trie join can be run on each
-    bucket (block, value) alone: these are the node pairs of the tries, rotated to that block, which spent no error
-    yet.  A bucket above the limit is dealt into chunks, and each pair of chunks is a task of its own.
+    Two fingerprints within ``errors`` bits agree on some mask of every way.  Lines of two directions meet in few bits, so
+    that each further way fixes new ones.
     """
-    blocks, cuts = params.errors + 1, [BITS * k // (params.errors + 1) for k in range(params.errors + 2)]
-    value = [F.shiftrightunsigned("fp", c).bitwiseAND(F.lit((1 << (d - c)) - 1).cast("long")) for c, d in zip(cuts, cuts[1:])]
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), value[k].alias("w")) for k in range(blocks)])).alias("_b"))
-    keyed = keyed.select("fp", F.col("_b.k").alias("k"), F.col("_b.w").alias("w"))
-    # Most fingerprints share no bucket with another: they need no task.
-    crowded = keyed.groupBy("k", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = staged(crowded.withColumn("chunks", F.expr(f"CAST((n + {params.bucket - 1}) DIV {params.bucket} AS int)")), "simhash-buckets")
-    mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
+    q = errors + 1
+    ways = [(1, 0), (0, 1), *((1, k) for k in range(1, q))]
+    masks = [[sum(1 << p for p in range(BITS) if (x * (p % q) + y * (p // q)) % q == j) for j in range(q)] for x, y in ways]
+    return [[m - (1 << BITS) if m >> (BITS - 1) else m for m in way] for way in masks]
+
+
+def near_buckets(fps: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
+    """``(fp, bucket)``: any two distinct ``fp`` values within ``errors`` bits meet in some bucket.
+
+    A bucket holds what agrees on a mask.  Those above the limit are parted again by the next way, which fixes more bits,
+    until none is left: only crowded values are copied further, and no pair of chunks is sent.  What is still crowded
+    when all ways are used agrees on most of its bits; it is dealt in pairs of chunks.
+    """
+    rows, parts = fps.select("fp", F.lit(0).cast("long").alias("mask")), []
+    for way in partitions_of_bits(params.errors):
+        masks = F.array(*[F.col("mask").bitwiseOR(F.lit(m).cast("long")) for m in way])
+        keyed = rows.select("fp", F.explode(masks).alias("mask"))
+        # Two buckets of one name would be joined as one: more is compared then, and still only near ones are linked.
+        keyed = keyed.withColumn("bucket", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+        # Most fingerprints share no bucket with another: they need no task.
+        sizes = staged(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-buckets")
+        parts.append(keyed.join(sizes.where(F.col("n") <= params.bucket), "bucket").select("fp", "bucket"))
+        crowded = sizes.where(F.col("n") > params.bucket)
+        if crowded.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        left = keyed.join(crowded, "bucket")
+        rows = staged(left.select("fp", "mask").distinct(), "simhash-crowded")
+    chunks = F.expr(f"CAST((n + {params.bucket - 1}) DIV {params.bucket} AS int)")
     dealt = (
-        keyed.join(crowded, ["k", "w"])
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("fp", F.xxhash64("k", "w", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"))
-    )
-    # Two buckets of one name would be joined as one: more is compared then, and still only near ones are linked.
-    return map_batches(
-        dealt.repartition("bucket").sortWithinPartitions("bucket"), _join_tries(params.errors, params.rows), "u long, v long"
+        left.withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(7)), chunks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        .select("fp", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"))
     )
+    return reduce(DataFrame.unionByName, [*parts, dealt])
+
+
+def near_links(fps: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
+    """Links ``(u, v)`` that connect exactly the distinct ``fp`` values within ``errors`` bits: at most one per value and task.
+
+    The trie join runs on each bucket of ``near_buckets`` alone: these are the node pairs of the tries, rotated to the
+    bits that a bucket agrees on, which spent no error yet.
+    """
+    dealt = near_buckets(fps, params).repartition("bucket").sortWithinPartitions("bucket")
+    return map_batches(dealt, _join_tries(params.errors, params.rows), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
