@@ -16,7 +16,11 @@ WINDOW = 3
 @dataclass(frozen=True)
 class LineRules:
     """A line is removed if more than ``line_docs`` documents of its host, and more than ``line_percent`` in a hundred
-    of them, have it; a document is rejected if fewer than ``left_words`` words or ``left_percent`` in a hundred stay."""
+    of them, have it; a document is rejected if fewer than ``left_words`` words or ``left_percent`` in a hundred stay.
+
+    Both limits count: boilerplate is what a host puts on a share of its documents.  Near copies of one clean document
+    also have its lines in common; a number alone would reject all of a group of eleven in a host of any size, and leave
+    the near-duplicate stage none to keep.  ``line_docs`` is for hosts so small that a share says little."""
 
     line_docs: int = 10
     line_percent: int = 1

@@ -17,7 +17,7 @@ from shardlens.llm.quality_rules import quality_verdicts
 from shardlens.llm.secrets import secret_report
 from shardlens.llm.sharding import shard_by_bytes
 from shardlens.llm.simhash import near_duplicate_report
-from shardlens.llm.sql import OP6_SQL, OP10_SQL, OP11_SQL, OP12_SQL, OP13_SQL
+from shardlens.llm.sql import OP6_SQL, OP8_SQL, OP10_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 from shardlens.llm.substring_dedup import remove_recurring
 from shardlens.llm.url_filter import judge_urls
 from shardlens.llm.warc import read_warc, write_warc
@@ -110,6 +110,7 @@ QUERIES = {
 }
 ORACLES = {
     "op6_url_filter": OP6_SQL,
+    "op8_quality_rules": OP8_SQL,
     "op10_substring_dedup": OP10_SQL,
     "op11_source_mixing": OP11_SQL,
     "op12_centroid_clustering": OP12_SQL,

@@ -192,3 +192,42 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
        sha256(t) AS restored_sha256
 FROM parts
 """
+
+OP8_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), windows AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, h) AS seen
+  FROM (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS h
+        FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) >= 3))
+), repeats AS (
+  SELECT rid, sum(least(3, coalesce(next - i, 3))) AS n_repeat_words
+  FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS next FROM windows WHERE seen > 1) GROUP BY rid
+), normal AS (
+  SELECT rid, host, list_transform(ls, lambda x: lower(array_to_string(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), ' '))) AS ns FROM docs
+), named AS (
+  SELECT rid, host, ns, md5(array_to_string(ns, chr(10))) AS self FROM normal
+), lines AS (
+  SELECT rid, host, self, unnest(ns) AS line FROM named
+), hosts AS (
+  SELECT host, count(DISTINCT self) AS docs FROM named GROUP BY host
+), common AS (
+  SELECT host, line FROM lines JOIN hosts USING (host) GROUP BY host, line, docs
+  HAVING count(DISTINCT self) > 10 AND count(DISTINCT self) * 100 > docs
+), lost AS (
+  SELECT rid, sum(len(string_split(line, ' '))) AS gone FROM lines SEMI JOIN common USING (host, line) GROUP BY rid
+), counted AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(w) - coalesce(gone, 0) AS n_left
+  FROM docs LEFT JOIN repeats USING (rid) LEFT JOIN lost USING (rid)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND n_left >= 50 AND n_left * 100 >= n_words * 50 AS kept, CAST(n_left AS BIGINT) AS n_left
+FROM judged
+"""
