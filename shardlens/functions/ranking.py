@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 BUCKET_WIDTH, BUCKETS, SAMPLED = 4096, 128, 8192
 
 
-def id_bucket(df: DataFrame, *cols: str) -> Column:
+def id_bucket(df: DataFrame, *cols: str, named_by: Sequence[str] = ()) -> Column:
     """A bucket that grows with ``cols`` (the node id by default), so that bucket order is their order, nulls first.
 
     The bounds are quantiles of the ``SAMPLED`` distinct ids of least hash: an even draw whatever the ids look like, the
     same in every run.  They only level the buckets; positions are exact with any bounds.  They are a scalar subquery
     of the plan, so nothing runs while the plan is being built, and every row meets the same ones.
+
+    Where ``named_by`` and ``cols`` name a row, rows are drawn instead: no shuffle looks for distinct ids then.
     """
     key = F.struct(*(cols or ("node_id",)))
-    drawn = df.select(key.alias("key")).distinct().orderBy(F.xxhash64("key"), "key").limit(SAMPLED)
+    ids = df.select(*named_by, key.alias("key")) if named_by else df.select(key.alias("key")).distinct()
+    drawn = ids.orderBy(F.xxhash64(*named_by, "key"), "key").limit(SAMPLED)
     place = lambda k: (k * F.size("ids") / BUCKETS).cast("int")
     bounds = drawn.agg(F.sort_array(F.collect_list("key")).alias("ids")).select(
         F.transform(F.sequence(F.lit(1), F.lit(BUCKETS - 1)), lambda k: F.get("ids", place(k))).alias("bounds")

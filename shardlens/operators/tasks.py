@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from shardlens.functions.exprs import (
     checkpoint_parts, checkpoint_path, count_where, int_div, is_servable, run_duration_text, sec_to_ts)
-from shardlens.functions.ranking import numbered, part_grid
+from shardlens.functions.ranking import id_bucket, numbered, part_grid
 from shardlens.schema import LEARNER, NODE_KEY, PART_KEY, PRIMARY, REPLICA_KEY, SCOPE, TABLE_KEY, az_dimension
 
 TASK_KEY = [*SCOPE, "task_id"]
 FINISHED, CANCELLED = 0, 1
 # Names below a checkpoint.
 DONE_MARK, PART_PREFIX = "done", "part_"
-DAY = 86400
 
 
 # --- run history --------------------------------------------------------------------------------------------------
@@ -54,8 +53,8 @@ def retention(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     History is dropped from the oldest on, up to and including the last surplus finished run; whatever else is that
     old goes too.  The cut is found per task by position, so a task with very many runs is not sorted in one task.
     """
-    finished = runs.filter(F.col("finish_status") == FINISHED).select(
-        *TASK_KEY, "session_id", "start_sec", int_div("start_sec", F.lit(30 * DAY).cast("long")).alias("_b"))
+    finished = runs.filter(F.col("finish_status") == FINISHED).select(*TASK_KEY, "session_id", "start_sec")
+    finished = finished.withColumn("_b", id_bucket(finished, "start_sec", "session_id", named_by=TASK_KEY))
     limits = tasks.filter("keep_nums >= 0").select(*TASK_KEY, "keep_nums")
     totals = finished.groupBy(*TASK_KEY).agg(F.count(F.lit(1)).alias("finished_runs"))
     surplus = totals.join(limits, TASK_KEY).filter("finished_runs > keep_nums").select(

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from shardlens.functions.ranking import id_bucket
 from shardlens.operators import liveness as L
 from shardlens.operators import progress as G
 from shardlens.operators import reconcile as R
@@ -201,6 +202,26 @@ def test_retention_drops_cancelled_ones_that_are_old(spark):
     assert (dropped(2), dropped(1), dropped(3), dropped(0), dropped(-1)) == ([0, 1], [0, 1, 2, 3], [], [0, 1, 2, 3, 4], [])
 
 
+def test_retention_of_a_dense_history(spark):
+    """A hot task with 6,000 runs inside a few minutes, several a second, beside sparse ones: the cut as by sorting."""
+    data = [("s", 1, 1, i, 10**9 + i * 7919 % 6000 // 25, i % 3 // 2) for i in range(6000)]
+    data += [("s", 1, t, i, i * 10**7, 0) for t in (2, 3) for i in range(4)]
+    runs = spark.createDataFrame(data, "service string, snapshot_ts bigint, task_id bigint, session_id bigint, start_sec bigint, finish_status int")
+    keeps = {1: 1500, 2: 1, 3: 9}
+    tasks = spark.createDataFrame([("s", 1, t, k) for t, k in keeps.items()], "service string, snapshot_ts bigint, task_id bigint, keep_nums bigint")
+    want = set()
+    for task, keep in keeps.items():
+        mine = [(start, session, status) for *_, t, session, start, status in data if t == task]
+        done = sorted(x[:2] for x in mine if x[2] == 0)
+        if len(done) > keep:
+            cut = done[len(done) - keep - 1]
+            want |= {(task, session) for start, session, _ in mine if (start, session) <= cut}
+    got = [tuple(r) for r in TK.retention(runs, tasks).select("task_id", "session_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    bucketed = runs.withColumn("b", id_bucket(runs, "start_sec", "session_id", named_by=TK.TASK_KEY))
+    assert bucketed.groupBy("task_id", "b").count().agg({"count": "max"}).first()[0] < 200
+
+
 def test_order_of_shades(spark):
     tables = fleet.tables(spark, [(1, 1, 0, None), (2, 1, 0, 1), (3, 1, 0, 2), (4, 1, 0, 5), (5, 1, 0, 4), (6, 1, 0, 5), (7, 1, 0, 99), (8, 1, 0, 7)])
     out = V.topological_table_order(tables)
