@@ -50,9 +50,12 @@ WITH req AS (SELECT c_custkey AS request_id, concat('host', c_custkey % 150 - c_
 
 @query("filter_nodes", """
 SELECT node_id FROM f_nodes n WHERE is_alive AND op <> 2
+  AND node_id NOT IN (SELECT node_id FROM f_members WHERE role = 2 AND qty = 1)
   AND node_id IN (SELECT node_id FROM f_members WHERE role = 0) AND node_id IN (SELECT node_id FROM f_members WHERE role <> 1)""")
 def _(v):
-    out = N.filter_nodes(v.nodes, N.node_filter(alive=True, not_op=2), with_role=(v.members, 0), without_role=(v.members, 1))
+    out = N.filter_nodes(
+        v.nodes, N.node_filter(alive=True, not_op=2), exclude_members=v.members.filter("role = 2 and qty = 1"),
+        with_role=(v.members, 0), without_role=(v.members, 1))
     return out.select(*SCOPE, "node_id")
 
 
