@@ -6,9 +6,13 @@ import json
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from io import TextIOWrapper
+from itertools import groupby, islice
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,21 +144,86 @@ def drop_folder(spark: SparkSession, path: str) -> bool:
     return _Folder(spark, path).drop()
 
 
+def _arrow(path: str) -> tuple:
+    """(file system, place) of a local path or of what Arrow's file systems reach."""
+    from pyarrow import fs
+
+    parts = urlparse(path)
+    if parts.scheme in ("", "file"):
+        return fs.LocalFileSystem(), unquote(parts.path)
+    return fs.FileSystem.from_uri(path)
+
+
+def _width(spark: SparkSession) -> int:
+    """Tasks for work that is many small files and few bytes; a given number is not merged again."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+# Name of the folder of rows without a table, and lines of a list that are handed on at once.
+NO_TABLE, LINES_AT_ONCE = "__HIVE_DEFAULT_PARTITION__", 10000
+
+
 def write_checkpoint_list(lines: DataFrame, path: str) -> None:
     """Write ``checkpoint_list`` rows as text, one folder per table, files and lines in history order.
 
-    Rows are range partitioned by table and time, so one table's long history spreads over several files.  The
-    committer moves finished files into place, so readers never see half a list.
+    Rows are range partitioned by table and time, so one table's long history spreads over several files.  Every task
+    makes the folders of its own tables, so nothing a table is done on the driver.  A file is named by its task and
+    moved into place when it is whole: a repeated task writes the same files again.
     """
-    order = ["table_id", "start_sec", "session_id"]
-    ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.select("table_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("table_id").text(path)
+    spark, order = lines.sparkSession, ["table_id", "start_sec", "session_id"]
+    _Folder(spark, path).drop()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _arrow(path)
+        store.create_dir(root)
+        task = TaskContext.get()
+        name, draft = f"part-{task.partitionId():05d}.txt", f".{task.taskAttemptId()}.draft"
+        rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+        for table_id, mine in groupby(rows, key=lambda row: row[0]):
+            folder = f"{root}/table_id={NO_TABLE if table_id is None else table_id}"
+            store.create_dir(folder)
+            with store.open_output_stream(f"{folder}/{draft}") as out:
+                while some := list(islice(mine, LINES_AT_ONCE)):
+                    out.write("".join(f"{line or ''}\n" for _, line in some).encode())
+            store.move(f"{folder}/{draft}", f"{folder}/{name}")
+        yield from ()
+
+    ranged = lines.repartitionByRange(_width(spark), *order).sortWithinPartitions(*order)
+    ranged.select("table_id", "line").mapInArrow(run, "table_id bigint").write.format("noop").mode("overwrite").save()
 
 
 def read_checkpoint_list(spark: SparkSession, path: str) -> DataFrame:
-    """(table_id, session_id, path) of written checkpoint lists; lines that are no ``session path`` are left out."""
+    """(table_id, session_id, path) of written checkpoint lists; lines that are no ``session path`` are left out.
+
+    One task names the folders, all of them read: there is a small file a table, too many to be planned by the driver.
+    """
+    from pyarrow import fs
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            store, root = _arrow(path)
+            found = [i.base_name for i in store.get_file_info(fs.FileSelector(root)) if i.base_name.startswith("table_id=")]
+            for k in range(0, len(found), LINES_AT_ONCE):
+                yield pa.record_batch({"folder": found[k:k + LINES_AT_ONCE]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _arrow(path)
+
+        def rows(folder: str) -> Iterator[tuple[str, int | None]]:
+            key = folder.removeprefix("table_id=")
+            files = sorted(i.path for i in store.get_file_info(fs.FileSelector(f"{root}/{folder}")) if i.base_name.startswith("part-"))
+            for file in files:
+                with store.open_input_stream(file) as stream:
+                    for line in TextIOWrapper(stream, encoding="utf-8", errors="replace"):
+                        yield line.rstrip("\n"), None if key == NO_TABLE else int(key)
+
+        every = (row for batch in batches for folder in batch.column(0).to_pylist() for row in rows(folder))
+        while some := list(islice(every, LINES_AT_ONCE)):
+            yield pa.record_batch([pa.array([r[0] for r in some], pa.string()), pa.array([r[1] for r in some], pa.int64())], ["value", "table_id"])
+
+    folders = spark.range(1).mapInArrow(name, "folder string").repartition(_width(spark), "folder")
     found = r"^([0-9]+) (.+)$"
-    lines = spark.read.schema("value string, table_id bigint").text(path).filter(F.col("value").rlike(found))
+    lines = folders.mapInArrow(run, "value string, table_id bigint").filter(F.col("value").rlike(found))
     part = lambda i: F.regexp_extract("value", found, i)
     return lines.select("table_id", part(1).cast("bigint").alias("session_id"), part(2).alias("path"))
 
@@ -163,11 +232,7 @@ def _entries(path: str) -> list[tuple[str, str]]:
     """(type, name) of what lies directly in a folder, empty files and folders too; a folder that is not there is empty."""
     from pyarrow import fs
 
-    parts = urlparse(path)
-    if parts.scheme in ("", "file"):
-        store, place = fs.LocalFileSystem(), unquote(parts.path)
-    else:
-        store, place = fs.FileSystem.from_uri(path)
+    store, place = _arrow(path)
     found = store.get_file_info(fs.FileSelector(place, allow_not_found=True))
     return [("DIRECTORY" if info.type == fs.FileType.Directory else "FILE", info.base_name) for info in found]
 
@@ -184,6 +249,7 @@ def list_checkpoints(checkpoints: DataFrame, region: str) -> DataFrame:
             rows = [(*row, kind, name) for row in batch.itertuples(index=False) for kind, name in _entries(row.path)]
             yield pd.DataFrame(rows, columns=[*batch.columns, "type", "suffix"])
 
-    asked = checkpoints.select(*TABLE_KEY, "path").distinct().withColumn("region", F.lit(region))
+    wide = checkpoints.select(*TABLE_KEY, "path").repartition(_width(checkpoints.sparkSession), *TABLE_KEY, "path")
+    asked = wide.distinct().withColumn("region", F.lit(region))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema.fields)
     return asked.mapInPandas(run, f"{kinds}, type string, suffix string")

@@ -1,7 +1,5 @@
 """What larger tables broke: the whole job of a filter, many small files, state read and written once a row."""
 
-from pyspark.sql import functions as F
-
 import __spark_entry__ as entry
 
 
@@ -18,3 +16,17 @@ def test_filter_leaves_out_nodes_that_hold_excluded_members(spark, tmp_path):
     put("lineitem", [(o, 1, n, 1, q, f) for o, n, f, q in held],
         "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_returnflag string")
     assert sorted(r.node_id for r in entry.queries()["filter_nodes"](spark, str(tmp_path)).collect()) == [1, 4]
+
+
+def test_many_short_lists_are_written_by_several_tasks(spark, tmp_path):
+    from shardlens.sources.sinks import read_checkpoint_list, write_checkpoint_list
+
+    data = [(t, s, s, f"{s} /p {t}/{s}") for t in range(200) for s in (1, 2)] + [(None, 1, 1, "1 /none"), (7, 3, 3, "odd")]
+    lines = spark.createDataFrame(data, "table_id bigint, start_sec bigint, session_id bigint, line string")
+    for _ in range(2):  # the second time over what is there
+        write_checkpoint_list(lines, str(tmp_path / "lists"))
+    got = read_checkpoint_list(spark, str(tmp_path / "lists")).collect()
+    key = lambda row: (row[0] is None, row)
+    want = [(t, s, f"/p {t}/{s}") for t in range(200) for s in (1, 2)] + [(None, 1, "/none")]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert len({f.name for f in (tmp_path / "lists").glob("table_id=*/part-*")}) > 1
