@@ -1,12 +1,15 @@
 """Keyed streams whose rows are worked in event-time order, however they come, with alarms in between.
 
-Rows wait in a state map under their time until the watermark has passed them; one timer a row brings them back in order,
-one by one.  What a key remembers, and when it wants to be woken without a row, is told by a ``Steps`` object.  Memory
-holds one row: neither the rows of a key nor those of a micro-batch are gathered.
+Rows wait in the state of their key until the watermark has passed them, and come back in order.  What a key remembers,
+and when it wants to be woken without a row, is told by a ``Steps`` object.  Keys are dealt into buckets: the state of a
+bucket is read and written once a micro-batch, not once a row or key, and one timer, for the first thing that can happen to
+any of its keys, wakes it when no row comes.  Memory holds one bucket: what its keys remember and their rows that wait,
+one for each second of the delay and of a micro-batch, however many rows a second has.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import Any
 
@@ -18,6 +21,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 # The engine's clock starts at 0 and takes a row of that time for late; so its time is one second ahead of ours.
 AHEAD = 1
 
+# Buckets of keys, and what is kept of one: its keys with memo and waiting rows, and the time of its timer.
+KEY_BUCKETS = 2048
+KEPT = T.StructType([T.StructField("keys", T.BinaryType()), T.StructField("timer", T.LongType())])
+
 Memo = tuple | None
 Out = list[tuple]
 
@@ -44,63 +51,74 @@ class Steps:
 
 
 class _InOrder(StatefulProcessor):
-    def __init__(self, steps: Steps, at: str, row_type: T.StructType, out: list[str]):
-        self.steps, self.at, self.row_type, self.out = steps, at, row_type, Row(*out)
+    """One state value a bucket of keys: for each key what it remembers and the rows that wait, and one timer for all."""
+
+    def __init__(self, steps: Steps, keys: list[str], at: str, out: list[str]):
+        self.steps, self.keys, self.at, self.out = steps, keys, at, Row(*out)
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at bigint", self.row_type)
-        self.latest = handle.getValueState("latest", "at bigint")
-        self.memo = handle.getValueState("memo", self.steps.memo_ddl)
+        self.kept = handle.getValueState("kept", KEPT)
+
+    def _load(self) -> tuple[dict[tuple, tuple[Memo, dict[int, tuple]]], int | None]:
+        kept = self.kept.get()
+        return ({}, None) if kept is None else (pickle.loads(kept[0]), kept[1])
+
+    def _save(self, state: dict, timer: int | None, rung: bool = False) -> None:
+        """Keep the state with a timer for the first thing that can happen to a key; ``rung``: the old timer is gone."""
+        first = None
+        for memo, waiting in state.values():
+            times = [*waiting] if memo is None or (bell := self.steps.alarm(memo)) is None else [*waiting, bell]
+            first = min(times if first is None else [*times, first], default=None)
+        if first != timer or rung:
+            if timer is not None and not rung:
+                self.handle.deleteTimer((timer + AHEAD) * 1000)
+            if first is not None:
+                self.handle.registerTimer((first + AHEAD) * 1000)
+        if state:
+            self.kept.update((pickle.dumps(state), first))
+        elif timer is not None:
+            self.kept.clear()
+
+    def _due(self, state: dict, passed: int) -> Out:
+        """Work all that the watermark has passed, key by key in the order of time; keys that are through leave."""
+        made, steps = [], self.steps
+        for key, (memo, waiting) in list(state.items()):
+            for at in [*sorted(at for at in waiting if at <= passed), None]:
+                upto = passed if at is None else at
+                while memo is not None and (when := steps.alarm(memo)) is not None and when <= upto:
+                    memo, out = steps.ring(memo, when)
+                    made += [(*key, *values) for values in out]
+                if at is not None:
+                    memo, out = steps.step(memo, at, waiting.pop(at))
+                    made += [(*key, *values) for values in out]
+            if memo is None and not waiting:
+                del state[key]
+            else:
+                state[key] = memo, waiting
+        return made
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if any(part is None for part in key):
-            return iter(())  # a closing record
-        latest = self.latest.get()[0] if self.latest.exists() else None
-        newest = latest
+        state, timer = self._load()
         for row in rows:
-            at, new = row[self.at], tuple(row[name] for name in self.steps.fields)
-            if at is None:
-                continue
-            there = self.waiting.getValue((at,))
-            if there is None:
-                self.handle.registerTimer((at + AHEAD) * 1000)
-            else:
-                new = self.steps.joined(tuple(there), new)
-            self.waiting.updateValue((at,), new)
-            newest = at if newest is None else max(newest, at)
-        if newest != latest:
-            self.latest.update((newest,))
-        return iter(())
+            own, at = tuple(row[name] for name in self.keys), row[self.at]
+            if at is None or None in own:
+                continue  # a row without a time, or a closing record
+            new = tuple(row[name] for name in self.steps.fields)
+            waiting = state.setdefault(own, (None, {}))[1]
+            waiting[at] = self.steps.joined(waiting[at], new) if at in waiting else new
+        made = self._due(state, self._passed(timerValues))
+        self._save(state, timer)
+        return (self.out(*values) for values in made)
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        at = expiredTimerInfo.getExpiryTimeInMs() // 1000 - AHEAD
-        passed = timerValues.getCurrentWatermarkInMs() // 1000 - AHEAD
-        memo = tuple(self.memo.get()) if self.memo.exists() else None
-        before = memo
-
-        def woken(upto: int) -> Iterator[tuple]:
-            nonlocal memo
-            while memo is not None and (when := self.steps.alarm(memo)) is not None and when <= upto:
-                memo, out = self.steps.ring(memo, when)
-                yield from out
-
-        made = list(woken(at))
-        row = self.waiting.getValue((at,))
-        if row is not None:
-            self.waiting.removeKey((at,))
-            memo, out = self.steps.step(memo, at, tuple(row))
-            made += out
-        if at >= self.latest.get()[0]:
-            made += woken(passed)  # no row waits any more
-        if memo is None:
-            self.memo.clear()
-        elif memo != before:
-            self.memo.update(memo)
-            if (when := self.steps.alarm(memo)) is not None:
-                self.handle.registerTimer((when + AHEAD) * 1000)
-        for values in made:
-            yield self.out(*key, *values)
+        state, timer = self._load()
+        made = self._due(state, self._passed(timerValues))
+        self._save(state, timer, rung=True)
+        return (self.out(*values) for values in made)
+
+    def _passed(self, timerValues) -> int:
+        return timerValues.getCurrentWatermarkInMs() // 1000 - AHEAD
 
 
 def in_order(stream: DataFrame, keys: list[str], at: str, steps: Steps, out: str, delay: str) -> DataFrame:
@@ -110,9 +128,9 @@ def in_order(stream: DataFrame, keys: list[str], at: str, steps: Steps, out: str
     turn has not passed.  Rows without a time are left out.  Rows with a null key move the watermark and do nothing else
     (``runner.close_input``).  Needs the RocksDB state store (``runner.drain``).
     """
-    row_type = T.StructType([f for f in stream.schema.fields if f.name in steps.fields])
-    steps.fields = tuple(row_type.fieldNames())
+    steps.fields = tuple(name for name in stream.columns if name in steps.fields)
     out_type = T.StructType.fromDDL(out)
     timed = stream.withColumn("_at", F.timestamp_seconds(F.col(at) + AHEAD)).withWatermark("_at", delay)
-    processor = _InOrder(steps, at, row_type, out_type.fieldNames())
-    return timed.groupBy(*keys).transformWithState(processor, out_type, "append", "eventTime")
+    dealt = timed.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)))
+    processor = _InOrder(steps, keys, at, out_type.fieldNames())
+    return dealt.groupBy("_bucket").transformWithState(processor, out_type, "append", "eventTime")

@@ -30,3 +30,68 @@ def test_many_short_lists_are_written_by_several_tasks(spark, tmp_path):
     want = [(t, s, f"/p {t}/{s}") for t in range(200) for s in (1, 2)] + [(None, 1, "/none")]
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert len({f.name for f in (tmp_path / "lists").glob("table_id=*/part-*")}) > 1
+
+
+class _Kept:
+    """A bucket's state and timers without a stream; counts how often the state is read and written."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, 0, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class _Clock:
+    def __init__(self, watermark, rung=None):
+        self.watermark, self.rung = watermark, rung
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+    def getExpiryTimeInMs(self):
+        return self.rung
+
+
+def test_a_bucket_of_keys_is_read_and_written_once_a_micro_batch():
+    import random
+
+    from pyspark.sql import Row
+    from test_streams import brute_feed
+
+    from shardlens.streaming import ordered
+    from shardlens.streaming.stateful import _Feed
+
+    rng, steps, end = random.Random(3), _Feed(5, 600), 3000
+    steps.fields = ("version",)
+    rows = [Row(t=t, at_sec=at, version=v) for t in range(20) for v, at in enumerate(rng.sample(range(1000, end), 30))]
+    rows += [Row(t=t, at_sec=end, version=99) for t in range(20)] + [Row(t=1, at_sec=None, version=1), Row(t=None, at_sec=9999, version=1)]
+    kept, got = _Kept(), []
+    bucket = ordered._InOrder(steps, ["t"], "at_sec", ["t", "at", "version", "reason"])
+    bucket.init(kept)
+    for low, high in ((0, 1900), (1900, 10000)):
+        before = kept.calls
+        batch = [r for r in rows if r.at_sec is None or low <= r.at_sec < high]
+        got += bucket.handleInputRows((0,), iter(batch), _Clock((low + ordered.AHEAD) * 1000))
+        assert kept.calls - before <= 2 and len(kept.timers) == 1
+    rung = kept.timers.pop()
+    got += bucket.handleExpiredTimer((0,), _Clock((end + ordered.AHEAD) * 1000), _Clock(0, rung))
+    want = [(t, *x) for t in range(20) for x in brute_feed(sorted((r.at_sec, r.version) for r in rows if r.t == t and r.at_sec))]
+    assert sorted(map(tuple, got)) == sorted(want) and len(kept.timers) == 1
