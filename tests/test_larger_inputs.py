@@ -95,3 +95,27 @@ def test_a_bucket_of_keys_is_read_and_written_once_a_micro_batch():
     got += bucket.handleExpiredTimer((0,), _Clock((end + ordered.AHEAD) * 1000), _Clock(0, rung))
     want = [(t, *x) for t in range(20) for x in brute_feed(sorted((r.at_sec, r.version) for r in rows if r.t == t and r.at_sec))]
     assert sorted(map(tuple, got)) == sorted(want) and len(kept.timers) == 1
+
+
+def test_large_tables_get_more_and_smaller_partitions(spark, tmp_path):
+    from shardlens import session
+
+    keys = (session.FIRST_PARTITIONS, session.MERGED_SIZE)
+    state = lambda: [spark.conf.get(key, None) for key in keys]
+    for name, size in (("small", 100), ("large", 40 * session.BYTES_A_PARTITION)):
+        (tmp_path / name).mkdir()
+        with (tmp_path / name / "t.parquet").open("wb") as f:
+            f.truncate(size)
+    before = state()
+    session.widen(spark, str(tmp_path / "small"))
+    assert state() == before
+    session.widen(spark, str(tmp_path / "large"))
+    assert state() == ["40", session.MERGED]
+    session.widen(spark, str(tmp_path / "small"))
+    assert state() == before
+    spark.conf.set(keys[0], "17")  # somebody's own choice
+    session.widen(spark, str(tmp_path / "large"))
+    chosen = state()
+    spark.conf.unset(keys[0])
+    session.widen(spark, str(tmp_path / "small"))
+    assert chosen[0] == "17" and state() == before
