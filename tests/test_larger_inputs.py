@@ -119,3 +119,16 @@ def test_large_tables_get_more_and_smaller_partitions(spark, tmp_path):
     spark.conf.unset(keys[0])
     session.widen(spark, str(tmp_path / "small"))
     assert chosen[0] == "17" and state() == before
+
+
+def test_a_grid_of_parts_is_never_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from shardlens.functions.ranking import part_grid
+
+    tables = spark.range(10).select(F.col("id").alias("t"), F.lit(5000).cast("long").alias("parts_count"))
+    held = spark.range(10**6).select((F.col("id") % 20).alias("t"), F.col("id").alias("pid"), (F.col("id") % 7).alias("node_id"))
+    joined = part_grid(tables, "pid").drop("parts_count").join(held, ["t", "pid"], "left").filter("node_id is not null")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert joined.count() == 250 * 10
