@@ -132,3 +132,24 @@ def test_a_grid_of_parts_is_never_broadcast(spark):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert joined.count() == 250 * 10
+
+
+def test_batches_run_in_the_callers_session(spark, tmp_path):
+    from shardlens.session import FIRST_PARTITIONS, first_partitions
+    from shardlens.streaming.runner import PARTITIONS, STORE_SETTING, _state_store, drain_batches, read_stream
+
+    rows = spark.range(10)
+    rows.write.parquet(str(tmp_path / "in"))
+    seen = []
+    stream = read_stream(spark, str(tmp_path / "in"), rows.schema)
+    drain_batches(stream, "session", lambda batch, i, out: seen.append((batch.sparkSession.conf.get("spark.sql.adaptive.enabled"), batch.count())), wide=True)
+    assert seen == [("true", 10)]
+    before = spark.conf.get(PARTITIONS), spark.conf.get(FIRST_PARTITIONS, None)
+    spark.conf.set(FIRST_PARTITIONS, "37")
+    try:
+        assert first_partitions(spark) == 37
+        with _state_store(spark, False, wide=True):
+            assert spark.conf.get(PARTITIONS) == "37" and "RocksDB" in spark.conf.get(STORE_SETTING)
+    finally:
+        spark.conf.unset(FIRST_PARTITIONS) if before[1] is None else spark.conf.set(FIRST_PARTITIONS, before[1])
+    assert spark.conf.get(PARTITIONS) == before[0] and "RocksDB" not in spark.conf.get(STORE_SETTING)
