@@ -153,3 +153,34 @@ def test_batches_run_in_the_callers_session(spark, tmp_path):
     finally:
         spark.conf.unset(FIRST_PARTITIONS) if before[1] is None else spark.conf.set(FIRST_PARTITIONS, before[1])
     assert spark.conf.get(PARTITIONS) == before[0] and "RocksDB" not in spark.conf.get(STORE_SETTING)
+
+
+def test_nodes_alike_give_the_results_of_the_whole_list(spark):
+    import random
+
+    import fleet
+    from shardlens.operators import placement as P
+
+    rng = random.Random(8)
+    # Hub a is longer than a stretch and its tables wrap around; some nodes of b have floors; node 5001 comes twice.
+    node_rows = [dict(node_id=n, hub_name="a", score=rng.randint(1, 9), op=2 if n % 50 == 7 else 0) for n in range(600)]
+    node_rows += [dict(node_id=5000 + n, hub_name="b", score=1 + 30 * (n % 2)) for n in range(9)] + [dict(node_id=5001, hub_name="b", score=3)]
+    shapes = {t: rng.choice([1, 4, 40, 300]) for t in range(30)}
+    ids = [n["node_id"] for n in node_rows]
+    held = sorted({(t, rng.randrange(shapes[t]), rng.choice(ids)) for t in shapes for _ in range(40)})
+    nodes = fleet.nodes(spark, node_rows).persist()
+    hubs = fleet.hubs(spark, [("a", "z", []), ("b", "z", [])])
+    tables = fleet.tables(spark, [(t, n, 0, None) for t, n in shapes.items()])
+    members = fleet.members(spark, [(t, p, n, rng.randrange(3)) for t, p, n in held]).persist()
+    profile = P.node_profile(nodes).persist()
+    estimates = P.estimate_replicas(nodes, tables, profile).persist()
+    got = lambda df: sorted(map(tuple, df.collect()))
+
+    assert {(r.hub_name, r.table_id): r.n for r in estimates.selectExpr("*").groupBy("hub_name", "table_id").agg({"est": "sum"})
+            .withColumnRenamed("sum(est)", "n").collect()} == {(h, t): n for h in "ab" for t, n in shapes.items()}
+    whole, short = P.node_gaps(members, estimates, tables, nodes), P.node_gaps(members, None, tables, nodes, profile)
+    assert short.count() * 2 < whole.count() == short.selectExpr("sum(alike)").first()[0]
+    assert got(P.balance_report(members, None, tables, nodes, hubs, profile)) == got(P.balance_report(members, estimates, tables, nodes, hubs))
+    assert got(P.load_extremes(members, None, tables, nodes, hubs, profile)) == got(P.load_extremes(members, estimates, tables, nodes, hubs))
+    picks, need = P.add_candidates(tables, hubs, members, nodes, None, profile), got(P.add_candidates(tables, hubs, members, nodes, estimates))
+    assert got(picks) == need and need
