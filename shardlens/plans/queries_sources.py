@@ -51,11 +51,14 @@ SELECT table_id, partition_id, CAST(node_id AS VARCHAR) AS node_id, role, member
        ints="role membership_version split_version")
 def _(v):
     m = v.members.withColumn("n", F.col("node_id").cast("string"))
-    pair = lambda c: F.map_from_entries(F.collect_list(c))
+    pairs = lambda xs, c: F.map_from_entries(F.transform(xs, lambda x: F.struct(x["n"], x[c])))
+    # One list a partition: two of them would hold every peer twice while they are gathered.
     docs = m.groupBy(*PART_KEY).agg(
         F.max("membership_version").alias("membership_version"), F.max("split_version").alias("split_version"),
-        pair(F.struct("n", "role")).alias("peers"),
-        pair(F.when(F.col("qty") % 2 == 0, F.struct("n", "restore_version"))).alias("restore_version"))
+        F.collect_list(F.struct("n", "role", "qty", "restore_version")).alias("xs"),
+    ).select(
+        *PART_KEY, "membership_version", "split_version", pairs(F.col("xs"), "role").alias("peers"),
+        pairs(F.filter("xs", lambda x: x["qty"] % 2 == 0), "restore_version").alias("restore_version"))
     value = F.to_json(F.struct("membership_version", "split_version", "peers", "restore_version"))
     stored = docs.select(*PART_KEY, F.when(F.col("table_id") % 9 == 4, "{oops").otherwise(value).alias("value"))
     members, _ = reports.read_memberships(stored)
