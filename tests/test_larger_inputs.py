@@ -184,3 +184,56 @@ def test_nodes_alike_give_the_results_of_the_whole_list(spark):
     assert got(P.load_extremes(members, None, tables, nodes, hubs, profile)) == got(P.load_extremes(members, estimates, tables, nodes, hubs))
     picks, need = P.add_candidates(tables, hubs, members, nodes, None, profile), got(P.add_candidates(tables, hubs, members, nodes, estimates))
     assert got(picks) == need and need
+
+
+def test_restore_readiness_reads_members_once_and_counts_repeated_rows(spark, tmp_path):
+    import random
+
+    from shardlens.operators import progress as G
+
+    rng = random.Random(5)
+    some = lambda *of: rng.choice(of)
+    tables = [(t, some(1, 2, 2, 0, None), some(0, 1, 2)) for t in range(40)] + [(3, 5, 1), (4, 1, 2), (None, 1, 1)]
+    nodes = [(n, some("a", "b", "gone", None)) for n in range(8)] + [(1, "a"), (None, "b")]
+    hubs = [("a",), ("b",), ("c",)]
+    members = [(some(*range(45), None), some(0, 0, 1, 2, 1024, None), some(*range(9), None), some(0, 1, 1, 1, 2, None), some(0, 1, 2, None))
+               for _ in range(120)]
+    members += [(t, p, n, 1, 1) for t in (7, 8) for p in (0, 1) for n in range(8)] + [(9, 0, 0, 1, 1)] * 2
+    facts = [(*m[:3], some(0, 1, 2, None)) for m in members for _ in range(some(0, 1, 1, 2))]
+    frame = lambda data, ddl: spark.createDataFrame([("s", 1, *row) for row in data], "service string, snapshot_ts bigint, " + ddl)
+    key = "table_id bigint, partition_id bigint, node_id bigint, "
+    frame(members, key + "role int, restore_version bigint").write.parquet(str(tmp_path / "members"))
+    out = G.restore_readiness(
+        frame(tables, "table_id bigint, parts_count bigint, restore_version bigint"), spark.read.parquet(str(tmp_path / "members")),
+        frame(facts, key + "restore_version bigint"), frame(nodes, "node_id bigint, hub_name string"), frame(hubs, "hub_name string"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+
+    def pairs(left, right, *at):  # an outer join in which null meets nothing
+        return [r for r in right if None not in left and tuple(r[i] for i in at) == left] or [None]
+
+    def expected(table):
+        t, parts, _ = table
+        cells, twins = {}, [x for x in tables if x[0] == t]
+        for twin in twins:
+            for m in (m for m in members if m[0] == t):
+                for node in pairs(m[2:3], nodes, 0):
+                    for fact in pairs(m[:3], facts, 0, 1, 2):
+                        have, seen = m[4] or 0, fact and fact[3]
+                        done = have >= twin[2] and seen is not None and seen >= have and m[3] == 1
+                        cells.setdefault((node and node[1], m[1]), []).append((m[3] == 0, done))
+        known = {c: r for c, r in cells.items() if (c[0],) in hubs}
+        finished = {h: sum(d for c, r in known.items() if c[0] == h for _, d in r) for (h,) in hubs}
+        open_hubs = [h for (h,) in hubs for x in twins if x[1] is not None and finished[h] < x[1]]
+        if any(p for r in cells.values() for p, _ in r):
+            state = "primary left"
+        elif len(known) < len(cells):
+            state = "outside hubs"
+        else:
+            single = sum(len(r) == 1 for r in known.values())
+            state = "hub not single" if parts is not None and single < parts * len(hubs) else "ready"
+        return t, state, min(open_hubs, default=None)
+
+    want = [expected(t) for t in tables if t[0] is not None]
+    assert len({s for _, s, _ in want}) == 4
+    text = lambda rows: sorted(map(str, rows))
+    assert text(map(tuple, out.select("table_id", "state", "next_hub").collect())) == text(want)
