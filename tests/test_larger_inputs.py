@@ -1,5 +1,7 @@
 """What larger tables broke: the whole job of a filter, many small files, state read and written once a row."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 
 
@@ -237,3 +239,58 @@ def test_restore_readiness_reads_members_once_and_counts_repeated_rows(spark, tm
     assert len({s for _, s, _ in want}) == 4
     text = lambda rows: sorted(map(str, rows))
     assert text(map(tuple, out.select("table_id", "state", "next_hub").collect())) == text(want)
+
+
+def test_newest_facts_read_no_column_that_is_not_asked_for(spark, tmp_path):
+    import random
+
+    import fleet
+    from shardlens.operators.reconcile import latest
+    from shardlens.schema import REPLICA_KEY
+    from shardlens.streaming import facts as SF
+
+    rng = random.Random(3)
+    some = lambda *of: rng.choice(of)
+    data = [(some(1, 2, None), some(0, 1), some(1, 2, 3), some(0, 1, 2), some(5, 6, 7, None), True, some(0, 1, None), 0, {"seq": "1"})
+            for _ in range(200)]
+    data += data[:20]
+    fleet.facts(spark, data).write.parquet(str(tmp_path / "facts"))
+    newest = latest(spark.read.parquet(str(tmp_path / "facts")), REPLICA_KEY, ["membership_version"])
+    assert newest.columns == [*REPLICA_KEY, "role", "membership_version", "ready_to_promote", "restore_version", "split_cleanup_version", "statistics"]
+    asked = newest.select(*REPLICA_KEY, "role", "membership_version", "restore_version")
+    assert "statistics" not in asked._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    low = lambda r: tuple((x is not None, x or 0) for x in (r[4], r[3], r[6]))
+    for row in data:
+        want[row[:3]] = max(want.get(row[:3], row), row, key=low)
+    got = [(r.table_id, r.partition_id, r.node_id, r.membership_version, r.role, r.restore_version, r.statistics) for r in newest.collect()]
+    key = lambda row: tuple(map(str, row))
+    assert sorted(got, key=key) == sorted(((*k, r[4], r[3], r[6], r[8]) for k, r in want.items()), key=key)
+    # A compacted set is read as it is; with a batch after it the newest are picked again.
+    out = str(tmp_path / "out")
+    batch = spark.read.parquet(str(tmp_path / "facts")).withColumn("report_sec", F.lit(1).cast("long"))
+    for i in range(3):
+        SF._log_batch(batch.withColumn("report_sec", F.lit(i).cast("long")), i, out, SF.NEWEST, 2)
+        shuffled = "Exchange" in SF._logged(spark, out, SF.NEWEST)._jdf.queryExecution().executedPlan().toString()
+        assert shuffled == (i != 1) and {r.report_sec for r in SF._logged(spark, out, SF.NEWEST).collect()} == {i}
+        assert SF._logged(spark, out, SF.NEWEST).count() == len(want)
+
+
+def test_reports_are_built_from_facts_read_once(spark):
+    from shardlens.plans.queries_streams import FIRST, SECOND, reported
+    from shardlens.plans.views import FleetViews
+    from shardlens.streaming.runner import WIDE_STATE, _state_store
+
+    v = FleetViews(spark, "/root/testdata/sf0.001")
+    rows = reported(v)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Window [row_number") == 1
+    facts = v.facts.withColumn("report_sec", F.lit(FIRST).cast("long"))
+    again = facts.filter("seq div 100 % 4 = 0")
+    newer = facts.filter("seq div 100 % 4 = 1").withColumns({"membership_version": F.lit(7).cast("long"), "report_sec": F.lit(SECOND).cast("long")})
+    want = facts.unionByName(again).unionByName(newer).withColumn("reported_at", F.timestamp_seconds("report_sec"))
+    assert rows.columns == want.columns
+    text = lambda df: sorted(map(str, df.collect()))
+    assert text(rows) == text(want)
+    with _state_store(spark, False, wide=True):
+        assert {key: spark.conf.get(key) for key in WIDE_STATE} == WIDE_STATE
+    assert all(spark.conf.get(key, None) is None for key in WIDE_STATE)
